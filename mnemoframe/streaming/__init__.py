@@ -1,0 +1 @@
+"""Empty on purpose: no covered operator is a streaming one (see README)."""
