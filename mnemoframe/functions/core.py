@@ -49,8 +49,8 @@ def rint_long(c) -> Column:
 
 def pad2(c) -> Column:
     """Two-digit identifier as used in subject and session keys."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.lpad(c.cast("string"), 2, "0")
+    c = (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.when(F.length(c) < 2, F.lpad(c, 2, "0")).otherwise(c)
 
 
 # Wichura (1988), algorithm AS 241, PPND16 coefficients, order 0..7.

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["behaviour"]
+MODULES = ["behaviour", "catalog"]
 
 
 def load_all() -> None:

@@ -32,3 +32,70 @@ TRIALS = """trials AS (SELECT event_id AS trial_id, printf('%02d', user_id % 20)
   CASE WHEN event_id % 17 <> 0 THEN CAST((event_id * 7 + user_id) % 4 + 1 AS INTEGER) END AS resp,
   CASE WHEN event_id % 13 <> 0 THEN CAST((((event_id * 7 + user_id) % 4 + 1) <= 2) = ((event_id // 2) % 2 = 0) AS DOUBLE) END AS trial_accuracy
   FROM events)"""
+
+
+def _task5(c):
+    return (F.when(c == "1", "encoding").when(c == "2", "retrieval").when(c == "3", "movie").when(c == "4", "rest").otherwise("math"))
+
+
+def runs(t):
+    """Scan runs from orders."""
+    k = F.col("o_orderkey")
+    r = t.orders.select(
+        k.alias("run_id"), pad2(F.col("o_custkey") % 20).alias("subject"), pad2(F.month("o_orderdate")).alias("session"),
+        _task5(F.substring("o_orderpriority", 1, 1)).alias("task"), F.when(k % 9 != 0, k % 6 + 1).cast("int").alias("run"),
+        F.when(F.col("o_orderstatus") == "P", "sbref").otherwise("bold").alias("suffix"),
+        F.when(k % 23 != 0, F.floor(F.col("o_totalprice") / 1000)).cast("int").alias("n_volumes"),
+        F.when(k % 7 != 0, F.lit(1.5)).alias("tr"), (F.lit(96) + F.when(k % 50 == 0, 1).otherwise(0)).alias("nx"),
+        F.lit(96).alias("ny"), F.lit(60).alias("nz"), "o_custkey", "o_orderdate")
+    stem = F.concat(F.lit("sub-"), F.col("subject"), F.lit("_ses-"), F.col("session"), F.lit("_task-"), F.col("task"),
+                    F.lit("_acq-"), F.col("run_id").cast("string"),
+                    F.when(F.col("run").isNotNull(), F.concat(F.lit("_run-"), pad2("run"))).otherwise(""))
+    return r.withColumn("path", F.concat(F.lit("sub-"), F.col("subject"), F.lit("/ses-"), F.col("session"), F.lit("/func/"), stem,
+                                         F.lit("_"), F.col("suffix"), F.lit(".nii.gz")))
+
+
+def event_files(t):
+    """One row per event file from the order lines, with the keys of its run."""
+    q = F.col("l_quantity")
+    e = t.lineitem.where(F.col("l_orderkey") % 5 != 0).groupBy(F.col("l_orderkey").alias("run_id")).agg(
+        F.count("*").alias("n_rows"), (F.min(q) - 3).alias("onset_min"), F.max(q * 6).alias("onset_max"),
+        F.max(F.when(F.col("l_orderkey") % 8 != 0, q * 6 + F.col("l_tax") * 100)).alias("end_max"))
+    return e.join(runs(t).select("run_id", "subject", "session", "task", "run"), "run_id")
+
+
+def expected_units(t):
+    i = F.col("id")
+    return t.spark.range(1440).select(
+        pad2(i % 24).alias("subject"), pad2(F.floor(i / 24) % 12 + 1).alias("session"),
+        _task5((F.floor(i / 288) % 5 + 1).cast("string")).alias("task"),
+        (i % 5 + 8).alias("runs_min"), (i % 5 + 12 + i % 3).alias("runs_max"))
+
+
+def exceptions(t):
+    i = F.col("id")
+    return t.spark.range(1440).where(i % 5 == 0).select(
+        pad2(i % 24).alias("subject"), pad2(F.floor(i / 24) % 12 + 1).alias("session"),
+        _task5((F.floor(i / 288) % 5 + 1).cast("string")).alias("task"),
+        F.when(i % 2 == 0, "accepted").otherwise("pending").alias("disposition"))
+
+
+VIEWS.update(runs=runs, event_files=event_files, expected_units=expected_units, exceptions=exceptions)
+
+_T5 = "CASE {0} WHEN '1' THEN 'encoding' WHEN '2' THEN 'retrieval' WHEN '3' THEN 'movie' WHEN '4' THEN 'rest' ELSE 'math' END"
+RUNS = f"""runs0 AS (SELECT o_orderkey AS run_id, printf('%02d', o_custkey % 20) AS subject, printf('%02d', month(o_orderdate)) AS session,
+  {_T5.format('substring(o_orderpriority, 1, 1)')} AS task, CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderkey % 6 + 1 AS INTEGER) END AS run,
+  CASE WHEN o_orderstatus = 'P' THEN 'sbref' ELSE 'bold' END AS suffix,
+  CASE WHEN o_orderkey % 23 <> 0 THEN CAST(floor(o_totalprice / 1000) AS INTEGER) END AS n_volumes,
+  CASE WHEN o_orderkey % 7 <> 0 THEN 1.5e0 END AS tr, 96 + CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS nx, 96 AS ny, 60 AS nz,
+  o_custkey, o_orderdate FROM orders),
+  runs AS (SELECT *, 'sub-' || subject || '/ses-' || session || '/func/sub-' || subject || '_ses-' || session || '_task-' || task || '_acq-' || run_id
+  || CASE WHEN run IS NOT NULL THEN '_run-' || printf('%02d', run) ELSE '' END || '_' || suffix || '.nii.gz' AS path FROM runs0)"""
+EVENT_FILES = """event_files AS (SELECT e.*, subject, session, task, run FROM (SELECT l_orderkey AS run_id, count(*) AS n_rows,
+  min(l_quantity) - 3 AS onset_min, max(l_quantity * 6) AS onset_max, max(CASE WHEN l_orderkey % 8 <> 0 THEN l_quantity * 6 + l_tax * 100 END) AS end_max
+  FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1) e JOIN runs USING (run_id))"""
+EXPECTED = f"""expected_units AS (SELECT printf('%02d', i % 24) AS subject, printf('%02d', (i // 24) % 12 + 1) AS session,
+  {_T5.format('CAST((i // 288) % 5 + 1 AS VARCHAR)')} AS task, i % 5 + 8 AS runs_min, i % 5 + 12 + i % 3 AS runs_max FROM range(1440) r(i)),
+  exceptions AS (SELECT printf('%02d', i % 24) AS subject, printf('%02d', (i // 24) % 12 + 1) AS session,
+  {_T5.format('CAST((i // 288) % 5 + 1 AS VARCHAR)')} AS task, CASE WHEN i % 2 = 0 THEN 'accepted' ELSE 'pending' END AS disposition
+  FROM range(1440) r(i) WHERE i % 5 = 0)"""
