@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["behaviour", "catalog"]
+MODULES = ["behaviour", "catalog", "qc"]
 
 
 def load_all() -> None:

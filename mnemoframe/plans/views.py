@@ -99,3 +99,51 @@ EXPECTED = f"""expected_units AS (SELECT printf('%02d', i % 24) AS subject, prin
   exceptions AS (SELECT printf('%02d', i % 24) AS subject, printf('%02d', (i // 24) % 12 + 1) AS session,
   {_T5.format('CAST((i // 288) % 5 + 1 AS VARCHAR)')} AS task, CASE WHEN i % 2 = 0 THEN 'accepted' ELSE 'pending' END AS disposition
   FROM range(1440) r(i) WHERE i % 5 = 0)"""
+
+
+def _k(c="props"):
+    return F.get_json_object(c, "$.k").cast("long")
+
+
+def volumes(t):
+    """Motion confounds per scan volume from events; some displacements are missing."""
+    e = F.col("event_id")
+    return t.events.select(
+        pad2(F.col("user_id") % 20).alias("subject"), pad2(F.lit(4) + (F.dayofmonth("ts") - 1) % 15).alias("session"), F.col("user_id").alias("acq"),
+        e.alias("volume"), F.when(e % 29 != 0, F.col("value") / 97).alias("framewise_displacement"), _k().cast("double").alias("dvars"),
+        (F.col("value") / 997).alias("rmsd")).withColumn(
+        "run_key", F.concat(F.lit("sub-"), F.col("subject"), F.lit("_ses-"), F.col("session"), F.lit("_acq-"), F.col("acq").cast("string")))
+
+
+def iqms(t):
+    """Quality metrics per run, one record per event with its number as the run."""
+    return t.events.select(F.col("event_id").alias("run_id"), pad2(F.col("user_id") % 20).alias("subject"),
+                           F.col("value").alias("fd_mean"), F.when(F.col("event_id") % 19 != 0, _k().cast("double") * _k()).alias("tsnr"))
+
+
+def decisions(t):
+    """Latest review decision per run of `volumes`, from signups."""
+    e = F.col("event_id")
+    x = t.events.where("event_type = 'signup'").select(
+        pad2(F.col("user_id") % 20).alias("subject"),
+        F.concat(F.lit("sub-"), pad2(F.col("user_id") % 20), F.lit("_ses-"), pad2(F.lit(4) + (F.dayofmonth("ts") - 1) % 15), F.lit("_acq-"),
+                 F.col("user_id").cast("string")).alias("run_key"),
+        e.alias("at"), F.element_at(F.array(*[F.lit(d) for d in ("keep", "exclude", "investigate", "pending")]), (e % 4 + 1).cast("int")).alias("decision"),
+        F.when(e % 3 == 0, " Auto-Stub ").when(e % 7 == 0, "").otherwise("Kim").alias("reviewer"), F.when(e % 5 != 0, e % 10 == 1).alias("automated"))
+    last = x.groupBy("subject", "run_key").agg(F.max_by(F.struct("decision", "reviewer", "automated"), "at").alias("l"))
+    return last.select("subject", "run_key", "l.*")
+
+
+VIEWS.update(volumes=volumes, iqms=iqms, decisions=decisions)
+
+VOLUMES = """volumes AS (SELECT *, 'sub-' || subject || '_ses-' || session || '_acq-' || acq AS run_key FROM (SELECT printf('%02d', user_id % 20) AS subject,
+  printf('%02d', 4 + (day(ts) - 1) % 15) AS session, user_id AS acq, event_id AS volume, CASE WHEN event_id % 29 <> 0 THEN value / 97 END AS fd,
+  CAST(json_extract(props, '$.k') AS DOUBLE) AS dvars, value / 997 AS rmsd FROM events))"""
+IQMS = """iqms AS (SELECT event_id AS run_id, printf('%02d', user_id % 20) AS subject, value AS fd_mean,
+  CASE WHEN event_id % 19 <> 0 THEN CAST(json_extract(props, '$.k') AS DOUBLE) * CAST(json_extract(props, '$.k') AS DOUBLE) END AS tsnr FROM events)"""
+DECISIONS = """decisions AS (SELECT subject, run_key, decision, reviewer, automated FROM (SELECT printf('%02d', user_id % 20) AS subject,
+  'sub-' || printf('%02d', user_id % 20) || '_ses-' || printf('%02d', 4 + (day(ts) - 1) % 15) || '_acq-' || user_id AS run_key, event_id,
+  (['keep', 'exclude', 'investigate', 'pending'])[event_id % 4 + 1] AS decision, CASE WHEN event_id % 3 = 0 THEN ' Auto-Stub ' WHEN event_id % 7 = 0 THEN '' ELSE 'Kim' END AS reviewer,
+  CASE WHEN event_id % 5 <> 0 THEN event_id % 10 = 1 END AS automated FROM events WHERE event_type = 'signup')
+  QUALIFY row_number() OVER (PARTITION BY run_key ORDER BY event_id DESC) = 1)"""
+SIGNED = """coalesce(NOT coalesce(automated, false) AND decision IN ('keep', 'exclude', 'investigate') AND lower(trim(coalesce(reviewer, ''))) NOT IN ('auto-stub', 'auto', 'automated', ''), false)"""
