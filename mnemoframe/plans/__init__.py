@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["behaviour", "catalog", "qc"]
+MODULES = ["behaviour", "catalog", "qc", "conversion"]
 
 
 def load_all() -> None:
