@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["behaviour", "catalog", "qc", "conversion"]
+MODULES = ["behaviour", "catalog", "qc", "conversion", "ingest"]
 
 
 def load_all() -> None:

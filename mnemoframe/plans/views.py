@@ -147,3 +147,24 @@ DECISIONS = """decisions AS (SELECT subject, run_key, decision, reviewer, automa
   CASE WHEN event_id % 5 <> 0 THEN event_id % 10 = 1 END AS automated FROM events WHERE event_type = 'signup')
   QUALIFY row_number() OVER (PARTITION BY run_key ORDER BY event_id DESC) = 1)"""
 SIGNED = """coalesce(NOT coalesce(automated, false) AND decision IN ('keep', 'exclude', 'investigate') AND lower(trim(coalesce(reviewer, ''))) NOT IN ('auto-stub', 'auto', 'automated', ''), false)"""
+
+
+def listing(t):
+    """File paths: for each run its image and the companions it has."""
+    k = F.col("run_id")
+    base = F.regexp_replace("path", r"_(bold|sbref)\.nii\.gz$", "")
+    kinds = F.array_compact(F.array(
+        F.struct(F.lit("image").alias("kind"), F.col("path").alias("p")),
+        F.when(k % 3 != 0, F.struct(F.lit("sidecar").alias("kind"), F.concat(base, F.lit("_"), F.col("suffix"), F.lit(".json")).alias("p"))),
+        F.when(k % 5 != 0, F.struct(F.lit("events").alias("kind"), F.concat(base, F.lit("_events.tsv")).alias("p"))),
+        F.when(k % 4 != 0, F.struct(F.lit("physio").alias("kind"), F.concat(base, F.lit("_recording-pulse_physio.tsv.gz")).alias("p"))),
+        F.when(k % 11 == 0, F.struct(F.lit("report").alias("kind"), F.concat(base, F.lit("_desc-qc_func.html")).alias("p")))))
+    return (runs(t).select("run_id", base.alias("stem"), F.explode(kinds).alias("x")).select("run_id", "stem", "x.kind", F.col("x.p").alias("path")))
+
+
+VIEWS.update(listing=listing)
+
+LISTING = r"""listing0 AS (SELECT *, regexp_replace(path, '_(bold|sbref)\.nii\.gz$', '') AS stem FROM runs),
+  listing AS (SELECT run_id, stem, 'image' AS kind, path FROM listing0 UNION ALL SELECT run_id, stem, 'sidecar', stem || '_' || suffix || '.json' FROM listing0 WHERE run_id % 3 <> 0
+  UNION ALL SELECT run_id, stem, 'events', stem || '_events.tsv' FROM listing0 WHERE run_id % 5 <> 0 UNION ALL SELECT run_id, stem, 'physio', stem || '_recording-pulse_physio.tsv.gz' FROM listing0 WHERE run_id % 4 <> 0
+  UNION ALL SELECT run_id, stem, 'report', stem || '_desc-qc_func.html' FROM listing0 WHERE run_id % 11 = 0)"""
