@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["behaviour", "catalog", "qc", "conversion", "ingest"]
+MODULES = ["behaviour", "catalog", "qc", "conversion", "ingest", "registry_queries", "compare"]
 
 
 def load_all() -> None:
