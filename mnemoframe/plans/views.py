@@ -168,3 +168,27 @@ LISTING = r"""listing0 AS (SELECT *, regexp_replace(path, '_(bold|sbref)\.nii\.g
   listing AS (SELECT run_id, stem, 'image' AS kind, path FROM listing0 UNION ALL SELECT run_id, stem, 'sidecar', stem || '_' || suffix || '.json' FROM listing0 WHERE run_id % 3 <> 0
   UNION ALL SELECT run_id, stem, 'events', stem || '_events.tsv' FROM listing0 WHERE run_id % 5 <> 0 UNION ALL SELECT run_id, stem, 'physio', stem || '_recording-pulse_physio.tsv.gz' FROM listing0 WHERE run_id % 4 <> 0
   UNION ALL SELECT run_id, stem, 'report', stem || '_desc-qc_func.html' FROM listing0 WHERE run_id % 11 = 0)"""
+
+
+def series(t):
+    """A signal per region, subject, session and movie; positions count the events in order."""
+    from ..functions.scan import id_block, row_index
+    d = F.dayofmonth("ts") - 1
+    x = t.events.select(
+        F.when(F.col("event_type").isin("click", "view"), "A").otherwise("B").alias("roi"), pad2(F.col("user_id") % 4).alias("subject"),
+        F.floor(d / 10).alias("session"), F.concat(F.lit("m"), (d % 10).cast("string")).alias("movie"), "event_id", "value",
+        F.when(F.col("event_id") % 31 != 0, _k().cast("double")).alias("motion"))
+    return row_index(x, ["roi", "subject", "session", "movie"], ["event_id"], id_block("event_id"), "t")
+
+
+def user_series(t):
+    """A signal per user; positions count the events in order."""
+    from ..functions.scan import id_block, row_index
+    return row_index(t.events.select("user_id", "event_id", "value"), ["user_id"], ["event_id"], id_block("event_id"), "t")
+
+
+VIEWS.update(series=series, user_series=user_series)
+
+SERIES = """series AS (SELECT *, row_number() OVER (PARTITION BY roi, subject, session, movie ORDER BY event_id) - 1 AS t FROM (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'A' ELSE 'B' END AS roi, printf('%02d', user_id % 4) AS subject,
+  (day(ts) - 1) // 10 AS session, 'm' || ((day(ts) - 1) % 10) AS movie, event_id, value, CASE WHEN event_id % 31 <> 0 THEN CAST(json_extract(props, '$.k') AS DOUBLE) END AS motion FROM events))"""
+USER_SERIES = "user_series AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t FROM events)"
