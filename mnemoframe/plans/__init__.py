@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["behaviour", "catalog", "qc", "conversion", "ingest", "registry_queries", "compare", "series"]
+MODULES = ["behaviour", "catalog", "qc", "conversion", "ingest", "registry_queries", "compare", "series", "similarity"]
 
 
 def load_all() -> None:

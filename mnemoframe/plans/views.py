@@ -192,3 +192,33 @@ VIEWS.update(series=series, user_series=user_series)
 SERIES = """series AS (SELECT *, row_number() OVER (PARTITION BY roi, subject, session, movie ORDER BY event_id) - 1 AS t FROM (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'A' ELSE 'B' END AS roi, printf('%02d', user_id % 4) AS subject,
   (day(ts) - 1) // 10 AS session, 'm' || ((day(ts) - 1) % 10) AS movie, event_id, value, CASE WHEN event_id % 31 <> 0 THEN CAST(json_extract(props, '$.k') AS DOUBLE) END AS motion FROM events))"""
 USER_SERIES = "user_series AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t FROM events)"
+
+
+def patterns(t):
+    """Presentations with a 64-component pattern, from embeddings."""
+    from ..functions.scan import id_block, row_index
+    v = F.col("vec_id")
+    x = t.embeddings.select("vec_id", pad2(v % 3).alias("subject"), (F.floor(v / 3) % 5).alias("session"), (F.floor(v / 15) % 2).alias("run"),
+                            F.col("label").cast("long").alias("item"), F.col("embedding").cast("array<double>").alias("vec"))
+    return row_index(x, ["subject", "session", "run"], ["vec_id"], id_block("vec_id"), "pos")
+
+
+def cells(t):
+    """Similarity cells per region, data version, unit and item, from order lines."""
+    k, u = F.col("l_orderkey") % 4, F.col("l_suppkey") % 6
+    cell = F.when(k == 0, "within_same").when(k == 1, "within_diff").when(k == 2, "across_same").otherwise("across_diff")
+    unit = F.when(k < 2, F.concat(F.lit("s"), u.cast("string"))).otherwise(F.concat(F.lit("s"), u.cast("string"), F.lit("+s"), ((u + 1) % 6).cast("string")))
+    p = F.col("l_partkey")
+    x = t.lineitem.select((p % 4).alias("roi"), F.col("l_linestatus").alias("version"), cell.alias("cell"), unit.alias("unit"), (p % 9).alias("item"),
+                          F.when(p % 3 == 0, "mixed").otherwise("single-single").alias("context_match"), (F.col("l_extendedprice") / 105013).alias("x"), "l_linenumber")
+    return x.groupBy("roi", "version", "cell", "unit", "item", "context_match").agg(F.avg("x").alias("r"), F.count("*").alias("n_pairs"), F.avg("l_linenumber").alias("n_voxels"))
+
+
+VIEWS.update(patterns=patterns, cells=cells)
+
+PATTERNS = """patterns AS (SELECT *, row_number() OVER (PARTITION BY subject, session, run ORDER BY vec_id) - 1 AS pos FROM (SELECT vec_id, printf('%02d', vec_id % 3) AS subject, (vec_id // 3) % 5 AS session, (vec_id // 15) % 2 AS run,
+  CAST(label AS BIGINT) AS item, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)), un AS (SELECT *, list_transform(vec, lambda x: x - list_avg(vec)) AS c FROM patterns),
+  up AS (SELECT * EXCLUDE c, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS u FROM un)"""
+CELLS = """cells AS (SELECT l_partkey % 4 AS roi, l_linestatus AS version, CASE l_orderkey % 4 WHEN 0 THEN 'within_same' WHEN 1 THEN 'within_diff' WHEN 2 THEN 'across_same' ELSE 'across_diff' END AS cell,
+  CASE WHEN l_orderkey % 4 < 2 THEN 's' || l_suppkey % 6 ELSE 's' || l_suppkey % 6 || '+s' || (l_suppkey % 6 + 1) % 6 END AS unit, l_partkey % 9 AS item, CASE WHEN l_partkey % 3 = 0 THEN 'mixed' ELSE 'single-single' END AS context_match,
+  avg(l_extendedprice / 105013) AS r, count(*) AS n_pairs, avg(l_linenumber) AS n_voxels FROM lineitem GROUP BY ALL)"""
