@@ -15,6 +15,7 @@ from ..functions.gram import pair_correlations
 from ..functions.quantiles import exact_quantiles
 from ..functions.scan import id_block, ordered_neighbours, row_index, running_total
 from ..functions.vectors import block_count, cell_sums, complete_vectors, explode_unit, pearson_complete, with_scale
+from ..session import settle
 from .series import mid_ranks
 
 N_DRAWS = 10
@@ -350,6 +351,7 @@ def tuning_check(patterns: DataFrame, feature: str, fold: str, top_n: int, seed:
     x = patterns.select(feature, fold, F.posexplode(vec).alias("pos", "x")).where("x is not null")
     r = x.groupBy(fold, "pos").agg(F.count("*").alias("_n"), r_agg("x", feature).alias("r")).where((F.col("_n") >= min_n) & F.col("r").isNotNull())
     w = r.groupBy("pos").agg(F.max(F.when(F.col(fold) == 0, F.col("r"))).alias("r0"), F.max(F.when(F.col(fold) == 1, F.col("r"))).alias("r1")).where("r0 is not null and r1 is not null")
+    w = settle(w)  # one row per component, read by every direction and choice
     out = []
     for name, a, b in (("0->1", "r0", "r1"), ("1->0", "r1", "r0")):
         top = w.orderBy(F.col(a).desc(), "pos").limit(top_n)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["behaviour", "catalog", "qc", "conversion", "ingest", "registry_queries", "compare", "series", "similarity"]
+MODULES = ["behaviour", "catalog", "qc", "conversion", "ingest", "registry_queries", "compare", "series", "similarity", "features"]
 
 
 def load_all() -> None:
