@@ -146,24 +146,32 @@ def with_group_stats(df: DataFrame, keys, **aggs) -> DataFrame:
         stats = df.agg(*[a.alias(n) for n, a in aggs.items()])
         return df.crossJoin(F.broadcast(stats))  # exactly one row
     stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return df.join(stats, list(keys))
+    return df.join(stats, list(keys), "left")  # rows without a key stay, with no statistics
+
+
+_PRIME = 2147483647
 
 
 def draw(seed: int, *keys) -> Column:
-    """Deterministic non-negative integer from integer keys, repeatable in any engine with
-    64-bit integers: a linear mix modulo a prime, so draws survive task retries."""
+    """Deterministic integer in [0, 2^31 - 1) from non-negative integer keys, repeatable in any engine with 64-bit
+    integers, so draws survive task retries. Squaring modulo a prime breaks up runs of neighbouring keys."""
     h = F.lit(seed).cast("long")
     for k in keys:
         k = F.col(k) if isinstance(k, str) else k
-        h = (h * 31 + k.cast("long") * 7919 + 104729) % 2147483647
-    return (h * 48271) % 2147483647
+        h = (h * 31 + (k.cast("long") % _PRIME) * 7919 + 104729) % _PRIME
+        h = (h * h + h * 5 + 48271) % _PRIME
+    h = (h * h + 69621) % _PRIME
+    return (h * h + 16807) % _PRIME
 
 
 def draw_sql(seed: int, *keys: str) -> str:
+    """The same draw as SQL text; a let-style nesting keeps the text short."""
     h = f"CAST({seed} AS BIGINT)"
+    step = lambda x, f: f"list_transform([{x}], lambda h: {f})[1]"
     for k in keys:
-        h = f"(({h} * 31 + CAST({k} AS BIGINT) * 7919 + 104729) % 2147483647)"
-    return f"(({h} * 48271) % 2147483647)"
+        h = f"(({h} * 31 + (CAST({k} AS BIGINT) % {_PRIME}) * 7919 + 104729) % {_PRIME})"
+        h = step(h, f"(h * h + h * 5 + 48271) % {_PRIME}")
+    return step(step(h, f"(h * h + 69621) % {_PRIME}"), f"(h * h + 16807) % {_PRIME}")
 
 
 def top_per_group(df: DataFrame, keys, order, n: int) -> DataFrame:

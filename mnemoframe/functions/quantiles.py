@@ -19,7 +19,7 @@ def _buckets(v: Column, lo: Column, hi: Column):
     either end when outliers stretch the range."""
     f = F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.lit(0.0))
     f = F.least(F.greatest(f, F.lit(0.0)), F.lit(1.0))
-    odds = F.log(F.greatest(f, F.lit(1e-30))) - F.log(F.greatest(1.0 - f, F.lit(1e-16)))
+    odds = F.log((f + 1e-30) / (1.0 - f + 1e-16))
     return F.floor(f * LINEAR).cast("int"), F.floor(odds * LOGIT).cast("int")
 
 

@@ -51,8 +51,8 @@ def runs(t):
     stem = F.concat(F.lit("sub-"), F.col("subject"), F.lit("_ses-"), F.col("session"), F.lit("_task-"), F.col("task"),
                     F.lit("_acq-"), F.col("run_id").cast("string"),
                     F.when(F.col("run").isNotNull(), F.concat(F.lit("_run-"), pad2("run"))).otherwise(""))
-    return r.withColumn("path", F.concat(F.lit("sub-"), F.col("subject"), F.lit("/ses-"), F.col("session"), F.lit("/func/"), stem,
-                                         F.lit("_"), F.col("suffix"), F.lit(".nii.gz")))
+    r = r.withColumn("base", F.concat(F.lit("sub-"), F.col("subject"), F.lit("/ses-"), F.col("session"), F.lit("/func/"), stem))
+    return r.withColumn("path", F.concat("base", F.lit("_"), F.col("suffix"), F.lit(".nii.gz")))
 
 
 def event_files(t):
@@ -152,7 +152,7 @@ SIGNED = """coalesce(NOT coalesce(automated, false) AND decision IN ('keep', 'ex
 def listing(t):
     """File paths: for each run its image and the companions it has."""
     k = F.col("run_id")
-    base = F.regexp_replace("path", r"_(bold|sbref)\.nii\.gz$", "")
+    base = F.col("base")
     kinds = F.array_compact(F.array(
         F.struct(F.lit("image").alias("kind"), F.col("path").alias("p")),
         F.when(k % 3 != 0, F.struct(F.lit("sidecar").alias("kind"), F.concat(base, F.lit("_"), F.col("suffix"), F.lit(".json")).alias("p"))),

@@ -20,13 +20,19 @@ TEXT_METADATA = ("bids_meta", "provenance")
 REST_TYPES = ("rest",)
 
 
+def base_name(path) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
 def entity(path, key: str) -> Column:
     """Value of `key-value` in a file name, NULL when absent."""
-    return F.nullif(F.regexp_extract(path, f"(?:^|[_/]){key}-([^_/.]+)[^/]*$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(base_name(path), f"(?:^|_){key}-([^_.]+)", 1), F.lit(""))
 
 
 def suffix(path) -> Column:
-    return F.nullif(F.regexp_extract(path, r"_([a-zA-Z0-9]+)(?:\.[^/]*)?$", 1), F.lit(""))
+    stem = F.substring_index(base_name(path), ".", 1)
+    last = F.substring_index(stem, "_", -1)
+    return F.when(F.contains(stem, F.lit("_")) & last.rlike("^[a-zA-Z0-9]+$"), last)
 
 
 def with_entities(df: DataFrame, path: str = "path", prefix: str = "") -> DataFrame:
@@ -37,7 +43,7 @@ def extension(path) -> Column:
     """Last extension, with .nii.gz and .tsv.gz kept whole; '' when there is none."""
     p = F.col(path) if isinstance(path, str) else path
     return (F.when(p.endswith(".nii.gz"), ".nii.gz").when(p.endswith(".tsv.gz"), ".tsv.gz")
-            .otherwise(F.regexp_extract(p, r"[^/](\.[^./]*)$", 1)))
+            .otherwise(F.regexp_extract(base_name(p), r"^.+(\.[^.]*)$", 1)))
 
 
 def datatype(relative) -> Column:
