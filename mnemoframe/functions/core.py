@@ -156,12 +156,12 @@ def draw(seed: int, *keys) -> Column:
     """Deterministic integer in [0, 2^31 - 1) from non-negative integer keys, repeatable in any engine with 64-bit
     integers, so draws survive task retries. Squaring modulo a prime breaks up runs of neighbouring keys."""
     h = F.lit(seed).cast("long")
+    step = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # names the value, so the expression stays small
     for k in keys:
         k = F.col(k) if isinstance(k, str) else k
         h = (h * 31 + (k.cast("long") % _PRIME) * 7919 + 104729) % _PRIME
-        h = (h * h + h * 5 + 48271) % _PRIME
-    h = (h * h + 69621) % _PRIME
-    return (h * h + 16807) % _PRIME
+        h = step(h, lambda v: (v * v + v * 5 + 48271) % _PRIME)
+    return step(step(h, lambda v: (v * v + 69621) % _PRIME), lambda v: (v * v + 16807) % _PRIME)
 
 
 def draw_sql(seed: int, *keys: str) -> str:

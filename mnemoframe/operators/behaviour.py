@@ -208,6 +208,23 @@ def report(df: DataFrame, build, subjects=None, sessions=None) -> DataFrame:
     return build(df)
 
 
+# The data behind each named report.
+REPORTS = {
+    "accuracy": lambda d: accuracy_by_condition(d, ["subject", "enCon"]),
+    "learning_curve": lambda d: learning_curve(d, "trial_accuracy", ["subject"]),
+    "dprime_curve": lambda d: dprime_curve(d, ["subject"]),
+    "rt_distribution": lambda d: histogram(d, "resp_RT", 40, ["subject"]),
+    "confidence": lambda d: confidence_accuracy(d, ["subject"]),
+    "ratings": lambda d: rating_distribution(d, "resp", ["subject", "enCon"]),
+    "vividness": lambda d: mean_sem(d, "resp", ["subject", "reCon"], "mean_vividness"),
+    "timeline": lambda d: timeline(d, ["subject", "enCon", "reCon"]),
+}
+
+
+def named_report(name: str, df: DataFrame, subjects=None, sessions=None) -> DataFrame:
+    return report(df, REPORTS[name], subjects, sessions)
+
+
 def ranking(df: DataFrame, feature: str, n: int, tie: str) -> DataFrame:
     """Top n rows by a feature; sorts with a limit, so only n rows per task move."""
     x = df.where(num(feature).isNotNull()).orderBy(F.col(feature).desc(), tie).limit(n)

@@ -245,10 +245,20 @@ def movie_patterns(series: DataFrame, events: DataFrame, run, segment: str, tr:
     return segments(series, events, run, segment, tr, SHIFT_VOLUMES, value)
 
 
-def residual_correlation(res: DataFrame, keys, confound: str, residual: str = "residual") -> DataFrame:
-    """|r| between residual and confound per run; it must vanish."""
+def residual_correlation(res: DataFrame, keys, confound: str, value: str = "value", residual: str = "residual") -> DataFrame:
+    """|r| between residual and confound per run; it must vanish. Runs with nothing left (as many regressors as
+    samples) count as 0."""
     x = F.coalesce(F.col(confound).cast("double"), F.lit(0.0))
-    return res.groupBy(*keys).agg(F.coalesce(F.abs(r_agg(residual, x)), F.lit(0.0)).alias("abs_r"))
+    left = F.stddev_pop(residual) > 1e-9 * F.stddev_pop(value)
+    return res.groupBy(*keys).agg(F.coalesce(F.when(left, F.abs(r_agg(residual, x))), F.lit(0.0)).alias("abs_r"))
+
+
+def pair_correlation_against_motion(pairs: DataFrame, motion: DataFrame, keys, member: str) -> DataFrame:
+    """Spearman rho between the r of a pair of sessions and the mean displacement of both. `pairs` carries the member
+    in a column, `motion` holds (member, session, mean_fd)."""
+    m = lambda c, n: motion.select(member, F.col("session").cast("string").alias(c), F.col("mean_fd").alias(n))
+    j = pairs.join(m("member_a", "_a"), [member, "member_a"]).join(m("member_b", "_b"), [member, "member_b"])
+    return spearman(j.withColumn("mean_fd", (F.col("_a") + F.col("_b")) / 2), keys, "r", "mean_fd")
 
 
 def length_check(found: DataFrame, expected: DataFrame, keys, slack: int = SHIFT_VOLUMES) -> DataFrame:

@@ -241,6 +241,12 @@ def _(t):
     return B.report(t.trials, lambda d: B.learning_curve(d, "resp_RT", ["subject", "enCon"]), subjects=["03", "04", "05"])
 
 
+@query("a19_report_rt_distribution", W + """, f AS (SELECT * FROM trials WHERE session IN ('04', '05', '06')), l AS (SELECT min(resp_RT) AS lo, max(resp_RT) AS hi FROM f)
+  SELECT subject, CAST(least(floor((resp_RT - lo) / (hi - lo) * 40), 39) AS BIGINT) AS bin, count(*) AS n FROM f, l GROUP BY ALL""")
+def _(t):
+    return B.named_report("rt_distribution", t.trials, sessions=["04", "05", "06"])
+
+
 @query("a20_coverage", W + """, c AS (SELECT subject, session, task, count(*) AS n FROM trials GROUP BY ALL)
   SELECT subject, session, CAST(sum(n) AS BIGINT) AS n_trials, count(*) AS n_tasks, arg_max(task, printf('%012d', n) || task) AS main_task FROM c GROUP BY ALL""")
 def _(t):

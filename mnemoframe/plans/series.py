@@ -94,6 +94,18 @@ def _(t):
     return S.correlation_against_motion(_pairs(t, min_len=10), m, ["roi"], "session")
 
 
+WPAIR = PAIR.replace("session", "#").replace("subject", "session").replace("#", "subject").format(s="series", v="value")
+
+
+@query("s07_wsc_against_motion", W + WPAIR + """, f AS (SELECT subject, session, avg(motion) AS fd FROM series GROUP BY ALL), j AS (SELECT pr.roi, r, (x.fd + y.fd) / 2 AS fd FROM pr JOIN f x ON x.subject = pr.subject AND x.session = member_a JOIN f y ON y.subject = pr.subject AND y.session = member_b WHERE n >= 2 AND r IS NOT NULL),
+  k AS (SELECT *, rank() OVER (PARTITION BY roi ORDER BY r) + (count(*) OVER (PARTITION BY roi, r) - 1) / 2 AS rx, rank() OVER (PARTITION BY roi ORDER BY fd) + (count(*) OVER (PARTITION BY roi, fd) - 1) / 2 AS ry FROM j)
+  SELECT roi, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) AS rho, count(*) AS n FROM k GROUP BY roi HAVING count(*) >= 3""", {"rho": 3})
+def _(t):
+    m = t.series.groupBy("subject", "session").agg(F.avg("motion").alias("mean_fd"))
+    p = S.pairwise(t.series, ["roi", "subject", "movie"], "session", ["0", "1", "2", "3"])
+    return S.pair_correlation_against_motion(p, m, ["roi"], "subject")
+
+
 TRI = """ SELECT x.roi, x.session, x.movie, x.member_a || '|' || x.member_b || '|' || y.member_b AS triple, (x.r + y.r + z.r) / 3 AS mean_r FROM q x JOIN q y ON x.roi = y.roi AND x.session = y.session AND x.movie = y.movie AND x.member_b = y.member_a
   JOIN q z ON x.roi = z.roi AND x.session = z.session AND x.movie = z.movie AND z.member_a = x.member_a AND z.member_b = y.member_b"""
 
