@@ -264,6 +264,7 @@ def rank_table(corr: DataFrame) -> DataFrame:
 def identification(corr: DataFrame, seed: int, n_perm: int) -> DataFrame:
     """Rank accuracy and its label-permutation p = (1 + #null >= observed) / (1 + n). Permutations are rows: the order
     of seeded draws, one small group per permutation."""
+    corr = settle(corr)  # declared items squared
     ranks = rank_table(corr)
     n = corr.select("a").distinct().agg(F.count("*").cast("double").alias("n_items"))
     acc = lambda d, keys: d.groupBy(*keys).agg(F.avg("rank").alias("_mr"))

@@ -13,6 +13,7 @@ from ..functions.core import div, fisher_z, r_agg, rint_long, with_group_stats
 from ..functions.gram import least_squares, pair_correlations
 from ..functions.quantiles import exact_quantiles
 from ..functions.scan import id_block, row_index, running_total, with_neighbours
+from ..session import settle
 from ..sources.files import MOTION
 
 # Shift of the response (volumes, seconds), feature frame spacing, chunk length, kernel length (seconds).
@@ -109,7 +110,7 @@ def mid_ranks(df: DataFrame, keys, value: str, out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, keys, x: str, y: str, min_n: int = 3) -> DataFrame:
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = settle(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y))  # a table of summaries, ranked twice
     r = mid_ranks(mid_ranks(d, keys, x, "_rx"), keys, y, "_ry")
     return r.groupBy(*keys).agg(r_agg("_rx", "_ry").alias("rho"), F.count("*").alias("n")).where(F.col("n") >= min_n)
 

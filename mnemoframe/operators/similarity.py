@@ -67,7 +67,8 @@ def draw_surrogates(targets: DataFrame, pool: DataFrame, patterns: DataFrame, ru
     t = targets.join(size, list(run)).withColumn("draw_no", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     t = t.withColumn("slot", draw(seed, key, "draw_no") % F.col("_size"))
     t = t.join(pool, [*run, "slot"]).withColumn("pos", F.col("start") + (F.col(offset) if offset else F.lit(0)))
-    return t.select(*run, key, "draw_no", "pos").join(patterns.select(*run, "pos", F.col(key).alias("surrogate")), [*run, "pos"]).select(key, "draw_no", "surrogate")
+    d = t.select(*run, key, "draw_no", "pos").join(patterns.select(*run, "pos", F.col(key).alias("surrogate")), [*run, "pos"])
+    return settle(d.select(key, "draw_no", "surrogate"))  # made once, read for every version, cell and scope
 
 
 def _surrogate_sums(targets: DataFrame, draws: DataFrame, scaled: DataFrame, keys, key: str, vec: str) -> DataFrame:
@@ -181,7 +182,7 @@ def pair_count_check(cells: DataFrame, expected: dict[str, int]) -> DataFrame:
 def signed_rank(df: DataFrame, keys, d: str = "d") -> DataFrame:
     """Signed-rank sum of non-zero differences (ties averaged) and its two-sided p by the normal approximation with
     tie correction."""
-    x = df.where((F.col(d) != 0) & F.col(d).isNotNull()).withColumn("_abs", F.abs(F.col(d)))
+    x = settle(df.where((F.col(d) != 0) & F.col(d).isNotNull()).select(*keys, d, F.abs(F.col(d)).alias("_abs")))  # one row per unit and item
     x = mid_ranks(x, keys, "_abs", "_rank")
     g = x.groupBy(*keys).agg(F.count("*").alias("n_nonzero"), F.sum(F.when(F.col(d) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"))
     ties = x.groupBy(*keys, "_abs").agg(F.count("*").cast("double").alias("_t")).groupBy(*keys).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_tie"))
@@ -380,17 +381,18 @@ def union_mask(masks: DataFrame, voxel: str, run: str, grid: str) -> DataFrame:
     return masks.groupBy(voxel).agg(F.countDistinct(run).alias("n_runs"), F.countDistinct(grid).alias("_g")).withColumn("same_grid", F.col("_g") == 1).drop("_g")
 
 
-def roi_cache(roi_voxels: DataFrame, betas: DataFrame, trials: DataFrame, voxel: str, trial: str, vec: str = "vec") -> DataFrame:
-    """Beta values of the listed voxels per trial with its labels; voxels without data stay as missing."""
-    x = betas.select(trial, F.posexplode(vec).alias(voxel, "beta"))
-    full = trials.join(F.broadcast(roi_voxels))  # the voxel list of a region: its size is that of an atlas label
-    return full.join(x, [trial, voxel], "left")
+def roi_cache(voxels: list[int], betas: DataFrame, trials: DataFrame, trial: str, vec: str = "vec") -> DataFrame:
+    """Beta values of a region's voxel list per trial with its labels; voxels or trials without data stay as missing.
+    Patterns are joined as arrays by trial and the listed components read off them."""
+    j = trials.join(betas.select(trial, vec), trial, "left")
+    pick = F.transform(F.array(*[F.lit(int(v)) for v in voxels]), lambda v: F.struct(v.alias("voxel"), F.get(F.col(vec), v).cast("double").alias("beta")))
+    return j.select(*trials.columns, F.explode(pick).alias("_e")).select(*trials.columns, "_e.*")
 
 
-def cardinality_check(cache: DataFrame, roi_voxels: DataFrame, trials: DataFrame) -> DataFrame:
+def cardinality_check(cache: DataFrame, voxels: list[int], trials: DataFrame) -> DataFrame:
     c = cache.agg(F.count("*").alias("n_rows"), F.count("beta").alias("n_values"))
-    e = trials.agg(F.count("*").alias("_t")).crossJoin(roi_voxels.agg(F.count("*").alias("_v")))
-    return c.crossJoin(e).select("n_rows", "n_values", (F.col("_t") * F.col("_v")).alias("n_expected"), (F.col("n_rows") == F.col("_t") * F.col("_v")).alias("ok"))
+    e = trials.agg((F.count("*") * len(voxels)).alias("n_expected"))
+    return c.crossJoin(e).withColumn("ok", F.col("n_rows") == F.col("n_expected"))  # one row each
 
 
 def map_improvement(df: DataFrame, keys, a: str, b: str) -> DataFrame:

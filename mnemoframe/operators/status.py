@@ -21,13 +21,15 @@ def with_state(df: DataFrame, expected: str = "expected", found: str = "found")
                 F.lit("Found "), F.col(found).cast("string"), F.lit(" outputs; only "), F.col(expected).cast("string"), F.lit(" expected.")))))
 
 
-def _wanted(runs: DataFrame, steps: DataFrame) -> DataFrame:
-    """Each run with each step it is routed to. `steps` is the declared step list (step, marker, stream,
-    needs_sibling), a handful of rows, hence the broadcast; a NULL stream takes every run."""
-    return runs.join(F.broadcast(steps), steps["stream"].isNull() | (steps["stream"] == runs["stream"])).drop(steps["stream"])
+def _wanted(runs: DataFrame, steps) -> DataFrame:
+    """Each run with each step it is routed to. `steps` is the declared list of (step, marker, stream, needs_sibling);
+    stream None takes every run. The list becomes an array of constants, so nothing is joined."""
+    item = lambda s, m, sib: F.struct(F.lit(s).alias("step"), F.lit(m).alias("marker"), F.lit(sib).alias("needs_sibling"))
+    some = F.array_compact(F.array(*[item(s, m, sib) if stream is None else F.when(F.col("stream") == stream, item(s, m, sib)) for s, m, stream, sib in steps]))
+    return runs.withColumn("_s", F.explode(some)).select(*runs.columns, "_s.*")
 
 
-def step_completeness(runs: DataFrame, outputs: DataFrame, steps: DataFrame, keys=("subject", "session")) -> DataFrame:
+def step_completeness(runs: DataFrame, outputs: DataFrame, steps, keys=("subject", "session")) -> DataFrame:
     """Expected runs against outputs carrying the step's marker; an output without its sibling makes the
     step an error. `outputs` holds (run_id, marker, has_sibling)."""
     keys = list(keys)
@@ -39,7 +41,7 @@ def step_completeness(runs: DataFrame, outputs: DataFrame, steps: DataFrame, key
     return with_state(g).withColumn("status", F.when(F.col("n_incomplete") > 0, "error").otherwise(F.col("status")))
 
 
-def missing_details(runs: DataFrame, outputs: DataFrame, steps: DataFrame, keys=("subject", "session"), n: int = 3) -> DataFrame:
+def missing_details(runs: DataFrame, outputs: DataFrame, steps, keys=("subject", "session"), n: int = 3) -> DataFrame:
     """First n missing runs per session and step, with the number not listed."""
     gone = _wanted(runs, steps).join(outputs.select("run_id", "marker").distinct(), ["run_id", "marker"], "left_anti")
     total = gone.groupBy(*keys, "step").agg(F.count("*").alias("n_missing"))
@@ -48,9 +50,9 @@ def missing_details(runs: DataFrame, outputs: DataFrame, steps: DataFrame, keys=
     return total.join(few, [*keys, "step"]).withColumn("n_more", F.col("n_missing") - F.size("first_missing"))
 
 
-def status_table(sessions: DataFrame, completeness: DataFrame, steps: DataFrame, keys=("subject", "session")) -> DataFrame:
+def status_table(sessions: DataFrame, completeness: DataFrame, steps, keys=("subject", "session")) -> DataFrame:
     """One row per session and declared step; a step with nothing expected is skipped."""
-    grid = sessions.select(*keys).distinct().crossJoin(F.broadcast(steps.select("step").distinct()))
+    grid = sessions.select(*keys).distinct().withColumn("step", F.explode(F.array(*[F.lit(x[0]) for x in steps])))
     j = grid.join(completeness.select(*keys, "step", "expected", "found", "status"), [*keys, "step"], "left")
     return (j.withColumn("status", F.coalesce("status", F.lit("skipped"))).fillna(0, ["expected", "found"]))
 

@@ -406,8 +406,7 @@ def _status_inputs(t):
     runs = t.runs.select("run_id", F.col("o_custkey").cast("string").alias("subject"), F.year("o_orderdate").cast("string").alias("session"),
                          F.when(F.col("task").isin("encoding", "retrieval"), "trial").when(F.col("task") == "movie", "movie").alias("stream"))
     outputs = t.lineitem.select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("marker"), (F.col("l_quantity") > 2).alias("has_sibling"))
-    steps = t.spark.createDataFrame(STEPS, "step string, marker string, stream string, needs_sibling boolean")
-    return runs, outputs, steps
+    return runs, outputs, STEPS
 
 
 def _table(t):

@@ -283,21 +283,20 @@ def _(t):
 
 
 def _cache(t):
-    rv = t.spark.range(0, 80, 9).select(F.col("id").cast("int").alias("voxel"))
-    return rv, t.patterns.select("vec_id", "subject", "item"), t.patterns.where("vec_id % 5 <> 0").select("vec_id", "vec")
+    return list(range(0, 80, 9)), t.patterns.select("vec_id", "subject", "item"), t.patterns.where("vec_id % 5 <> 0").select("vec_id", "vec")
 
 
 @query("m22_roi_cache", """WITH v AS (SELECT vec_id, unnest(range(64)) AS voxel, unnest(CAST(embedding AS DOUBLE[])) AS beta FROM embeddings WHERE vec_id % 5 <> 0) SELECT e.vec_id, printf('%02d', e.vec_id % 3) AS subject, CAST(label AS BIGINT) AS item, CAST(r.voxel AS INTEGER) AS voxel, beta FROM embeddings e CROSS JOIN (SELECT unnest(range(0, 80, 9)) AS voxel) r
   LEFT JOIN v ON v.vec_id = e.vec_id AND v.voxel = r.voxel""", ("beta",))
 def _(t):
     rv, tr, b = _cache(t)
-    return M.roi_cache(rv, b, tr, "voxel", "vec_id")
+    return M.roi_cache(rv, b, tr, "vec_id")
 
 
 @query("m22_cardinality_check", "SELECT count(*) * 9 AS n_rows, count(*) FILTER (vec_id % 5 <> 0) * 8 AS n_values, count(*) * 9 AS n_expected, true AS ok FROM embeddings")
 def _(t):
     rv, tr, b = _cache(t)
-    return M.cardinality_check(M.roi_cache(rv, b, tr, "voxel", "vec_id"), rv, tr)
+    return M.cardinality_check(M.roi_cache(rv, b, tr, "vec_id"), rv, tr)
 
 
 @query("m23_standardised_effect", C + """, q AS (SELECT roi, version, split_part(cell, '_', 1) AS level, unit, item, max(r) FILTER (cell LIKE '%same') AS s, max(r) FILTER (cell LIKE '%diff') AS d FROM cells GROUP BY ALL)
