@@ -58,12 +58,12 @@ def _(t):
                                                 "l_orderkey": (t.orders.where("o_orderstatus <> 'P'"), "o_orderkey")})
 
 
-@query("r06_shared_items", """WITH x AS (SELECT printf('%02d', l_suppkey % 20) AS subject, l_partkey % 150 AS pairId, l_partkey % 300 AS mmmId, CASE WHEN l_partkey % 150 < 75 THEN 3 ELSE 2 END AS enCon FROM lineitem WHERE l_partkey % 7 <> 0)
-  SELECT subject, pairId, count(*) AS n_presentations, min(mmmId) AS mmmId, min(enCon) AS enCon, count(DISTINCT mmmId) = 1 AND count(DISTINCT enCon) = 1 AS stable, CASE min(enCon) WHEN 3 THEN 'triplet' ELSE 'single' END AS role, CASE min(enCon) WHEN 3 THEN pairId ELSE 0 END AS position FROM x GROUP BY subject, pairId""")
+@query("r06_shared_items", """WITH x AS (SELECT printf('%02d', l_suppkey % 20) AS subject, l_partkey % 150 AS pairId, l_partkey % 300 AS imageId, CASE WHEN l_partkey % 150 < 75 THEN 3 ELSE 2 END AS enCon FROM lineitem WHERE l_partkey % 7 <> 0)
+  SELECT subject, pairId, count(*) AS n_presentations, min(imageId) AS imageId, min(enCon) AS enCon, count(DISTINCT imageId) = 1 AND count(DISTINCT enCon) = 1 AS stable, CASE min(enCon) WHEN 3 THEN 'triplet' ELSE 'single' END AS role, CASE min(enCon) WHEN 3 THEN pairId ELSE 0 END AS position FROM x GROUP BY subject, pairId""")
 def _(t):
     k = F.col("l_partkey")
-    x = t.lineitem.where(k % 7 != 0).select(pad2(F.col("l_suppkey") % 20).alias("subject"), (k % 150).alias("pairId"), (k % 300).alias("mmmId"), F.when(k % 150 < 75, 3).otherwise(2).alias("enCon"))
-    return R.shared_items(x, ["subject"], "pairId", ["mmmId", "enCon"])
+    x = t.lineitem.where(k % 7 != 0).select(pad2(F.col("l_suppkey") % 20).alias("subject"), (k % 150).alias("pairId"), (k % 300).alias("imageId"), F.when(k % 150 < 75, 3).otherwise(2).alias("enCon"))
+    return R.shared_items(x, ["subject"], "pairId", ["imageId", "enCon"])
 
 
 @query("r07_verified_inputs", """WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT o_orderpriority, max(o_totalprice) - min(o_totalprice) AS d FROM orders GROUP BY 1)
