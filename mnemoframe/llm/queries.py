@@ -6,23 +6,43 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, quality, simhash, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
+END = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.stored(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    bits = F.lower(F.lpad(F.hex(F.element_at("fingerprint", 1)), 16, "0"))
+    return rows.select(F.col("id").alias("doc_id"), bits.alias("fingerprint"), "component_id")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.round_trip(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe,)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_simhash, op5_bpe, op7_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
