@@ -174,7 +174,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end: int, doc_id: str
             yield pa.RecordBatch.from_pylist([{"shard": number, "path": f"{folder}/{number:08d}", "n_docs": n_docs, "n_tokens": writer.total}])
 
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(shard, "shard int, path string, n_docs long, n_tokens long"), "manifest")
+    return written(ordered.mapInArrow(shard, "shard long, path string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
