@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, token_files, toxicity
+from . import bpe, quality, secret_scan, simhash, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -26,6 +26,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.stored(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
     bits = F.lower(F.lpad(F.hex(F.element_at("fingerprint", 1)), 16, "0"))
@@ -42,7 +47,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op4_simhash, op5_bpe, op7_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_secrets, op4_simhash, op5_bpe, op7_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
