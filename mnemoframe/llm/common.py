@@ -65,3 +65,9 @@ def sampled(df: DataFrame, rows: int, total: int, *keys: str) -> DataFrame:
     """About `rows` of `total` rows, chosen by a hash of the keys, so that every run takes the same ones."""
     share = min(1.0, rows / max(1, total))
     return df if share >= 1 else df.where(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def with_words(df: DataFrame, lowered: Column, line: str = "_line", words: str = "_words") -> DataFrame:
+    """df with the words of a lower-cased text, digits, a-z and all beyond ASCII, as a line and as an array."""
+    df = df.withColumn(line, F.trim(F.regexp_replace(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")))
+    return df.withColumn(words, F.when(F.col(line) != "", F.split(line, " ")).otherwise(F.array().cast("array<string>")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality, secret_scan, simhash, token_files, toxicity
+from . import bpe, decontaminate, pii, quality, secret_scan, simhash, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -56,8 +56,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_secrets, op4_simhash, op5_bpe, op6_pii, op7_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_secrets, op4_simhash, op5_bpe, op6_pii, op7_quality, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
