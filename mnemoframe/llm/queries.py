@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality, secret_scan, simhash, token_files, toxicity
+from . import bpe, decontaminate, license_scan, pii, quality, secret_scan, simhash, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -56,6 +56,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.licences(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -63,7 +68,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_secrets, op4_simhash, op5_bpe, op6_pii, op7_quality, op9_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_secrets, op4_simhash, op5_bpe, op6_pii, op7_quality, op8_licenses, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
