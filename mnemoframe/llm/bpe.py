@@ -18,6 +18,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -88,6 +89,7 @@ class Encoder:
         self.joined = {a + b for t in self.vocab for a, b in zip(t.removesuffix(WORD_END), t.removesuffix(WORD_END)[1:])}
         self.decimal = {i: str(i) for i in self.token}
         self.word = Known(self._word)
+        self.ids_bytes = Known(lambda run: np.array(self.encode_run(run), np.int32).tobytes())
         self.ids_text = Known(self._ids_text)
         self.tokens_text = Known(lambda run: self.decode(self.encode_run(run)))
 
@@ -147,11 +149,11 @@ class Encoder:
         return " ".join([self.decimal[i] for i in ids])
 
     def trim(self) -> None:
-        for known in (self.word, self.ids_text, self.tokens_text):
+        for known in (self.word, self.ids_bytes, self.ids_text, self.tokens_text):
             known.trim()
 
-    def encode(self, text: str) -> list[int]:
-        return [i for run in runs_of(text) for i in self.encode_run(run)]
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.ids_bytes.__getitem__, runs_of(text))), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The tokens with one blank between them, as the tokenizer has no decoder; unknown ids have no token."""
@@ -164,20 +166,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _per_text(path: str, kind: pa.DataType, value: Callable[[Encoder, str], object]):
+def encoded(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """docs with a column of token ids; an earlier column of that name is replaced."""
     def batch(texts: pa.Array) -> pa.Array:
         own = encoder(path)
-        out = pa.array([value(own, t or "") for t in texts.to_pylist()], kind)
+        each = [own.encode(t or "") for t in texts.to_pylist()]
         own.trim()
-        return out
+        ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.empty(0, np.int32)))
 
-    return batch
-
-
-def encoded(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """docs with a column of token ids; an earlier column of that name is replaced."""
-    run = F.arrow_udf(_per_text(path, pa.list_(pa.int32()), Encoder.encode), "array<int>")
-    return docs.withColumn(ids, run(text_of(text)))
+    return docs.withColumn(ids, F.arrow_udf(batch, "array<int>")(text_of(text)))
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -199,5 +197,11 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         back = " ".join(filter(None, map(own.tokens_text.__getitem__, runs)))
         return {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids_sha256": hashlib.sha256(ids.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(back.encode()).hexdigest()}
 
-    run = F.arrow_udf(_per_text(path, kind, digest), "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def batch(texts: pa.Array) -> pa.Array:
+        own = encoder(path)
+        out = pa.array([digest(own, t or "") for t in texts.to_pylist()], kind)
+        own.trim()
+        return out
+
+    run = F.arrow_udf(batch, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.withColumn("_trip", run(text_of(text))).withColumns({c: F.col(f"_trip.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_trip")

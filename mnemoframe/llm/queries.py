@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, pii, quality, secret_scan, simhash, token_files, toxicity
+from . import bpe, decontaminate, license_scan, near_vectors, pii, quality, secret_scan, simhash, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -67,8 +67,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors.neighbours(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_secrets, op4_simhash, op5_bpe, op6_pii, op7_quality, op8_licenses, op9_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_secrets, op4_simhash, op5_bpe, op6_pii, op7_quality, op8_licenses, op9_decontamination, op10_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
