@@ -137,6 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample_ro
 
     rows = labelled(wide, chosen, label, learn).repartition(1).sortWithinPartitions("doc_id", "text", "y").select("text", "y")
     m = rows.mapInArrow(in_one_task, "good binary, bad binary, slopes array<double>, intercept double").first()
+    if m is None:  # no labelled row is among the documents
+        return learned([], share)
     return Quality(bytes(m.good), bytes(m.bad), list(m.slopes), m.intercept)
 
 

@@ -162,8 +162,8 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
     best = rows.groupBy("component_id", group.alias("alone")).agg(F.min(order).alias("best"))
     copies = rows.groupBy("id", "row").agg(F.count("*").alias("n"))
-    chosen = best.select("best.id", "best.row").join(copies.withColumnsRenamed({"id": "i", "row": "r"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r"))).select("id", "row", "n")
+    twins = copies.select(F.col("id").alias("_i"), F.col("row").alias("_r"), F.col("n").alias("_n"))
+    chosen = best.select("best.id", "best.row").join(twins, F.col("id").eqNullSafe(F.col("_i")) & (F.col("row") == F.col("_r"))).select("_i", "_r", "_n")
     named = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = named.join(chosen, named[doc_id].eqNullSafe(chosen.id) & (F.col("_row") == chosen.row))
-    columns = [named[f"`{c}`"] for c in docs.columns]
-    return kept.where("n = 1").select(*columns).unionAll(kept.where("n > 1").select(*columns).dropDuplicates())
+    kept = named.join(chosen, named[doc_id].eqNullSafe(chosen["_i"]) & (F.col("_row") == F.col("_r")))
+    return kept.where("_n = 1").select(*docs.columns).unionAll(kept.where("_n > 1").select(*docs.columns).dropDuplicates())
