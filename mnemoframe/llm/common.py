@@ -55,10 +55,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
+BROADCAST_LABELS = 2_000_000
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
-    """(doc_id, text, y) of the rows that may be learned from. Several labels of one id: the largest counts."""
-    y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    return docs.select("doc_id", text_of().alias("text")).where(learn).join(y.where(learn), "doc_id")
+    """(doc_id, text, y) of the rows that may be learned from. Several labels of one id: the largest counts.
+
+    The labels are counted first: up to BROADCAST_LABELS of them (two numbers each) go to the texts, beyond that both
+    sides are shuffled.
+    """
+    y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).where(learn)
+    y = F.broadcast(y) if y.count() <= BROADCAST_LABELS else y
+    return docs.select("doc_id", text_of().alias("text")).where(learn).join(y, "doc_id")
 
 
 def sampled(df: DataFrame, rows: int, total: int, *keys: str) -> DataFrame:
