@@ -110,13 +110,29 @@ def two_sided_p_sql(z: str) -> str:
     return f"({poly} * exp(-({x} * {x})))"
 
 
+def snapped(r) -> Column:
+    """r within 1e-12 of a perfect correlation is one: rounding must not tell equal pairs apart."""
+    return F.when(F.abs(r) >= 1 - 1e-12, F.signum(r)).otherwise(r)
+
+
+def significant(x, digits: int = 12) -> Column:
+    """x rounded to so many significant digits; 0 stays."""
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, 0.0).otherwise(F.round(x * scale) / scale)
+
+
+def significant_sql(x: str, digits: int = 12) -> str:
+    scale = f"pow(10.0, {digits - 1} - floor(log10(abs({x}))))"
+    return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round({x} * {scale}) / {scale} END"
+
+
 def pearson_from_sums(n, sx, sy, sxx, syy, sxy) -> Column:
     """Pearson r from six sums; NULL where a side is constant (to 1e-12 of its second moment)."""
     c = [F.col(v) if isinstance(v, str) else v for v in (n, sx, sy, sxx, syy, sxy)]
     n, sx, sy, sxx, syy, sxy = c
     vx, vy = sxx - sx * sx / n, syy - sy * sy / n
     ok = (n > 0) & (vx > sxx * 1e-12) & (vy > syy * 1e-12)
-    return F.when(ok, (sxy - sx * sy / n) / F.sqrt(vx * vy))
+    return F.when(ok, snapped((sxy - sx * sy / n) / F.sqrt(vx * vy)))
 
 
 def r_agg(x, y) -> Column:
@@ -126,7 +142,7 @@ def r_agg(x, y) -> Column:
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
     sd = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(F.count(x) >= 2, F.covar_pop(x, y) / F.when(sd > 1e-14, sd))
+    return F.when(F.count(x) >= 2, snapped(F.covar_pop(x, y) / F.when(sd > 1e-14, sd)))
 
 
 def fisher_z(r) -> Column:

@@ -1,6 +1,7 @@
-"""Cross-product sums computed per Arrow batch and added up by Spark.
+"""Cross products of columns, formed once per group and block and added up by Spark.
 
-A batch gives one small matrix per key, so the number of pairs never multiplies the rows that are shuffled.
+Rows are dealt by group and by one of BLOCKS hashes of their values, so that a hot group is spread; a task adds up all
+rows of a group it has and sends one row of numbers, however many Arrow batches they came in.
 """
 
 from __future__ import annotations
@@ -14,44 +15,65 @@ from pyspark.sql import types as T
 from .core import pearson_from_sums
 
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+BLOCKS = 16
 
 
-def _fields(df: DataFrame, keys):
-    return [df.schema[k] for k in keys]
+def summed_products(df: DataFrame, keys, columns, product) -> DataFrame:
+    """(keys, pos, v): `product` of all rows of a group, flattened. product takes a matrix of the columns and returns an
+    array that may be added."""
+    keys, columns = list(keys), list(columns)
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_products", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        held, total = None, None
+        for pdf in batches:
+            groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
+            for key, g in groups:
+                part = product(g[columns].to_numpy(dtype="float64"))
+                key = key if isinstance(key, tuple) else (key,)
+                if held is not None and all(a == b or (pd.isna(a) and pd.isna(b)) for a, b in zip(key, held)):
+                    total = total + part
+                    continue
+                if held is not None:
+                    yield pd.DataFrame([[*held, total.ravel()]], columns=[*keys, "_products"])
+                held, total = key, part
+        if held is not None:
+            yield pd.DataFrame([[*held, total.ravel()]], columns=[*keys, "_products"])
+
+    x = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    x = x.repartition(*keys, F.pmod(F.xxhash64(*columns), F.lit(BLOCKS))).sortWithinPartitions(*keys) if keys else x
+    return x.mapInPandas(run, schema).select(*keys, F.posexplode("_products").alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
 
 
 def pair_sums(wide: DataFrame, keys, members) -> DataFrame:
     """Six sums for every pair a < b of the member columns, over rows where both are present. `members` is a
     declared roster, so the matrix has a fixed size."""
     keys, members = list(keys), list(members)
-    left, right = np.triu_indices(len(members), 1)
-    schema = T.StructType(_fields(wide, keys) + [T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]
-                          + [T.StructField(s, T.DoubleType()) for s in _SUMS])
+    first, second = np.triu_indices(len(members), 1)
 
-    def run(batches):
-        for pdf in batches:
-            groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
-            for key, g in groups:
-                x = g[members].to_numpy(dtype="float64")
-                m = np.isfinite(x).astype("float64")
-                x = np.where(m > 0, x, 0.0)
-                n, s, q, c = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
-                out = pd.DataFrame({"a": left, "b": right, "n": n[left, right], "sx": s[left, right], "sy": s[right, left],
-                                    "sxx": q[left, right], "syy": q[right, left], "sxy": c[left, right]})
-                for k, v in zip(keys, key if isinstance(key, tuple) else (key,)):
-                    out[k] = v
-                yield out[keys + ["a", "b", *_SUMS]]
+    def product(x):
+        there = np.isfinite(x)
+        x = np.where(there, x, 0.0)
+        both = there[:, first] & there[:, second]
+        u, v = np.where(both, x[:, first], 0.0), np.where(both, x[:, second], 0.0)
+        return np.stack([both.sum(axis=0), u.sum(axis=0), v.sum(axis=0), (u * u).sum(axis=0), (v * v).sum(axis=0), (u * v).sum(axis=0)])
 
-    part = wide.select(*keys, *[F.col(m).cast("double").alias(m) for m in members]).mapInPandas(run, schema)
-    return part.groupBy(*keys, "a", "b").agg(*[F.sum(s).alias(s) for s in _SUMS])
+    n = len(first)
+    flat = summed_products(wide, keys, members, product)
+    named = [F.sum(F.when(F.floor(F.col("pos") / n) == i, F.col("v"))).alias(s) for i, s in enumerate(_SUMS)]
+    sums = flat.groupBy(*keys, (F.col("pos") % n).alias("pair")).agg(*named)
+    at = lambda xs: F.get(F.array(*[F.lit(int(i)) for i in xs]), F.col("pair"))
+    return sums.select(*keys, at(first).alias("a"), at(second).alias("b"), *_SUMS)
 
 
 def pair_correlations(long: DataFrame, keys, at, member: str, value: str, roster, min_n: int = 2) -> DataFrame:
     """Pearson r between members, over the `at` positions both have: (keys, member_a, member_b, n, r).
-    Constant sides give no row."""
+    Constant sides give no row; a member outside the roster is an error."""
     roster = [str(m) for m in roster]
     at = [at] if isinstance(at, str) else list(at)
-    wide = long.groupBy(*keys, *at).pivot(member, roster).agg(F.avg(value))
+    known = F.col(member).cast("string").isin(*roster)
+    checked = F.when(known, F.col(member).cast("string")).otherwise(F.raise_error(F.concat(F.lit("not in the roster: "), F.coalesce(F.col(member).cast("string"), F.lit("NULL")))))
+    wide = long.withColumn(member, checked).groupBy(*keys, *at).pivot(member, roster).agg(F.avg(value))
     sums = pair_sums(wide, keys, roster)
     names = F.array(*[F.lit(m) for m in roster])
     r = pearson_from_sums("n", "sx", "sy", "sxx", "syy", "sxy")
@@ -61,29 +83,21 @@ def pair_correlations(long: DataFrame, keys, at, member: str, value: str, roster
 
 def normal_equations(df: DataFrame, keys, x, y) -> DataFrame:
     """Sums X'X and X'Y (first column 1) per key as rows (keys, pos, v); missing x is 0, rows without y drop."""
-    keys, x, y = list(keys), list(x), list(y)
-    schema = T.StructType(_fields(df, keys) + [T.StructField("g", T.ArrayType(T.DoubleType()))])
+    x, y = list(x), list(y)
 
-    def run(batches):
-        for pdf in batches:
-            groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
-            for key, g in groups:
-                a = np.column_stack([np.ones(len(g)), np.nan_to_num(g[x].to_numpy(dtype="float64"), nan=0.0)])
-                full = np.column_stack([a, g[y].to_numpy(dtype="float64")])
-                full = full[np.isfinite(full).all(axis=1)]
-                row = dict(zip(keys, key if isinstance(key, tuple) else (key,)))
-                row["g"] = (full.T @ full).ravel()
-                yield pd.DataFrame([row], columns=keys + ["g"])
+    def product(m):
+        full = np.column_stack([np.ones(len(m)), np.nan_to_num(m[:, : len(x)], nan=0.0), m[:, len(x):]])
+        full = full[np.isfinite(full).all(axis=1)]
+        return full.T @ full
 
-    part = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in (*x, *y)]).mapInPandas(run, schema)
-    return part.select(*keys, F.posexplode("g").alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
+    return summed_products(df, keys, [*x, *y], product)
 
 
 def least_squares(df: DataFrame, keys, x, y) -> DataFrame:
     """OLS coefficients per key: array `beta` of 1 + len(x) values for one y. The grouped step sees one small
     matrix per key, never the rows."""
     keys, p = list(keys), len(x) + 2
-    schema = T.StructType(_fields(df, keys) + [T.StructField("beta", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("beta", T.ArrayType(T.DoubleType()))])
 
     def solve(pdf):
         g = np.zeros(p * p)

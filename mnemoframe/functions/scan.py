@@ -13,24 +13,22 @@ from pyspark.sql import functions as F
 BLOCK = 65536
 
 
-def _cols(xs):
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
-
-
 def running_total(df: DataFrame, keys, order, block: Column, value: Column, out: str,
                   inclusive: bool = True) -> DataFrame:
-    """Running sum of value per group in order; NULL values add nothing."""
+    """Running sum of value per group in order; NULL values add nothing. Rows without a key form a group of their
+    own, rows without an order come last."""
     keys = list(keys)
     b = df.withColumn("_blk", block).withColumn("_val", F.coalesce(value, F.lit(0)))
     totals = b.groupBy(*keys, "_blk").agg(F.sum("_val").alias("_tot"))
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_blk", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_carry"))
+    before = Window.partitionBy(*keys).orderBy(F.col("_blk").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "_blk"])], F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_carry"))
     end = 0 if inclusive else -1
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, end)
+    inside = Window.partitionBy(*keys, "_blk").orderBy(*[c if isinstance(c, Column) else F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, end)
     local = b.withColumn("_loc", F.coalesce(F.sum("_val").over(inside), F.lit(0)))
-    return (local.join(carry, keys + ["_blk"])
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, "_blk"])]
+    return (local.join(carry, same)
             .withColumn(out, F.col("_loc") + F.col("_carry"))
-            .drop("_blk", "_val", "_loc", "_carry"))
+            .drop("_blk", "_val", "_loc", "_carry", *[f"_k{i}" for i in range(len(keys) + 1)]))
 
 
 def row_index(df: DataFrame, keys, order, block: Column, out: str) -> DataFrame:

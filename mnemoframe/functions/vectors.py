@@ -99,15 +99,28 @@ def cell_sums(df: DataFrame, key: str, vec: str, cell: str, n_blocks: int) -> Da
     component counts. r uses the components both rows have (at least 3)."""
     schema = "cell_a long, cell_b long, n_pairs long, sum_r double, sum_n double"
 
+    def centred(side):
+        x = np.vstack(side[vec].to_numpy()).astype("float64")
+        there = np.isfinite(x)
+        x = np.where(there, x, 0.0)
+        own = x.sum(axis=1, keepdims=True) / np.maximum(there.sum(axis=1, keepdims=True), 1)
+        return np.where(there, x - own, 0.0), there.astype("float64")
+
+    def left_over(x, there, other, n):
+        """Sum and variation of each left row over the components the right row has too; 0 where it is constant."""
+        s, q = x @ other.T, (x * x) @ other.T
+        rest = q - s * s / n
+        scale = np.square(np.vstack([x.max(axis=1, initial=0), x.min(axis=1, initial=0)])).max(axis=0)[:, None]
+        return s, np.where(rest > 1e-12 * np.maximum(q, scale), rest, 0.0)
+
     def reduce(left, right, same):
-        a, b = (np.vstack(s[vec].to_numpy()).astype("float64") for s in (left, right))
-        ma, mb = np.isfinite(a).astype("float64"), np.isfinite(b).astype("float64")
-        a, b = np.where(ma > 0, a, 0.0), np.where(mb > 0, b, 0.0)
-        n = ma @ mb.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sx, sy = a @ mb.T, ma @ b.T
-            vx, vy = (a * a) @ mb.T - sx * sx / n, ma @ (b * b).T - sy * sy / n
-            r = (a @ b.T - sx * sy / n) / np.sqrt(vx * vy)
+        (x, mx), (y, my) = centred(left), centred(right)
+        n = mx @ my.T
+        some = np.maximum(n, 1)
+        sx, vx = left_over(x, mx, my, some)
+        sy, vy = left_over(y, my, mx, some.T)
+        both = vx * vy.T
+        r = np.where(both > 0, (x @ y.T - sx * sy.T / some) / np.sqrt(np.where(both > 0, both, 1.0)), np.nan)
         ok = (n >= 3) & np.isfinite(r)
         if same:
             ok &= np.triu(np.ones_like(ok), 1).astype(bool)

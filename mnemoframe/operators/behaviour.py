@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.core import (adjusted_skew, div, first_by, half_even, norm_ppf, num, sem, top_per_group,
                               with_group_stats)
 from ..functions.quantiles import with_quantiles
-from ..functions.scan import id_block, ordered_neighbours
+from ..functions.scan import running_total, id_block, ordered_neighbours
 from .cleaning import session_order
 
 
@@ -225,10 +225,14 @@ def named_report(name: str, df: DataFrame, subjects=None, sessions=None) -> Data
     return report(df, REPORTS[name], subjects, sessions)
 
 
-def ranking(df: DataFrame, feature: str, n: int, tie: str) -> DataFrame:
-    """Top n rows by a feature; sorts with a limit, so only n rows per task move."""
-    x = df.where(num(feature).isNotNull()).orderBy(F.col(feature).desc(), tie).limit(n)
-    return x.withColumn("rank", F.row_number().over(Window.orderBy(F.col(feature).desc(), tie)).cast("long"))
+def ranking(df: DataFrame, feature: str, tie: str) -> DataFrame:
+    """All rows that have the feature, ranked by it from the largest. Values are counted first: the rank is the number
+    of rows with larger values, found over blocks of values, plus the place among equals."""
+    x = df.where(num(feature).isNotNull()).withColumn("_v", -num(feature))
+    c = x.groupBy("_v").agg(F.count("*").alias("_c"))
+    above = running_total(c, [], ["_v"], F.floor(F.col("_v") / 16).cast("long"), F.col("_c"), "_above", inclusive=False).select("_v", "_above")
+    w = Window.partitionBy("_v").orderBy(tie)
+    return x.withColumn("_at", F.row_number().over(w)).join(above, "_v").withColumn("rank", (F.col("_above") + F.col("_at")).cast("long")).drop("_v", "_at", "_above")
 
 
 def histogram(df: DataFrame, feature: str, bins: int = 40, group_cols=None) -> DataFrame:

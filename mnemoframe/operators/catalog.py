@@ -11,16 +11,37 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import pad2, top_per_group
+from ..functions.core import pad2
 from ..functions.quantiles import exact_quantiles
+from ..functions.scan import id_block, row_index
 
 RESULT = ["check_name", "subject", "session", "task", "run", "status", "expected", "actual"]
 
 
+def _plan_nodes(plan):
+    """Names of all nodes of a parsed statement."""
+    yield plan.getClass().getSimpleName()
+    children = plan.children().iterator()
+    while children.hasNext():
+        yield from _plan_nodes(children.next())
+
+
+WRITES = re.compile(r"Insert|Update|Delete|Merge|Create|Drop|Alter|Replace|Rename|Truncate|Load|Repair|Cache|Refresh|Set|Add|Execute|Call|Analyze")
+
+
 def run_select(spark: SparkSession, sql: str, params: dict | None = None, **tables: DataFrame) -> DataFrame:
-    """Read-only SQL over named tables ({name} in the text) with bound parameters (:name)."""
-    if not re.match(r"(?is)^\s*(select|with|describe|show|summarize)\b", sql):
+    """Read-only SQL over named tables ({name} in the text) with bound parameters (:name). The statement is parsed
+    first and refused if any part of it writes or changes a setting. SUMMARIZE gives a summary of a query or table."""
+    summary = re.match(r"(?is)^\s*summarize\s+(.*)$", sql)
+    if summary:
+        body = summary.group(1)
+        return run_select(spark, body if re.match(r"(?is)^\s*(select|with)\b", body) else f"SELECT * FROM {body}", params, **tables).summary()
+    if not re.match(r"(?is)^\s*(select|with|describe|show)\b", sql):
         raise ValueError("only SELECT, WITH, DESCRIBE, SHOW and SUMMARIZE are allowed")
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r"\{(\w+)\}", r"\1", sql))
+    for node in _plan_nodes(plan):
+        if WRITES.search(node):
+            raise ValueError(f"not a read-only statement: {node}")
     return spark.sql(sql, args=params or {}, **tables)
 
 
@@ -281,10 +302,10 @@ def conversion_counts(source: DataFrame, done: DataFrame, key: str, by) -> DataF
         F.count(F.when(~F.col("converted"), 1)).alias("n_pending"))
 
 
-def pending_report(source: DataFrame, done: DataFrame, key: str, by, n: int = 20) -> DataFrame:
-    """The first n pending items per group; the report shows n, the counts above cover all."""
-    left = source.join(done.select(key).distinct(), key, "left_anti")
-    return top_per_group(left, by, [key], n).select(*by, key, F.col("_rn").cast("long").alias("position"))
+def pending_report(source: DataFrame, done: DataFrame, key: str, by) -> DataFrame:
+    """Every pending item with its position in its group; a listing cuts where it likes. The key is an integer."""
+    left = source.join(done.select(key).distinct(), key, "left_anti").select(*by, key)
+    return row_index(left, by, [key], id_block(key), "position").withColumn("position", F.col("position") + 1)
 
 
 def truncated_runs(images: DataFrame, minimum: int, volumes: str = "n_volumes") -> DataFrame:
@@ -325,7 +346,8 @@ def duplicate_protocols(series: DataFrame, keys) -> DataFrame:
 
 def fieldmap_pairs(series: DataFrame, key: str) -> DataFrame:
     """Pair the two phase directions per session: by suffix when any series carries one (exactly one of
-    each), else by order (one pair, two pairs, or the first two of more with a warning)."""
+    each), else by order: the k-th of one direction with the k-th of the other, with a warning unless there are one or two
+    of each. The first two pairs have names, later ones are numbered."""
     s = series.withColumn("suffix", F.coalesce("suffix", F.lit("")))
     ap, pa = F.col("direction") == "ap", F.col("direction") == "pa"
     per = s.groupBy(key).agg(F.max(F.col("suffix") != "").alias("by_suffix"), F.count(F.when(ap, 1)).alias("n_ap"),
@@ -338,14 +360,14 @@ def fieldmap_pairs(series: DataFrame, key: str) -> DataFrame:
              .where("warning or (_a = 1 and _p = 1)")
              .withColumn("ap", F.when(~F.col("warning"), F.col("ap"))).withColumn("pa", F.when(~F.col("warning"), F.col("pa")))
              .select(key, F.lit("series_description").alias("strategy"), "pair", "ap", "pa", "warning"))
-    first = top_per_group(s.join(per.where("not by_suffix"), key), [key, "direction"], ["series_number"], 2)
+    first = row_index(s.join(per.where("not by_suffix"), key), [key, "direction"], ["series_number"], id_block("series_number"), "_k").withColumn("_rn", F.col("_k") + 1)
     order = (first.groupBy(key, "n_ap", "n_pa", "_rn")
              .agg(F.min(F.when(ap, F.col("series_number"))).alias("ap"), F.min(F.when(pa, F.col("series_number"))).alias("pa")))
     na, np_ = F.col("n_ap"), F.col("n_pa")
     regular = ((na == 2) & (np_ == 2)) | ((na == 1) & (np_ == 1))
     usable = regular | (((na > 2) | (np_ > 2)) & (na >= 2) & (np_ >= 2))
     numbered = order.select(key, F.lit("series_number").alias("strategy"),
-                            F.when(usable, F.when(F.col("_rn") == 1, "encoding").otherwise("retrieval")).alias("pair"),
+                            F.when(usable, F.when(F.col("_rn") == 1, "encoding").when(F.col("_rn") == 2, "retrieval").otherwise(F.concat(F.lit("pair "), F.col("_rn").cast("string")))).alias("pair"),
                             F.when(usable, F.col("ap")).alias("ap"), F.when(usable, F.col("pa")).alias("pa"),
                             (~regular).alias("warning"))
     return named.unionByName(numbered.distinct())

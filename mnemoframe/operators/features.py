@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import div, draw, with_group_stats
 from ..functions.quantiles import exact_quantiles
 from ..functions.scan import id_block, row_index, with_neighbours
 from ..functions.vectors import BLOCK_ROWS, block_count, dot, explode_unit, with_scale
-from ..session import settle
 from .series import lag_similarity
 
 # Penalties tried (11, log-spaced from 10 to 10^6), embedding column prefixes.
 ALPHAS = tuple(float(10.0 ** (1 + 0.5 * i)) for i in range(11))
 HIGH_DIM_PREFIXES = ("clip_", "resnet_", "dinov2_", "gist_", "ebind_", "emb_")
-MAX_DRIVER_DIM = 4096
 
 
 def prefixed_columns(df: DataFrame, prefix: str) -> list[str]:
-    """Columns `prefix` + number, in number order."""
-    cols = [c for c in df.columns if c.startswith(prefix) and c[len(prefix):].isdigit()]
-    return sorted(cols, key=lambda c: int(c[len(prefix):]))
+    """Columns named `prefix` and a number, by number."""
+    numbered = {int(m[1]): m[0] for m in (re.fullmatch(f"{re.escape(prefix)}([0-9]+)", c) for c in df.columns) if m}
+    return [numbered[i] for i in sorted(numbered)]
 
 
 def unit_vectors(df: DataFrame, vec: str, out: str = "u", guard: bool = True) -> DataFrame:
@@ -90,17 +90,11 @@ def relation_summary(parts: dict[str, DataFrame]) -> DataFrame:
     return n.join(exact_quantiles(long, ["relation"], "nn_cosine", {"p10": .1, "median": .5, "p90": .9}), "relation")
 
 
-def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Seeded sample of n rows (a figure's size), numbered in key order."""
-    s = df.orderBy(draw(seed, key), key).limit(n)
-    return s.withColumn("row", F.row_number().over(Window.orderBy(key)).cast("long") - 1)
-
-
-def cosine_matrix(df: DataFrame, key: str, vec: str, n: int, seed: int) -> DataFrame:
-    """Cosine of all pairs of a seeded sample of n rows, as (i, j, cosine)."""
-    u = explode_unit(with_scale(sample_rows(df, key, n, seed), vec, centre=False), ["row"], vec)
-    b = u.select(F.col("row").alias("j"), "pos", F.col("x").alias("_y"))
-    return u.withColumnRenamed("row", "i").join(b, "pos").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("_y")).alias("cosine"))
+def cosine_matrix(vectors: DataFrame, key: str) -> DataFrame:
+    """Cosine of all pairs of a small table of unit vectors, such as the centroids of groups, given as components
+    (key, pos, x): (i, j, cosine)."""
+    i, j = vectors.select(F.col(key).alias("i"), "pos", F.col("x").alias("_x")), vectors.select(F.col(key).alias("j"), "pos", F.col("x").alias("_y"))
+    return i.join(j, "pos").groupBy("i", "j").agg(F.sum(F.col("_x") * F.col("_y")).alias("cosine"))
 
 
 def components(df: DataFrame, keep, vec: str) -> DataFrame:
@@ -144,18 +138,18 @@ def grid_check(frames: DataFrame, movie: str, idx: str, time: str, step: float)
     return d.groupBy(movie).agg(F.count("*").alias("n_frames"), F.count(F.when(F.abs(F.col("_d") - step) > 1e-8 + 1e-5 * abs(step), 1)).alias("n_uneven"))
 
 
-def scalar_columns(df: DataFrame, prefixes=HIGH_DIM_PREFIXES) -> list[str]:
-    """Numeric columns that are no embedding components and not the time (schema only)."""
-    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
-    return [c for c, t in df.dtypes if (t in numeric or t.startswith("decimal")) and c != "time" and not c.startswith(tuple(prefixes))]
+def scalar_columns(df: DataFrame, vectors, time: str = "time") -> list[str]:
+    """Numeric columns that belong to none of the vector families named by prefix and are not the time (schema only)."""
+    family = re.compile("|".join(map(re.escape, vectors)) or r"(?!)")
+    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name != time and not family.match(f.name)]
 
 
-def feature_timeline(df: DataFrame, features=None, start=None, end=None, time: str = "time") -> DataFrame:
+def feature_timeline(df: DataFrame, features=None, start=None, end=None, time: str = "time", vectors=HIGH_DIM_PREFIXES) -> DataFrame:
     if start is not None:
         df = df.where(F.col(time) >= start)
     if end is not None:
         df = df.where(F.col(time) <= end)
-    return df.select(time, *(features or scalar_columns(df)))
+    return df.select(time, *(features or scalar_columns(df, vectors, time)))
 
 
 def pick_movie(df: DataFrame, name: str, movie: str = "movie") -> DataFrame:
@@ -173,17 +167,18 @@ def split_caption_id(df: DataFrame, c: str) -> DataFrame:
 # -- ridge -------------------------------------------------------------------------------------------------------------
 
 def moments(df: DataFrame, x: str, y: str) -> tuple[int, np.ndarray, int, int]:
-    """(n, cross products of [1, x, y], dim x, dim y). Partial matrices per Arrow batch are added by Spark; only the
-    final (1 + dx + dy)^2 numbers reach the driver, and their size is checked first."""
+    """(n, cross products of [1, x, y], dim x, dim y). Each task adds up one matrix over all its batches and Spark adds
+    those; the final (1 + dx + dy)^2 numbers reach the driver, where they are solved."""
     dx, dy = df.select(F.size(x), F.size(y)).first()
     p = 1 + dx + dy
-    if p > MAX_DRIVER_DIM:
-        raise ValueError(f"{p} columns are too many for a solve on the driver")
 
     def run(batches):
+        total = np.zeros((p, p))
         for pdf in batches:
-            m = np.column_stack([np.ones(len(pdf)), np.vstack(pdf[x].to_numpy()), np.vstack(pdf[y].to_numpy())]).astype("float64")
-            yield pd.DataFrame({"g": [(m.T @ m).ravel()]})
+            if len(pdf):
+                m = np.column_stack([np.ones(len(pdf)), np.vstack(pdf[x].to_numpy()), np.vstack(pdf[y].to_numpy())]).astype("float64")
+                total += m.T @ m
+        yield pd.DataFrame({"g": [total.ravel()]})
 
     part = df.select(x, y).mapInPandas(run, "g array<double>").select(F.posexplode("g").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
     rows = part.toPandas()
@@ -264,7 +259,6 @@ def rank_table(corr: DataFrame) -> DataFrame:
 def identification(corr: DataFrame, seed: int, n_perm: int) -> DataFrame:
     """Rank accuracy and its label-permutation p = (1 + #null >= observed) / (1 + n). Permutations are rows: the order
     of seeded draws, one small group per permutation."""
-    corr = settle(corr)  # declared items squared
     ranks = rank_table(corr)
     n = corr.select("a").distinct().agg(F.count("*").cast("double").alias("n_items"))
     acc = lambda d, keys: d.groupBy(*keys).agg(F.avg("rank").alias("_mr"))
@@ -300,11 +294,11 @@ def _mapped(df: DataFrame, x: str, m: np.ndarray, out: str) -> DataFrame:
     return df.withColumn(out, apply(F.col(x).cast("array<double>")))
 
 
-def align_and_evaluate(train: DataFrame, series: DataFrame, x: str, y: str, movie: str, length: int, seed: int, features: str | None = None, ranks=(),
+def align_and_evaluate(train: DataFrame, series: DataFrame, x: str, y: str, movie: str, seed: int, features: str | None = None, ranks=(),
                        n_perm: int = 1000, n_boot: int = 1000) -> DataFrame:
     """Similarity of mapped source and target patterns per route (as they are, rotated, through the features), tested
     against circular shifts shared by all routes, with a bootstrap over movies of the gain. `series` holds (movie, t,
-    x, y) with t in 0..length-1."""
+    x, y) with t from 0 to the end of each movie."""
     routes = {"anatomical": series.withColumn("_a", F.col(x).cast("array<double>"))}
     routes.update({name: _mapped(series, x, m, "_a") for name, m in procrustes(train, x, y, ranks).items()})
     if features:
@@ -312,19 +306,20 @@ def align_and_evaluate(train: DataFrame, series: DataFrame, x: str, y: str, movi
         routes["stimulus"] = enc.transform(dec.transform(series, x, "_f"), "_f", "_a")
     long = reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("route"), movie, "t", F.posexplode(F.arrays_zip(F.col("_a").alias("a"), F.col(y).cast("array<double>").alias("b"))).alias("voxel", "_e"))
                                           for n, d in routes.items()])
-    lags = lag_similarity(long.select("route", movie, "t", "voxel", F.col("_e.a").alias("a"), F.col("_e.b").alias("b")), ["route", movie], "voxel", length)
-    return _test_routes(settle(lags), movie, length, seed, n_perm, n_boot)
+    lags = lag_similarity(long.select("route", movie, "t", "voxel", F.col("_e.a").alias("a"), F.col("_e.b").alias("b")), ["route", movie], "voxel")
+    return _test_routes(lags.persist(), movie, seed, n_perm, n_boot)  # one row per route, movie and lag, read several times
 
 
-def _test_routes(lags: DataFrame, movie: str, length: int, seed: int, n_perm: int, n_boot: int) -> DataFrame:
-    """`lags` has one row per route, movie and lag: the declared movies times a fixed length."""
+def _test_routes(lags: DataFrame, movie: str, seed: int, n_perm: int, n_boot: int) -> DataFrame:
+    """`lags` has one row per route, movie and lag; shifts are drawn within the length of each movie."""
     base = lags.where("route = 'anatomical'").select(movie, "lag", F.col("median_r").alias("_base"))
     x = lags.join(base, [movie, "lag"]).withColumn("d", F.col("median_r") - F.col("_base"))
     obs = x.where("lag = 0")
     o = obs.groupBy("route").agg(F.avg("median_r").alias("isc"), F.avg("d").alias("delta"), F.count("*").alias("n_movies"))
-    order = obs.select(movie).distinct().withColumn("_i", F.row_number().over(Window.orderBy(movie)) - 1)
-    shift = order.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumn("lag", (draw(seed, "perm", "_i") % (length - 1) + 1).cast("int"))
-    null = shift.join(x, [movie, "lag"]).groupBy("route", "perm").agg(F.avg("median_r").alias("_r"), F.avg("d").alias("_d")).join(o, "route")
+    sizes = lags.groupBy(movie).agg((F.max("lag") + 1).alias("_len"))
+    order = sizes.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(movie)) - 1)  # one row per movie
+    shift = order.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumn("lag", (draw(seed, "perm", "_i") % F.greatest(F.col("_len") - 1, F.lit(1)) + 1).cast("int"))
+    null = shift.drop("_len").join(x, [movie, "lag"]).groupBy("route", "perm").agg(F.avg("median_r").alias("_r"), F.avg("d").alias("_d")).join(o, "route")
     p = null.groupBy("route").agg(((1 + F.count(F.when(F.col("_r") >= F.col("isc"), 1))) / (1 + F.lit(n_perm))).alias("p"),
                                   ((1 + F.count(F.when(F.col("_d") >= F.col("delta"), 1))) / (1 + F.lit(n_perm))).alias("p_delta"))
     size = order.agg(F.count("*").alias("_n"))

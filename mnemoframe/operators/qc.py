@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import div, draw, half_even, num, top_per_group, with_group_stats
+from ..functions.core import div, half_even, num, with_group_stats
 from ..functions.quantiles import exact_quantiles
 
 # Decision vocabulary and the reviewer names that stand for tooling.
@@ -112,11 +112,11 @@ def processing_status(raw: DataFrame, done: DataFrame, keys, subject: str = "sub
             .withColumn("pct_complete", half_even(100 * F.col("n_done") / F.col("n_raw"), 1)))
 
 
-def missing_runs(raw: DataFrame, done: DataFrame, keys, subject: str = "subject", n: int = 20) -> DataFrame:
-    """The listing of the first n missing runs per subject; counts come from processing_status."""
+def missing_runs(raw: DataFrame, done: DataFrame, keys, subject: str = "subject") -> DataFrame:
+    """Every missing run with its position within its subject; counts come from processing_status."""
     gone = raw.select(*keys).distinct().join(done.select(*keys).distinct(), list(keys), "left_anti")
-    rest = [k for k in keys if k != subject]
-    return top_per_group(gone, [subject], rest, n).select(*keys, F.col("_rn").cast("long").alias("position"))
+    w = Window.partitionBy(subject).orderBy(*[k for k in keys if k != subject])
+    return gone.select(*keys, F.row_number().over(w).cast("long").alias("position"))
 
 
 def review_problem() -> Column:
@@ -156,26 +156,33 @@ def signed_off(prefix: str = "") -> Column:
 
 
 class MissingDecisions(LookupError):
-    """Runs without any recorded decision."""
+    """Runs without a valid recorded decision; undecided() lists them."""
+
+
+def _decided() -> Column:
+    return F.col("_has").isNotNull() & F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False))
+
+
+def _with_latest(runs: DataFrame, latest: DataFrame) -> DataFrame:
+    return runs.join(latest.withColumn("_has", F.lit(True)), "run_key", "left")
+
+
+def undecided(runs: DataFrame, latest: DataFrame) -> DataFrame:
+    """Runs whose latest decision is missing or outside the vocabulary."""
+    return _with_latest(runs, latest).where(~_decided()).select(*runs.columns, "decision")
 
 
 def gate(runs: DataFrame, latest: DataFrame, investigate: str = "exclude", pending: str = "exclude", strict: bool = True) -> DataFrame:
-    """Runs cleared for analysis. Missing decisions and values outside the vocabulary are errors under
-    `strict` (one count, up to 20 keys shown); otherwise those runs are just not included."""
+    """Runs cleared for analysis. Under `strict` runs without a valid decision are an error with their number, and
+    undecided() has their rows; otherwise they are just not included."""
     for v in (investigate, pending):
         if v not in ("keep", "exclude"):
             raise ValueError(f"expected keep or exclude, got {v!r}")
-    j = runs.join(latest.withColumn("_has", F.lit(True)), "run_key", "left")
-    if strict:
-        bad = j.where(F.col("_has").isNull() | ~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)))
-        n = bad.count()
-        if n:
-            shown = [r[0] for r in bad.select("run_key").orderBy("run_key").limit(20).collect()]
-            raise MissingDecisions(f"{n} runs lack a valid decision, first: {shown}")
+    if strict and (n := undecided(runs, latest).count()):
+        raise MissingDecisions(f"{n} runs lack a valid decision")
     ok = F.when(~signed_off(), F.lit(pending == "keep")).when(F.col("decision") == "exclude", F.lit(False)).when(
         F.col("decision") == "investigate", F.lit(investigate == "keep")).otherwise(F.lit(True))
-    valid = F.col("_has").isNotNull() & F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False))
-    return j.where(valid & ok).drop("_has")
+    return _with_latest(runs, latest).where(_decided() & ok).drop("_has")
 
 
 def decision_counts(latest: DataFrame) -> DataFrame:
@@ -221,12 +228,10 @@ def fill_displacement(df: DataFrame) -> DataFrame:
     return df.withColumn("framewise_displacement", F.coalesce(num("framewise_displacement"), F.lit(0.0)))
 
 
-def series_heatmap(df: DataFrame, series: str, value: str, n: int, seed: int = 0) -> DataFrame:
-    """Seeded sample of at most n series (integer ids), each z-scored over its own points, ranked by mean."""
-    stats = df.groupBy(series).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_sd"))
-    chosen = stats.orderBy(draw(seed, series), series).limit(n)
-    chosen = chosen.withColumn("position", F.row_number().over(Window.orderBy("_m", series)).cast("long"))
-    return df.join(chosen, series).withColumn("z", div(F.col(value) - F.col("_m"), "_sd")).drop("_m", "_sd")
+def series_heatmap(df: DataFrame, series: str, value: str) -> DataFrame:
+    """Every series z-scored over its own points, with its mean to sort by; a figure takes the rows it has room for."""
+    stats = df.groupBy(series).agg(F.avg(value).alias("mean_value"), F.stddev_pop(value).alias("_sd"))
+    return df.join(stats, series).withColumn("z", div(F.col(value) - F.col("mean_value"), "_sd")).drop("_sd")
 
 
 def mean_series(df: DataFrame, t: str, value: str) -> DataFrame:

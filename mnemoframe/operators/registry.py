@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import div, half_even, num, rint_long, whole
 from ..functions.scan import id_block, row_index
 
-# Words left out of a title, accented letters with their plain form, chunk length in seconds and volumes.
+# Words left out of a title, chunk length in seconds and volumes.
 STOP_WORDS = ("the", "a", "an", "of")
-ACCENTED = {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "u": "ùúûü", "y": "ýÿ"}
 CHUNK_S, CHUNK_VOLUMES = 4.5, 3
 
 
+@F.pandas_udf(T.StringType())
+def _decomposed(titles: pd.Series) -> pd.Series:
+    """Compatibility decomposition, for which there is no built-in function: letters apart from their accents."""
+    return titles.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+
+
 def norm_tokens(title) -> Column:
-    """Comparable tokens of a title: plain lower-case letters and digits, '&' as 'and', quotes dropped, a lone
-    's' joined to the word before it, stop words dropped."""
-    s = F.lower(title)
-    for plain, forms in ACCENTED.items():  # a decomposed accent is no letter, so it ends the token
-        s = F.regexp_replace(s, f"[{forms}]", plain + " ")
+    """Comparable tokens of a title: decomposed, plain lower-case letters and digits (a decomposed accent is no letter,
+    so it ends the token), '&' as 'and', quotes dropped, a lone 's' joined to the word before it, stop words
+    dropped."""
+    s = F.lower(_decomposed(title))
     s = F.regexp_replace(F.regexp_replace(s, "&", " and "), "[’']", "")
     s = F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    s = F.regexp_replace(F.regexp_replace(s, r"\b(the|a|an|of)\b", ""), r"\s+", " ")
+    s = F.regexp_replace(F.regexp_replace(s, rf"\b({'|'.join(STOP_WORDS)})\b", ""), r"\s+", " ")
     s = F.regexp_replace(F.trim(s), r"(?<=\S) s(?= |$)", "s")
     return F.filter(F.split(F.trim(s), " "), lambda x: x != "")
 
@@ -159,12 +166,12 @@ def check_annotations(long: DataFrame, lengths: DataFrame, keys, tolerance: floa
     return j.withColumn("problem", (F.abs(F.col("last_offset") - F.col("length")) > tolerance) | (F.col("n_negative") > 0))
 
 
-def caption_table(captions: DataFrame, wanted: DataFrame, key: str, order: str, n: int = 5) -> DataFrame:
-    """The first n captions per wanted item in n columns, '' where there are fewer (a report format; all
-    captions are kept by caption_rows). Positions are found by ordered index, not by gathering the group."""
-    x = row_index(captions.join(wanted.select(key).distinct(), key, "left_semi"), [key], [order], id_block(order), "_i").where(F.col("_i") < n)
-    g = x.groupBy(key).agg(*[F.max(F.when(F.col("_i") == i, F.trim("caption"))).alias(f"caption_{i + 1}") for i in range(n)])
-    return wanted.select(key).distinct().join(g, key, "left").fillna("", [f"caption_{i + 1}" for i in range(n)])
+def caption_table(captions: DataFrame, wanted: DataFrame, key: str, order: str, width: int) -> DataFrame:
+    """A report format: captions 1 to `width` of each wanted item in columns, '' where there are fewer, and n_captions,
+    which tells when there are more. caption_rows has all of them."""
+    x = row_index(captions.join(wanted.select(key).distinct(), key, "left_semi"), [key], [order], id_block(order), "_i")
+    g = x.groupBy(key).agg(F.count("*").alias("n_captions"), *[F.max(F.when(F.col("_i") == i, F.trim("caption"))).alias(f"caption_{i + 1}") for i in range(width)])
+    return wanted.select(key).distinct().join(g, key, "left").fillna("", [f"caption_{i + 1}" for i in range(width)]).fillna(0, ["n_captions"])
 
 
 def caption_rows(captions: DataFrame, wanted: DataFrame, key: str, order: str) -> DataFrame:

@@ -8,50 +8,33 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.core import div, fisher_z, r_agg, rint_long, with_group_stats
+from ..functions.core import div, fisher_z, r_agg, rint_long, significant, with_group_stats
 from ..functions.gram import least_squares, pair_correlations
 from ..functions.quantiles import exact_quantiles
 from ..functions.scan import id_block, row_index, running_total, with_neighbours
-from ..session import settle
-from ..sources.files import MOTION
 
 # Shift of the response (volumes, seconds), feature frame spacing, chunk length, kernel length (seconds).
 SHIFT_VOLUMES, SHIFT_S, FRAME_S, CHUNK_S, KERNEL_S = 3, 4.5, 0.5, 4.5, 32.0
 
-# Confound models by id: motion forms (6 parameters, derivatives, squares, squared derivatives),
-# tissue signals with or without their expansions, single columns, and component counts (temporal, CSF, white matter).
-_M, _MD, _M24 = ("",), ("", "_derivative1"), ("", "_derivative1", "_power2", "_derivative1_power2")
-CONFOUND_MODELS = {
-    0: ((), (), (), (), (0, 0, 0)), 1: (_M, (), (), ("cosine",), (0, 0, 0)), 2: (_MD, (), (), ("cosine",), (0, 0, 0)),
-    3: (_M24, (), (), ("cosine",), (0, 0, 0)), 4: ((), (), (), ("framewise_displacement", "cosine"), (0, 0, 0)),
-    5: ((), ("csf", "white_matter"), _M, ("cosine",), (0, 0, 0)), 6: ((), ("global_signal",), _M, ("cosine",), (0, 0, 0)),
-    7: (_M, ("csf", "white_matter"), _M, ("cosine",), (0, 0, 0)), 8: (_M, ("csf", "white_matter", "global_signal"), _M, ("cosine",), (0, 0, 0)),
-    9: (_M24, ("csf", "white_matter"), _M24, ("cosine",), (0, 0, 0)), 10: (_M24, ("csf", "white_matter", "global_signal"), _M24, ("cosine",), (0, 0, 0)),
-    11: ((), (), (), ("cosine",), (6, 0, 0)), 12: ((), (), (), ("cosine",), (0, 5, 5)), 13: (_M, (), (), ("cosine",), (0, 5, 5)),
-    14: (_MD, (), (), ("cosine",), (0, 5, 5)), 15: (_M24, (), (), ("cosine",), (0, 5, 5)), 16: (_M24, ("global_signal",), _M24, ("cosine",), (0, 5, 5)),
-    17: (_M, (), (), ("framewise_displacement", "cosine"), (0, 5, 5)), 18: (_MD, (), (), ("framewise_displacement", "cosine"), (0, 5, 5)),
-    19: (_M, (), (), ("motion_outlier", "cosine"), (0, 0, 0)), 20: (_M24, ("global_signal",), _M24, ("motion_outlier", "cosine"), (0, 0, 0)),
-}
-
 
 def roi_mean(series: DataFrame, members: DataFrame, unit: str, roi: str, keys, value: str = "value") -> DataFrame:
     return series.join(members.select(unit, roi).distinct(), unit).groupBy(roi, *keys).agg(F.avg(value).alias(value), F.count(value).alias("n_units"))
 
 
-def model_columns(df: DataFrame, model: int) -> list[str]:
-    """Confound columns of a model that the table must have; `cosine` and `motion_outlier` are prefixes, and the
-    first n components of each kind are taken. Works on the schema only."""
-    forms, tissue, tissue_forms, singles, comps = CONFOUND_MODELS[model]
-    cols = [m + f for f in forms for m in MOTION] + [t + f for t in tissue for f in tissue_forms]
-    for s in singles:
-        cols += [c for c in df.columns if c.startswith(s)] if s in ("cosine", "motion_outlier") else [s]
-    for prefix, n in zip(("t_comp_cor", "c_comp_cor", "w_comp_cor"), comps):
-        cols += sorted(c for c in df.columns if c.startswith(prefix))[:n]
-    gone = [c for c in cols if c not in df.columns]
-    if gone:
-        raise KeyError(f"columns not found: {gone}")
-    return cols
+def model_columns(df: DataFrame, columns=(), prefixes=(), first: dict[str, int] | None = None) -> list[str]:
+    """Confound columns of a model, which the table must have: named ones, all with one of the prefixes, and the
+    first n (by name) of each prefix in `first`. Works on the schema only."""
+    chosen = list(columns)
+    for p in prefixes:
+        chosen += [c for c in df.columns if c.startswith(p)]
+    for p, n in (first or {}).items():
+        chosen += sorted(c for c in df.columns if c.startswith(p))[:n]
+    absent = set(chosen) - set(df.columns)
+    if absent:
+        raise KeyError(f"columns not found: {sorted(absent)}")
+    return chosen
 
 
 def residuals(df: DataFrame, keys, confounds, value: str = "value", out: str = "residual") -> DataFrame:
@@ -103,14 +86,16 @@ def fisher_summary(pairs: DataFrame, keys, r: str = "r") -> DataFrame:
 
 
 def mid_ranks(df: DataFrame, keys, value: str, out: str) -> DataFrame:
-    """Ranks with ties averaged: values are counted first, then ranked by a running count over value blocks."""
-    c = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    r = running_total(c, keys, [value], F.floor(F.col(value) * 1024).cast("long"), F.col("_c"), "_below", inclusive=False)
-    return df.join(r.withColumn(out, F.col("_below") + (F.col("_c") + 1) / 2).drop("_below", "_c"), [*keys, value])
+    """Ranks with ties averaged: values are counted first, then ranked by a running count over value blocks. Values
+    that agree in 12 significant digits are tied, as rounding noise has no rank."""
+    v = df.withColumn("_v", significant(F.col(value)))
+    c = v.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    r = running_total(c, keys, ["_v"], F.floor(F.col("_v") * 1024).cast("long"), F.col("_c"), "_below", inclusive=False)
+    return v.join(r.withColumn(out, F.col("_below") + (F.col("_c") + 1) / 2).drop("_below", "_c"), [*keys, "_v"]).drop("_v")
 
 
 def spearman(df: DataFrame, keys, x: str, y: str, min_n: int = 3) -> DataFrame:
-    d = settle(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y))  # a table of summaries, ranked twice
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     r = mid_ranks(mid_ranks(d, keys, x, "_rx"), keys, y, "_ry")
     return r.groupBy(*keys).agg(r_agg("_rx", "_ry").alias("rho"), F.count("*").alias("n")).where(F.col("n") >= min_n)
 
@@ -177,26 +162,32 @@ def autocorrelation(df: DataFrame, unit: str, t: str, value: str, max_lag: int =
     return m.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def lag_similarity(df: DataFrame, keys, unit, length: int, t: str = "t", a: str = "a", b: str = "b") -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _circular(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Correlation of two equally long series at every circular shift of the second; 0 where one is constant."""
+    def one(p, q):
+        p, q = (np.asarray(v, float) - np.mean(v) for v in (p, q))
+        size = np.sqrt((p @ p) * (q @ q))
+        if size < 1e-24:
+            return np.zeros(len(p))
+        spectrum = np.fft.rfft(q) * np.fft.rfft(p).conj()
+        return np.fft.irfft(spectrum, n=len(p)) / size
+
+    return pd.Series([one(p, q) for p, q in zip(first, second)])
+
+
+def lag_similarity(df: DataFrame, keys, unit, t: str = "t", a: str = "a", b: str = "b") -> DataFrame:
     """r between two series at every circular lag, per unit, then the median over units; lag 0 is observed, the
-    rest its null. A series has `length` positions, so the array per unit has a fixed size."""
+    rest its null. The series of a group (keys) run from 0 to the last position any of its units has; positions
+    without a value count as 0."""
+    keys = list(keys)
     full = [*keys, *([unit] if isinstance(unit, str) else unit)]
-    g = df.where(F.col(t).between(0, length - 1)).groupBy(*full, t).agg(F.avg(a).alias("_a"), F.avg(b).alias("_b"))
-    g = g.groupBy(*full).agg(F.map_from_entries(F.collect_list(F.struct(F.col(t).cast("int"), F.struct("_a", "_b")))).alias("_m"))
-    pos = F.sequence(F.lit(0), F.lit(length - 1))
-    take = lambda f: F.transform(pos, lambda i: F.coalesce(F.try_element_at("_m", i)[f], F.lit(0.0)))
-
-    @F.pandas_udf("array<double>")
-    def circular(x: pd.Series, y: pd.Series) -> pd.Series:
-        def unit_rows(s):
-            m = np.vstack(s.to_numpy()).astype("float64")
-            m = m - m.mean(axis=1, keepdims=True)
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            return m / np.where(n < 1e-12, 1.0, n)
-        f = np.fft.irfft(np.conj(np.fft.rfft(unit_rows(x), axis=1)) * np.fft.rfft(unit_rows(y), axis=1), n=length, axis=1)
-        return pd.Series(list(f))
-
-    r = g.select(*full, F.posexplode(circular(take("_a"), take("_b"))).alias("lag", "r"))
+    g = df.groupBy(*full, t).agg(F.avg(a).alias("_a"), F.avg(b).alias("_b"))
+    end = df.groupBy(*keys).agg(F.max(t).cast("int").alias("_end"))
+    g = g.groupBy(*full).agg(F.map_from_entries(F.collect_list(F.struct(F.col(t).cast("int"), F.struct("_a", "_b")))).alias("_m")).join(end, keys)
+    at = F.sequence(F.lit(0), F.col("_end"))
+    side = lambda f: F.transform(at, lambda i: F.coalesce(F.try_element_at("_m", i)[f], F.lit(0.0)))
+    r = g.select(*full, F.posexplode(_circular(side("_a"), side("_b"))).alias("lag", "r"))
     return exact_quantiles(r, [*keys, "lag"], "r", {"median_r": .5})
 
 

@@ -15,7 +15,6 @@ from ..functions.gram import pair_correlations
 from ..functions.quantiles import exact_quantiles
 from ..functions.scan import id_block, ordered_neighbours, row_index, running_total
 from ..functions.vectors import block_count, cell_sums, complete_vectors, explode_unit, pearson_complete, with_scale
-from ..session import settle
 from .series import mid_ranks
 
 N_DRAWS = 10
@@ -68,7 +67,7 @@ def draw_surrogates(targets: DataFrame, pool: DataFrame, patterns: DataFrame, ru
     t = t.withColumn("slot", draw(seed, key, "draw_no") % F.col("_size"))
     t = t.join(pool, [*run, "slot"]).withColumn("pos", F.col("start") + (F.col(offset) if offset else F.lit(0)))
     d = t.select(*run, key, "draw_no", "pos").join(patterns.select(*run, "pos", F.col(key).alias("surrogate")), [*run, "pos"])
-    return settle(d.select(key, "draw_no", "surrogate"))  # made once, read for every version, cell and scope
+    return d.select(key, "draw_no", "surrogate")  # seeded, so a second reading draws the same
 
 
 def _surrogate_sums(targets: DataFrame, draws: DataFrame, scaled: DataFrame, keys, key: str, vec: str) -> DataFrame:
@@ -182,7 +181,7 @@ def pair_count_check(cells: DataFrame, expected: dict[str, int]) -> DataFrame:
 def signed_rank(df: DataFrame, keys, d: str = "d") -> DataFrame:
     """Signed-rank sum of non-zero differences (ties averaged) and its two-sided p by the normal approximation with
     tie correction."""
-    x = settle(df.where((F.col(d) != 0) & F.col(d).isNotNull()).select(*keys, d, F.abs(F.col(d)).alias("_abs")))  # one row per unit and item
+    x = df.where((F.col(d) != 0) & F.col(d).isNotNull()).select(*keys, d, F.abs(F.col(d)).alias("_abs"))
     x = mid_ranks(x, keys, "_abs", "_rank")
     g = x.groupBy(*keys).agg(F.count("*").alias("n_nonzero"), F.sum(F.when(F.col(d) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"))
     ties = x.groupBy(*keys, "_abs").agg(F.count("*").cast("double").alias("_t")).groupBy(*keys).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_tie"))
@@ -346,20 +345,24 @@ def restart_segments(df: DataFrame, keys, order: str, index: str, value: str) ->
     return p.groupBy(*keys, index).agg(F.avg(value).alias("mean_value"), F.count(value).alias("n"), (F.max("presentation") + 1).alias("last_presentation"))
 
 
-def tuning_check(patterns: DataFrame, feature: str, fold: str, top_n: int, seed: int, min_n: int = 50, vec: str = "vec") -> DataFrame:
-    """Per direction of a two-fold split: components chosen by their r with a feature on one fold, the median r of
-    the chosen on the other, and of a seeded random choice of as many."""
+def tuning_ranks(patterns: DataFrame, feature: str, fold: str, seed: int, min_n: int = 50, vec: str = "vec") -> DataFrame:
+    """Every component valid in both folds: its r with a feature on each (r0, r1), its rank by either, and a seeded
+    random rank. A choice of components is a filter on a rank."""
     x = patterns.select(feature, fold, F.posexplode(vec).alias("pos", "x")).where("x is not null")
     r = x.groupBy(fold, "pos").agg(F.count("*").alias("_n"), r_agg("x", feature).alias("r")).where((F.col("_n") >= min_n) & F.col("r").isNotNull())
     w = r.groupBy("pos").agg(F.max(F.when(F.col(fold) == 0, F.col("r"))).alias("r0"), F.max(F.when(F.col(fold) == 1, F.col("r"))).alias("r1")).where("r0 is not null and r1 is not null")
-    w = settle(w)  # one row per component, read by every direction and choice
+    at = lambda *order: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long")  # noqa: E731  one row per component of a vector
+    return w.withColumns({"rank0": at(F.col("r0").desc(), "pos"), "rank1": at(F.col("r1").desc(), "pos"), "rank_random": at(draw(seed, "pos"), "pos")})
+
+
+def tuning_check(ranks: DataFrame, chosen: int) -> DataFrame:
+    """Per direction of a two-fold split: the median r of the `chosen` best components of one fold, on it and on the
+    other, and of as many random ones."""
     out = []
-    for name, a, b in (("0->1", "r0", "r1"), ("1->0", "r1", "r0")):
-        top = w.orderBy(F.col(a).desc(), "pos").limit(top_n)
-        rnd = w.orderBy(draw(seed, "pos"), "pos").limit(top_n)
-        med = lambda d, c, nm: exact_quantiles(d, [], c, {nm: .5})
-        out.append(w.agg(F.count("*").alias("n_valid")).crossJoin(med(top, a, "sel_r_train")).crossJoin(med(top, b, "sel_r_heldout")).crossJoin(
-            med(rnd, b, "rand_r_heldout")).withColumn("fold", F.lit(name)))  # one row each
+    for name, a, b in (("0->1", "0", "1"), ("1->0", "1", "0")):
+        best, some = F.col(f"rank{a}") <= chosen, F.col("rank_random") <= chosen
+        out.append(ranks.agg(F.count("*").alias("n_valid"), F.percentile(F.when(best, F.col(f"r{a}")), F.lit(0.5)).alias("sel_r_train"),
+                             F.percentile(F.when(best, F.col(f"r{b}")), F.lit(0.5)).alias("sel_r_heldout"), F.percentile(F.when(some, F.col(f"r{b}")), F.lit(0.5)).alias("rand_r_heldout")).withColumn("fold", F.lit(name)))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import top_per_group
+from ..functions.core import with_group_stats
 
 STATES = ["complete", "partial", "missing", "skipped", "error"]
 
@@ -41,13 +41,10 @@ def step_completeness(runs: DataFrame, outputs: DataFrame, steps, keys=("subject
     return with_state(g).withColumn("status", F.when(F.col("n_incomplete") > 0, "error").otherwise(F.col("status")))
 
 
-def missing_details(runs: DataFrame, outputs: DataFrame, steps, keys=("subject", "session"), n: int = 3) -> DataFrame:
-    """First n missing runs per session and step, with the number not listed."""
-    gone = _wanted(runs, steps).join(outputs.select("run_id", "marker").distinct(), ["run_id", "marker"], "left_anti")
-    total = gone.groupBy(*keys, "step").agg(F.count("*").alias("n_missing"))
-    few = top_per_group(gone, [*keys, "step"], ["run_id"], n).groupBy(*keys, "step").agg(
-        F.array_sort(F.collect_list("run_id")).alias("first_missing"))
-    return total.join(few, [*keys, "step"]).withColumn("n_more", F.col("n_missing") - F.size("first_missing"))
+def missing_details(runs: DataFrame, outputs: DataFrame, steps, keys=("subject", "session")) -> DataFrame:
+    """Every missing run of a session and step, with the number of them."""
+    gone = _wanted(runs, steps).join(outputs.select("run_id", "marker").distinct(), ["run_id", "marker"], "left_anti").select(*keys, "step", "run_id")
+    return with_group_stats(gone, [*keys, "step"], n_missing=F.count("*"))
 
 
 def status_table(sessions: DataFrame, completeness: DataFrame, steps, keys=("subject", "session")) -> DataFrame:

@@ -304,7 +304,7 @@ def _(t):
 
 
 @query("c21_pending_report", """SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS position FROM documents
-  WHERE doc_id NOT IN (SELECT doc_id FROM labels) QUALIFY position <= 20""")
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def _(t):
     return C.pending_report(t.documents, t.labels, "doc_id", ["lang", "source"])
 
@@ -366,23 +366,23 @@ def _(t):
 
 FMAP = """WITH s AS (SELECT user_id, event_id AS series_number, CASE WHEN event_type = 'click' THEN 'ap' ELSE 'pa' END AS direction,
   CASE WHEN user_id % 3 = 0 THEN CASE WHEN event_id % 5 = 0 THEN 'encoding' WHEN event_id % 5 = 1 THEN 'retrieval' ELSE '' END ELSE '' END AS suffix
-  FROM events WHERE event_type IN ('click', 'view') AND value > 110),
+  FROM events),
   p AS (SELECT user_id, bool_or(suffix <> '') AS bs, count(*) FILTER (direction = 'ap') AS na, count(*) FILTER (direction = 'pa') AS np FROM s GROUP BY 1),
   named AS (SELECT user_id, suffix AS pair, count(*) FILTER (direction = 'ap') AS a, count(*) FILTER (direction = 'pa') AS b,
   min(series_number) FILTER (direction = 'ap') AS ap, min(series_number) FILTER (direction = 'pa') AS pa FROM s JOIN p USING (user_id) WHERE bs AND suffix <> '' GROUP BY ALL),
-  r AS (SELECT s.*, na, np, row_number() OVER (PARTITION BY user_id, direction ORDER BY series_number) AS rn FROM s JOIN p USING (user_id) WHERE NOT bs QUALIFY rn <= 2),
+  r AS (SELECT s.*, na, np, row_number() OVER (PARTITION BY user_id, direction ORDER BY series_number) AS rn FROM s JOIN p USING (user_id) WHERE NOT bs),
   o AS (SELECT user_id, na, np, rn, min(series_number) FILTER (direction = 'ap') AS ap, min(series_number) FILTER (direction = 'pa') AS pa FROM r GROUP BY ALL),
   u AS (SELECT *, (na = 2 AND np = 2) OR (na = 1 AND np = 1) AS regular FROM o), v AS (SELECT *, regular OR ((na > 2 OR np > 2) AND na >= 2 AND np >= 2) AS usable FROM u)
   SELECT user_id, 'series_description' AS strategy, pair, CASE WHEN a = 1 AND b = 1 THEN ap END AS ap, CASE WHEN a = 1 AND b = 1 THEN pa END AS pa, a > 1 OR b > 1 AS warning
   FROM named WHERE a > 1 OR b > 1 OR (a = 1 AND b = 1)
-  UNION ALL SELECT DISTINCT user_id, 'series_number', CASE WHEN usable THEN CASE WHEN rn = 1 THEN 'encoding' ELSE 'retrieval' END END,
+  UNION ALL SELECT DISTINCT user_id, 'series_number', CASE WHEN usable THEN CASE rn WHEN 1 THEN 'encoding' WHEN 2 THEN 'retrieval' ELSE 'pair ' || rn END END,
   CASE WHEN usable THEN ap END, CASE WHEN usable THEN pa END, NOT regular FROM v"""
 
 
 @query("c27_fieldmap_pairs", FMAP)
 def _(t):
     e = F.col("event_id") % 5
-    s = t.events.where("event_type in ('click', 'view') and value > 110").select(
+    s = t.events.select(
         "user_id", F.col("event_id").alias("series_number"), F.when(F.col("event_type") == "click", "ap").otherwise("pa").alias("direction"),
         F.when(F.col("user_id") % 3 == 0, F.when(e == 0, "encoding").when(e == 1, "retrieval")).alias("suffix"))
     return C.fieldmap_pairs(s, "user_id")
@@ -427,8 +427,7 @@ def _(t):
     return S.step_completeness(*_status_inputs(t)).drop("note")
 
 
-@query("p02_missing_details", R + STEP_SQL + """, g AS (SELECT *, row_number() OVER (PARTITION BY subject, session, step ORDER BY run_id) AS rn FROM want ANTI JOIN outs USING (run_id, marker))
-  SELECT subject, session, step, count(*) AS n_missing, list_sort(list(run_id) FILTER (rn <= 3)) AS first_missing, greatest(count(*) - 3, 0) AS n_more FROM g GROUP BY ALL""")
+@query("p02_missing_details", R + STEP_SQL + """SELECT subject, session, step, run_id, count(*) OVER (PARTITION BY subject, session, step) AS n_missing FROM want ANTI JOIN outs USING (run_id, marker)""")
 def _(t):
     return S.missing_details(*_status_inputs(t))
 

@@ -64,11 +64,6 @@ def _(t):
                                "frame-image": nn(fr, im), "frame-word": nn(fr, wo), "image-word": nn(im, wo)})
 
 
-@query("v03_cosine_matrix", W + f", s AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM (SELECT * FROM eu ORDER BY {draw_sql(42, 'vec_id')}, vec_id LIMIT 50)) SELECT a.r AS i, b.r AS j, list_dot_product(a.u, b.u) AS cosine FROM s a, s b", ("cosine",))
-def _(t):
-    return V.cosine_matrix(_em(t), "vec_id", "embedding", 50, 42)
-
-
 CEN = """, lg AS (SELECT vec_id, label, unnest(range(64)) AS pos, unnest(u) AS x FROM eu), cm AS (SELECT label, pos, avg(x) AS m FROM lg GROUP BY ALL)"""
 
 
@@ -77,14 +72,22 @@ def _(t):
     return V.centroids(_em(t), "label", "embedding")
 
 
+@query("v03_cosine_matrix", W + CEN + ", c AS (SELECT label, pos, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS x FROM cm) SELECT a.label AS i, b.label AS j, sum(a.x * b.x) AS cosine FROM c a JOIN c b USING (pos) GROUP BY ALL", ("cosine",))
+def _(t):
+    return V.cosine_matrix(V.centroids(_em(t), "label", "embedding"), "label")
+
+
 @query("v04_centred_modalities", W + ", lg AS (SELECT vec_id, label % 3 AS modality, unnest(range(64)) AS pos, unnest(v) AS x FROM em) SELECT modality, vec_id, CAST(pos AS INTEGER) AS pos, x - avg(x) OVER (PARTITION BY modality, pos) AS x FROM lg", ("x",))
 def _(t):
     return V.centre_blocks(_em(t).withColumn("modality", F.col("label") % 3), "modality", ["vec_id"], "embedding")
 
 
-@query("v05_pca_projection")
+# Two components have a closed form: the principal direction is half the angle of (variance difference, covariance).
+@query("v05_pca_projection", W + """, p AS (SELECT vec_id, v[1] - avg(v[1]) OVER () AS x, v[2] - avg(v[2]) OVER () AS y FROM em), a AS (SELECT 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM p)
+  SELECT vec_id, abs(x * cos(a) + y * sin(a)) AS pc1, abs(y * cos(a) - x * sin(a)) AS pc2 FROM p, a""", ("pc1", "pc2"))
 def _(t):
-    return V.project_pca(_em(t), "vec_id", "embedding")
+    two = V.project_pca(_em(t).withColumn("embedding", F.slice("embedding", 1, 2)), "vec_id", "embedding")
+    return two.select("vec_id", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2"))  # signs are free
 
 
 @query("v06_wide_features", W + ", lg AS (SELECT vec_id, unnest(range(64)) AS pos, unnest(v) AS x FROM em) SELECT vec_id, " + ", ".join(f"max(x) FILTER (pos = {i}) AS f{i}" for i in range(64)) + " FROM lg GROUP BY 1")
@@ -118,10 +121,14 @@ def _(t):
     return V.split_caption_id(t.pages.select("page_id", c.alias("c")), "c").select("page_id", "movie", "time")
 
 
-@query("v09_ridge_path")
+# Two standardised inputs: the penalised normal equations are a 2 x 2 system, its hat values give the error left out.
+@query("v09_ridge_path", W + """, d AS (SELECT (v[1] - avg(v[1]) OVER ()) / stddev_pop(v[1]) OVER () AS p, (v[2] - avg(v[2]) OVER ()) / stddev_pop(v[2]) OVER () AS q, v[3] - avg(v[3]) OVER () AS y, count(*) OVER () AS n FROM em),
+  s AS (SELECT pow(10.0, 1 + 0.5 * i) AS alpha, sum(p * p) AS pp, sum(q * q) AS qq, sum(p * q) AS pq, sum(p * y) AS py, sum(q * y) AS qy FROM d, range(11) r(i) GROUP BY i),
+  k AS (SELECT alpha, (qq + alpha) / det AS a, (pp + alpha) / det AS b, -pq / det AS c, py, qy FROM (SELECT *, (pp + alpha) * (qq + alpha) - pq * pq AS det FROM s)),
+  e AS (SELECT alpha, avg(pow((y - p * (a * py + c * qy) - q * (c * py + b * qy)) / (1 - 1.0 / n - (a * p * p + b * q * q + 2 * c * p * q)), 2)) AS loo_mse FROM d, k GROUP BY alpha)
+  SELECT alpha, loo_mse, loo_mse = min(loo_mse) OVER () AS chosen FROM e""", {"alpha": 4, "loo_mse": 9})
 def _(t):
-    x = _em(t).select("embedding", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (F.col("label") == i).cast("double")).alias("y"))
-    return V.ridge_path(x, "embedding", "y")[0]
+    return V.ridge_path(_em(t).select(F.slice("embedding", 1, 2).alias("x"), F.slice("embedding", 3, 1).alias("y")), "x", "y")[0]
 
 
 IDN = """, lg AS (SELECT vec_id, label, vec_id % 2 AS h, unnest(range(64)) AS pos, unnest(v) AS x FROM em), m AS (SELECT label, h, pos, avg(x) AS x FROM lg GROUP BY ALL), z AS (SELECT *, (x - avg(x) OVER w) / (stddev_pop(x) OVER w * sqrt(count(*) OVER w)) AS z FROM m WINDOW w AS (PARTITION BY label, h)),
@@ -148,5 +155,5 @@ def _(t):
 def _(t):
     e = t.embeddings.select("vec_id", F.col("label").cast("long").alias("label"), F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("y"),
                             F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (F.col("label") == i).cast("double")).alias("f"))
-    s = row_index(e, ["label"], ["vec_id"], id_block("vec_id"), "i").withColumn("t", (F.col("i") % 24).cast("int"))
-    return V.align_and_evaluate(e, s, "x", "y", "label", 24, 9, features="f", ranks=(8,))
+    s = row_index(e, ["label"], ["vec_id"], id_block("vec_id"), "i").withColumn("t", F.col("i").cast("int"))
+    return V.align_and_evaluate(e, s, "x", "y", "label", 9, features="f", ranks=(8,))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.series import model_columns
 from ..sources import files as S
 from ..sources import inventory as N
 from .registry import query
@@ -92,7 +93,7 @@ def _(t):
 def _(t):
     v = F.col("value")
     x = t.events.select("event_id", v.alias("cosine00"), (v * 2).alias("cosine01"), v.alias("trans_x"), *[(v + i).alias(f"a_comp_cor_{i:02d}") for i in range(8)])
-    return x.select("event_id", *S.confound_columns(x, motion=False))
+    return x.select("event_id", *model_columns(x, prefixes=["cosine"], first={"a_comp_cor_": 6}))
 
 
 @query("i12_run_catalog", L + """SELECT stem, min(path) FILTER (kind = 'physio') AS physio, min(path) FILTER (kind = 'image') AS image, min(path) FILTER (kind = 'events') AS events FROM listing GROUP BY stem HAVING min(path) FILTER (kind = 'physio') IS NOT NULL""")
@@ -174,9 +175,24 @@ def _raw(t):
     return t.events.select("event_id", name.alias("name"))
 
 
-@query("i21_classified_files", f"WITH {RAW} SELECT event_id, name, {KIND} AS conversion_type FROM raw")
+# Example rules over the names above: pattern, conversion, where the result belongs.
+RULES = [(r"^cued_recall_encoding_subj(\d+)_sess(\d+)_run(\d+)\.csv$", "timed_events", "sub-$1/ses-$2/func/run-$3_events.tsv"),
+         (r"^cued_recall_math_subj(\d+)_sess(\d+)_run(\d+)_timing\.csv$", "timing_input", None),
+         (r"^s(\d+)s(\d+)r(\d+)m_[0-9_]+\.EDF$", "edf_to_physio", "sub-$1/ses-$2/func/run-$3_physio.tsv.gz"),
+         (r"^TRIAL_\d+_ROUTINE_\d+\.ias$", "supplementary", None),
+         (r"^final_timeline_subj(\d+)_sess(\d+)_run(\d+)\.csv$", "behavioral_to_beh", "sub-$1/ses-$2/beh/run-$3_beh.tsv"),
+         (r"^localizer_motor_sub(\d+)_sess(\d+)_run(\d+)_\w+_timing\.csv$", "localizer_events", "sub-$1/ses-$2/func/run-$3_events.tsv")]
+ODD = ["s4s4s1r_"]
+PLACE = "CASE " + " ".join(f"WHEN regexp_matches(name, '{p}') THEN regexp_replace(name, '{p}', '{d.replace('$', chr(92))}')" for p, _, d in RULES if d) + " END"
+
+
+def _classified(t):
+    return N.classify(_raw(t), "name", RULES, ODD, "edf_to_physio")
+
+
+@query("i21_classified_files", f"WITH {RAW} SELECT event_id, name, {KIND} AS conversion_type, {PLACE} AS destination FROM raw")
 def _(t):
-    return N.classify(_raw(t), "name")
+    return _classified(t)
 
 
 @query("i22_series_to_task", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'TBencoding' WHEN 1 THEN 'NATretrieval' WHEN 2 THEN 'tone' WHEN 3 THEN 'FINresting' END AS task, CASE event_id % 5 WHEN 0 THEN CAST(user_id % 6 + 1 AS INTEGER) WHEN 1 THEN 2 END AS run FROM events WHERE event_type IN ('click', 'view') AND event_id % 5 < 4""")
@@ -195,12 +211,12 @@ def _(t):
     k = F.col("doc_id")
     tri = t.labels.select(k.alias("event_id"), F.when(F.col("quality") == 1, "include").otherwise("exclude").alias("decision"), F.when(F.col("toxic") == 0, "pupil_only").otherwise("gaze_only").alias("channels"),
                           (k % 101).alias("gaze_pct"), (k % 97).alias("pupil_pct"))
-    return N.apply_triage(N.classify(_raw(t), "name").withColumnRenamed("name", "description"), tri, "event_id")
+    return N.apply_triage(_classified(t).drop("destination").withColumnRenamed("name", "description"), tri, "event_id")
 
 
 @query("i24_route_counts", f"""WITH {RAW}, k AS (SELECT *, {KIND} AS conversion_type FROM raw WHERE event_id % 10 <> 0) SELECT conversion_type, CASE WHEN conversion_type IN ('no_conversion', 'timing_input') THEN 'skip' WHEN conversion_type IN ('timed_events', 'edf_to_physio') THEN 'process' ELSE 'unknown' END AS route, count(*) AS n FROM k GROUP BY ALL""")
 def _(t):
-    return N.route_counts(N.classify(_raw(t), "name"), ["timed_events", "edf_to_physio"], keep=F.col("event_id") % 10 != 0)
+    return N.route_counts(_classified(t), ["timed_events", "edf_to_physio"], keep=F.col("event_id") % 10 != 0)
 
 
 @query("i25_formatted_cells", W + "SELECT trial_id, coalesce(CAST(resp AS VARCHAR), 'n/a') AS resp, CASE WHEN trial_id % 2 = 0 THEN 'n/a' ELSE CAST(pairId AS VARCHAR) END AS pair FROM trials")

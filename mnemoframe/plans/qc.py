@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.core import draw_sql, pad2
+from ..functions.core import pad2
 from ..operators import qc as Q
 from .registry import query
 from .views import DECISIONS, IQMS, SIGNED, VOLUMES
@@ -107,7 +107,7 @@ def _(t):
     return Q.processing_status(*_raw_done(t))
 
 
-@query("q05_missing_runs", KEYS_SQL + "SELECT subject, run, row_number() OVER (PARTITION BY subject ORDER BY run) AS position FROM (SELECT * FROM r EXCEPT SELECT * FROM d) QUALIFY position <= 20")
+@query("q05_missing_runs", KEYS_SQL + "SELECT subject, run, row_number() OVER (PARTITION BY subject ORDER BY run) AS position FROM (SELECT * FROM r EXCEPT SELECT * FROM d)")
 def _(t):
     return Q.missing_runs(*_raw_done(t))
 
@@ -208,10 +208,9 @@ def _daily(t):
     return t.events.groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.avg("value").alias("v"))
 
 
-@query("q14_series_heatmap", f"""WITH {DAILY}, s AS (SELECT user_id, avg(v) AS m, stddev_pop(v) AS sd FROM d GROUP BY 1), c AS (SELECT * FROM s ORDER BY {draw_sql(7, 'user_id')}, user_id LIMIT 40),
-  p AS (SELECT *, row_number() OVER (ORDER BY m, user_id) AS position FROM c) SELECT user_id, day, position, (v - m) / nullif(sd, 0) AS z FROM d JOIN p USING (user_id)""", ("z",))
+@query("q14_series_heatmap", f"""WITH {DAILY}, s AS (SELECT user_id, avg(v) AS mean_value, stddev_pop(v) AS sd FROM d GROUP BY 1) SELECT user_id, day, mean_value, (v - mean_value) / nullif(sd, 0) AS z FROM d JOIN s USING (user_id)""", ("mean_value", "z"))
 def _(t):
-    return Q.series_heatmap(_daily(t), "user_id", "v", 40, seed=7).select("user_id", F.col("day").cast("long").alias("day"), "position", "z")
+    return Q.series_heatmap(_daily(t), "user_id", "v").select("user_id", F.col("day").cast("long").alias("day"), "mean_value", "z")
 
 
 @query("q14_mean_series", f"WITH {DAILY} SELECT CAST(day AS BIGINT) AS day, avg(v) AS mean_value, count(v) AS n FROM d GROUP BY ALL", ("mean_value",))

@@ -45,9 +45,10 @@ def _(t):
     return R.canonical_spellings(d, "name", "len")
 
 
-@query("r04_registry_integrity", """SELECT count(*) AS n_rows, count(DISTINCT p_partkey) AS n_unique, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)) AS n_missing_files, false AS ok FROM part""")
+@query("r04_registry_integrity", """SELECT count(*) AS n_rows, count(DISTINCT p_partkey) AS n_unique, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)) AS n_missing_files,
+  count(*) = 2000 AND count(DISTINCT p_partkey) = count(*) AND (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)) = 0 AS ok FROM part""")
 def _(t):
-    return R.registry_integrity(t.part, "p_partkey", t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), 1000)
+    return R.registry_integrity(t.part, "p_partkey", t.lineitem.select(F.col("l_partkey").alias("p_partkey")), 2000)
 
 
 @query("r05_unresolved_references", """SELECT 'l_partkey' AS "column", l_partkey AS value, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 40 <> 0) GROUP BY 2
@@ -137,9 +138,9 @@ def _captions(t):
             t.conversations.where("conv_id % 3 <> 0").select("conv_id"))
 
 
-@query("r12_caption_table", f"WITH {CAP} SELECT conv_id, " + ", ".join(f"coalesce(max(trim(caption)) FILTER (i = {i}), '') AS caption_{i}" for i in range(1, 6)) + " FROM x GROUP BY conv_id")
+@query("r12_caption_table", f"WITH {CAP} SELECT conv_id, count(*) AS n_captions, " + ", ".join(f"coalesce(max(trim(caption)) FILTER (i = {i}), '') AS caption_{i}" for i in range(1, 6)) + " FROM x GROUP BY conv_id")
 def _(t):
-    return R.caption_table(*_captions(t), "conv_id", "turn")
+    return R.caption_table(*_captions(t), "conv_id", "turn", 5)
 
 
 @query("r12_caption_rows", f"WITH {CAP} SELECT conv_id, i AS caption_index, trim(caption) AS caption FROM x")

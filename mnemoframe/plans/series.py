@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.core import pad2
+from ..functions.core import pad2, significant_sql
 from ..operators import series as S
 from .registry import query
 from .views import SERIES, USER_SERIES
@@ -41,15 +41,15 @@ def _(t):
 def _(t):
     v = F.col("value")
     x = t.events.select("event_id", v.alias("framewise_displacement"), (v * 2).alias("cosine00"), (v + 1).alias("cosine01"), v.alias("csf"), v.alias("trans_x"))
-    return x.select("event_id", *S.model_columns(x, 4))
+    return x.select("event_id", *S.model_columns(x, ["framewise_displacement"], ["cosine"]))
 
 
-SEG = """, ev AS (SELECT user_id, event_id AS movie, value / 20 AS onset, 15 + CAST(json_extract(props, '$.k') AS DOUBLE) / 7 AS duration FROM events WHERE event_id % 17 = 0),
+SEG = """, ev AS (SELECT user_id, event_id AS movie, value / 20 AS onset, 15 + CAST(json_extract(props, '$.k') AS DOUBLE) / 7 AS duration FROM events),
   sg AS (SELECT e.user_id, movie, s.t, s.t - CAST(round_even(onset / 1.5, 0) AS BIGINT) - {k} AS pos, value FROM ev e JOIN user_series s ON s.user_id = e.user_id AND s.t >= CAST(round_even(onset / 1.5, 0) AS BIGINT) + {k} AND s.t < CAST(round_even(onset / 1.5, 0) AS BIGINT) + {k} + CAST(round_even(duration / 1.5, 0) AS BIGINT))"""
 
 
 def _movies(t):
-    return t.events.where("event_id % 17 = 0").select("user_id", F.col("event_id").alias("movie"), (F.col("value") / 20).alias("onset"),
+    return t.events.select("user_id", F.col("event_id").alias("movie"), (F.col("value") / 20).alias("onset"),
                                                      (F.lit(15) + F.get_json_object("props", "$.k").cast("double") / 7).alias("duration"))
 
 
@@ -85,8 +85,8 @@ def _(t):
     return S.fisher_summary(_pairs(t, min_len=10), ["roi"])
 
 
-@query("s07_isc_against_motion", W + P + """, m AS (SELECT roi, session, member, tanh(avg(atanh(r))) AS mean_r FROM (SELECT roi, session, r, unnest([member_a, member_b]) AS member FROM pr WHERE n >= 10 AND abs(r) < 1) GROUP BY ALL),
-  f AS (SELECT subject AS member, session, avg(motion) AS mean_fd FROM series GROUP BY ALL), j AS (SELECT * FROM m JOIN f USING (member, session)),
+@query("s07_isc_against_motion", W + P + f""", m AS (SELECT roi, session, member, tanh(avg(atanh(r))) AS mean_r FROM (SELECT roi, session, r, unnest([member_a, member_b]) AS member FROM pr WHERE n >= 10 AND abs(r) < 1) GROUP BY ALL),
+  f AS (SELECT subject AS member, session, avg(motion) AS mean_fd FROM series GROUP BY ALL), j AS (SELECT roi, {significant_sql("mean_r")} AS mean_r, {significant_sql("mean_fd")} AS mean_fd FROM m JOIN f USING (member, session)),
   k AS (SELECT *, rank() OVER (PARTITION BY roi ORDER BY mean_r) + (count(*) OVER (PARTITION BY roi, mean_r) - 1) / 2 AS rx, rank() OVER (PARTITION BY roi ORDER BY mean_fd) + (count(*) OVER (PARTITION BY roi, mean_fd) - 1) / 2 AS ry FROM j)
   SELECT roi, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) AS rho, count(*) AS n FROM k GROUP BY roi HAVING count(*) >= 3""", ("rho",))
 def _(t):
@@ -97,9 +97,10 @@ def _(t):
 WPAIR = PAIR.replace("session", "#").replace("subject", "session").replace("#", "subject").format(s="series", v="value")
 
 
-@query("s07_wsc_against_motion", W + WPAIR + """, f AS (SELECT subject, session, avg(motion) AS fd FROM series GROUP BY ALL), j AS (SELECT pr.roi, r, (x.fd + y.fd) / 2 AS fd FROM pr JOIN f x ON x.subject = pr.subject AND x.session = member_a JOIN f y ON y.subject = pr.subject AND y.session = member_b WHERE n >= 2 AND r IS NOT NULL),
+@query("s07_wsc_against_motion", W + WPAIR + f""", f AS (SELECT subject, session, avg(motion) AS fd FROM series GROUP BY ALL), j0 AS (SELECT pr.roi, CASE WHEN abs(r) >= 1 - 1e-12 THEN sign(r) ELSE r END AS r, (x.fd + y.fd) / 2 AS fd FROM pr JOIN f x ON x.subject = pr.subject AND x.session = member_a JOIN f y ON y.subject = pr.subject AND y.session = member_b WHERE n >= 2 AND r IS NOT NULL),
+  j AS (SELECT roi, {significant_sql("r")} AS r, {significant_sql("fd")} AS fd FROM j0),
   k AS (SELECT *, rank() OVER (PARTITION BY roi ORDER BY r) + (count(*) OVER (PARTITION BY roi, r) - 1) / 2 AS rx, rank() OVER (PARTITION BY roi ORDER BY fd) + (count(*) OVER (PARTITION BY roi, fd) - 1) / 2 AS ry FROM j)
-  SELECT roi, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) AS rho, count(*) AS n FROM k GROUP BY roi HAVING count(*) >= 3""", {"rho": 3})
+  SELECT roi, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) AS rho, count(*) AS n FROM k GROUP BY roi HAVING count(*) >= 3""", ("rho",))
 def _(t):
     m = t.series.groupBy("subject", "session").agg(F.avg("motion").alias("mean_fd"))
     p = S.pairwise(t.series, ["roi", "subject", "movie"], "session", ["0", "1", "2", "3"])
@@ -165,7 +166,7 @@ def _(t):
 def _(t):
     e = F.col("event_id") % 2
     x = t.events.select(F.col("event_type").alias("movie"), (F.col("user_id") % 40).alias("unit"), F.hour("ts").alias("t"), F.when(e == 0, F.col("value")).alias("a"), F.when(e == 1, F.col("value")).alias("b"))
-    return S.lag_similarity(x, ["movie"], "unit", 24)
+    return S.lag_similarity(x, ["movie"], "unit")
 
 
 FRAMES = U + """, n AS (SELECT user_id, max(t) + 1 AS n, arg_max(value, t) AS last FROM user_series GROUP BY 1), q AS (SELECT user_id, t // 3 AS j FROM user_series WHERE t % 3 = 0)"""
@@ -205,9 +206,12 @@ def _(t):
     return S.movie_patterns(t.user_series, _movies(t), ["user_id"], "movie", 1.5).select("user_id", "movie", "t", "pos", "value")
 
 
-@query("s17_residual_check", W + " SELECT roi, subject, session, movie, true AS ok FROM series GROUP BY ALL")
+@query("s17_residual_check", W + RES + """ SELECT roi, subject, session, movie, CASE WHEN stddev_pop(residual) > 1e-9 * stddev_pop(value) AND stddev_pop(residual) * stddev_pop(x) > 1e-14 THEN abs(covar_pop(residual, x) / (stddev_pop(residual) * stddev_pop(x))) ELSE 0 END AS abs_r,
+  CASE WHEN stddev_pop(value) * stddev_pop(x) > 1e-14 THEN abs(covar_pop(value, x) / (stddev_pop(value) * stddev_pop(x))) ELSE 0 END AS abs_r_before FROM res GROUP BY ALL""", ("abs_r", "abs_r_before"))
 def _(t):
-    return S.residual_correlation(_res(t), G, "motion").select(*G, (F.col("abs_r") < 1e-6).alias("ok"))
+    res = _res(t)
+    before = S.residual_correlation(res, G, "motion", residual="value").withColumnRenamed("abs_r", "abs_r_before")
+    return S.residual_correlation(res, G, "motion").join(before, G)
 
 
 @query("s17_length_check", U + SEG.format(k=3) + """, f AS (SELECT user_id, movie, count(*) AS n_found FROM sg GROUP BY ALL) SELECT user_id, movie, CAST(round_even(duration / 1.5, 0) AS BIGINT) AS n_expected, n_found, coalesce(n_found BETWEEN CAST(round_even(duration / 1.5, 0) AS BIGINT) - 3 AND CAST(round_even(duration / 1.5, 0) AS BIGINT), false) AS ok

@@ -262,7 +262,12 @@ TUNE1 = """SELECT '{n}' AS fold, (SELECT count(*) FROM w) AS n_valid, (SELECT qu
 @query("m18_tuning_check", TUNE + TUNE1.format(n="0->1", a="r0", b="r1", d=draw_sql(5, "pos")) + " UNION ALL " + TUNE1.format(n="1->0", a="r1", b="r0", d=draw_sql(5, "pos")), ("sel_r_train", "sel_r_heldout", "rand_r_heldout"))
 def _(t):
     x = t.patterns.select(F.col("item").alias("f"), (F.col("session") % 2).alias("fold"), "vec")
-    return M.tuning_check(x, "f", "fold", 10, 5)
+    return M.tuning_check(M.tuning_ranks(x, "f", "fold", 5), 10)
+
+
+@query("m18_tuning_ranks", TUNE + f""", v AS (SELECT * FROM w WHERE r0 IS NOT NULL AND r1 IS NOT NULL) SELECT CAST(pos AS INTEGER) AS pos, r0, r1, row_number() OVER (ORDER BY r0 DESC, pos) AS rank0, row_number() OVER (ORDER BY r1 DESC, pos) AS rank1, row_number() OVER (ORDER BY {draw_sql(5, "pos")}, pos) AS rank_random FROM v""", ("r0", "r1"))
+def _(t):
+    return M.tuning_ranks(t.patterns.select(F.col("item").alias("f"), (F.col("session") % 2).alias("fold"), "vec"), "f", "fold", 5)
 
 
 @query("m19_roi_stats", "SELECT l_partkey % 12 AS roi, count(*) AS n_voxels, avg(l_extendedprice) AS mean, stddev_pop(l_extendedprice) AS std, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.05) AS p5, quantile_cont(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1", {"mean": 4, "std": 4, "median": 4, "p5": 4, "p95": 4})

@@ -9,28 +9,6 @@ from pyspark.sql import types as T
 from ..functions.core import num
 from .files import datatype, entity, extension, suffix, with_entities
 
-# Raw file name patterns in the order they are tried, with the conversion each one needs.
-RAW_FILE_RULES = (
-    (r"^cued_recall_(encoding|math|retrieval)_subj\d+_sess\d+_run\d+_timing\.csv$", "timing_input"),
-    (r"^cued_recall_(encoding|math|retrieval)_subj\d+_sess\d+_run\d+\.csv$", "timed_events"),
-    (r"^cued_recall_recognition_outscan_subj\d+_sess\d+_run\d+(_timing)?\.csv$", "behavioral_to_beh"),
-    (r"^free_recall_math_subj\d+_sess\d+_run\d+_timing\.csv$", "timing_input"),
-    (r"^free_recall_math_subj\d+_sess\d+_run\d+\.csv$", "timed_events"),
-    (r"^\d+_\d+_\d+_mem_search_recall_[0-9_h.-]+\.csv$", "psychopy_encoding"),
-    (r"^\d+_\d+_\d+_mem_search_recall_[0-9_h.-]+\.(log|psydat)$", "no_conversion"),
-    (r"^\d+_\d+_free_recall_recall_[0-9_h.-]+\.csv$", "psychopy_retrieval"),
-    (r"^\d+_\d+_free_recall_recall_[0-9_h.-]+\.(log|psydat)$", "no_conversion"),
-    (r"^final_cued_recall_subj\d+_sess\d+_run\d+_timing\.csv$", "timing_input"),
-    (r"^final_cued_recall_subj\d+_sess\d+_run\d+\.csv$", "timed_events"),
-    (r"^final_(recognition|timeline)_subj\d+_sess\d+_run\d+\.csv$", "behavioral_to_beh"),
-    (r"^localizer_(motor|auditory)_subj?\d+_sess\d+_run\d+_[0-9A-Za-z_]+_timing\.csv$", "localizer_events"),
-    (r"^eyetracking_calibration_subj\d+_sess\d+_run\d+_[0-9A-Za-z_]+_timing\.csv$", "supplementary"),
-    (r"^s\d+s\d+r\d+[mr]_[0-9_]+\.EDF$", "edf_to_physio"),
-    (r"^TRIAL_\d+_ROUTINE_\d+\.ias$", "supplementary"),
-)
-# Eye recordings whose names break the pattern, by name prefix.
-RAW_FILE_ANOMALIES = ("s4s4s1r_", "s4s6r1_2025", "s3s6r1r_2025_05_01_12_05", "s3s6r2r_2025", "s3s6r1r_2025_05_01_12_53")
-
 # Scanner series names in the order they are tried, the task, and whether group 1 is the run.
 SERIES_RULES = (
     (r"^cued_recall_encoding_run(\d+)$", "TBencoding", True), (r"^cued_recall_retrieval_run(\d+)$", "TBretrieval", True),
@@ -117,16 +95,19 @@ def scan_rows(images: DataFrame, events: DataFrame, companions: DataFrame, keys,
     return j.withColumns({f"has_{k}": F.when(bold, F.coalesce(f"has_{k}", F.lit(False))) for k in kinds}).drop("n_rows")
 
 
-def classify(df: DataFrame, name: str, rules=RAW_FILE_RULES, anomalies=RAW_FILE_ANOMALIES, anomaly_type: str = "edf_to_physio",
-             default: str = "no_conversion") -> DataFrame:
-    """First rule that matches decides; known odd names come before all rules."""
-    kind = F.lit(default)
-    for pattern, t in reversed(rules):
-        kind = F.when(F.col(name).rlike(pattern), t).otherwise(kind)
+def classify(df: DataFrame, name: str, rules, odd_names=(), odd_type: str | None = None, default: str = "no_conversion") -> DataFrame:
+    """conversion_type and destination of raw files. `rules` is an ordered table of (pattern, type, destination or
+    None), the destination with $1.. for the pattern's groups; the first that matches decides. Names that start with one
+    of `odd_names` have `odd_type` before all rules, and no destination."""
+    kind, place = F.lit(default), F.lit(None).cast("string")
+    for pattern, t, target in reversed(list(rules)):
+        hit = F.col(name).rlike(pattern)
+        kind = F.when(hit, t).otherwise(kind)
+        place = F.when(hit, F.regexp_replace(name, pattern, target) if target else F.lit(None)).otherwise(place)
     odd = F.lit(False)
-    for p in anomalies:
-        odd = odd | (F.col(name).startswith(p) & F.col(name).endswith(".EDF"))
-    return df.withColumn("conversion_type", F.when(odd, anomaly_type).otherwise(kind))
+    for start in odd_names:
+        odd = odd | F.col(name).startswith(start)
+    return df.withColumn("conversion_type", F.when(odd, odd_type).otherwise(kind)).withColumn("destination", F.when(~odd, place))
 
 
 def series_to_task(df: DataFrame, series: str, status: str = "status", usable=("COMPLETE", "PARTIAL"), rules=SERIES_RULES) -> DataFrame:

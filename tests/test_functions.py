@@ -130,3 +130,21 @@ def test_draws_repeat(spark):
     df = spark.range(100)
     a = [r[0] for r in df.select(core.draw(3, "id") % 10).collect()]
     assert a == [r[0] for r in df.repartition(7).orderBy("id").select(core.draw(3, "id") % 10).collect()] and len(set(a)) == 10
+
+
+def test_products_leave_once_per_group_and_block(spark):
+    from mnemoframe.functions import gram
+    pdf = pd.DataFrame({"k": [0] * 3000 + [1] * 100, "x": np.arange(3100.0), "y": np.arange(3100.0) ** 0.5})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = gram.normal_equations(spark.createDataFrame(pdf).repartition(20), ["k"], ["x"], ["y"]).where("pos = 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.k, r.v) for r in got} == {(0, 3000.0), (1, 100.0)}
+
+
+def test_members_outside_the_roster_are_an_error(spark):
+    from mnemoframe.functions import gram
+    df = spark.createDataFrame([("k", 1, "a", 1.0), ("k", 1, "zz", 2.0)], "k string, t long, m string, v double")
+    with pytest.raises(Exception, match="not in the roster"):
+        gram.pair_correlations(df, ["k"], "t", "m", "v", ["a", "b"]).collect()

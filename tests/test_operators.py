@@ -1,6 +1,7 @@
 """Operator rules on small hand-made tables, and matrix operators against NumPy."""
 
 import json
+import gzip
 import math
 
 import numpy as np
@@ -66,7 +67,9 @@ def test_empty_report_fails(spark):
 def test_select_gate(spark):
     df = spark.range(5)
     assert catalog.run_select(spark, "SELECT count(*) AS n FROM {t} WHERE id > :a", {"a": 2}, t=df).collect()[0].n == 2
-    for bad in ("DROP TABLE x", "insert into t values (1)", "  update t set a = 1"):
+    assert catalog.run_select(spark, "SUMMARIZE {t}", t=df).where("summary = 'max'").first().id == "4"
+    assert catalog.run_select(spark, "WITH a AS (SELECT 1 AS x) SELECT * FROM a").count() == 1 and catalog.run_select(spark, "SHOW TABLES") is not None
+    for bad in ("DROP TABLE x", "insert into t values (1)", "  update t set a = 1", "WITH a AS (SELECT 1 x) INSERT INTO t SELECT * FROM a", "WITH a AS (SELECT 1 x) FROM a INSERT OVERWRITE t SELECT *"):
         with pytest.raises(ValueError):
             catalog.run_select(spark, bad)
 
@@ -130,6 +133,11 @@ def test_title_tokens(spark):
     assert [r[0] for r in df.select(registry.norm_tokens("t")).collect()] == [["miners", "song"], ["cafe", "and", "co"], ["bugs", "life"], []]
 
 
+def test_titles_are_decomposed(spark):
+    df = spark.createDataFrame([("\u010capek",), ("\ufb01lm",), ("\u00c5land",), (None,)], "t string")
+    assert [r[0] for r in df.select(registry.norm_tokens("t")).collect()] == [["c", "apek"], ["film"], ["land"], None]
+
+
 def test_match_titles_ties_and_scores(spark):
     t = spark.createDataFrame([("x", ["big", "fish"]), ("y", ["red"]), ("z", ["none"]), ("w", ["fish", "soup"])], "title string, tokens array<string>")
     f = spark.createDataFrame([("f1", ["big", "fish"]), ("f2", ["big", "fish", "two"]), ("f3", ["red", "a1"]), ("f4", ["red", "b1"]), ("f5", ["hot", "soup", "fish"])], "file string, tokens array<string>")
@@ -161,6 +169,50 @@ def test_tsv_round_trip(spark, tmp_path):
     assert '"resp":null' in "".join(p.read_text() for p in (tmp_path / "js").glob("*.json"))
 
 
+def test_tsv_columns_are_united_by_name(spark, tmp_path):
+    (tmp_path / "sub-01_ses-01_beh.tsv").write_text("trial\tresp\trt\n1\ta\t0.5\n2\tn/a\t0.7\n")
+    (tmp_path / "sub-02_ses-01_beh.tsv").write_text("rt\textra\ttrial\tresp\n0.9\tx\t1\tb\n")
+    with gzip.open(tmp_path / "sub-03_ses-01_beh.tsv.gz", "wt") as f:
+        f.write("trial\tresp\trt\n7\tc\t0.1\n")
+    df = files.read_tsv(spark, str(tmp_path))
+    assert rows(df, "subject", "trial", "resp", "rt", "extra") == [("01", "1", "a", "0.5", None), ("01", "2", None, "0.7", None), ("02", "1", "b", "0.9", "x"), ("03", "7", "c", "0.1", None)]
+
+
+def test_sequential_rows_without_key_or_number_stay(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", None, 5.0), (None, 1, 2.0), (None, 2, 4.0)], "g string, trial_id int, resp_RT double")
+    got = B.rt_sequential(df, group_cols=["g"]).collect()
+    assert sorted(((r.g or ""), r.rt_rolling_mean) for r in got) == [("", 2.0), ("", 3.0), ("a", 1.0), ("a", 3.0)]
+
+
+def test_listings_are_whole(spark):
+    raw = spark.range(60).select(F.lit("s").alias("subject"), F.col("id").alias("run"))
+    assert qc.missing_runs(raw, raw.where("run < 5"), ["subject", "run"]).agg(F.max("position")).first()[0] == 55
+    assert catalog.pending_report(raw, raw.limit(0), "run", ["subject"]).agg(F.max("position")).first()[0] == 60
+    assert B.ranking(raw, "run", "run").where("rank = 60").first().run == 0
+    assert qc.undecided(raw.select(F.col("run").cast("string").alias("run_key")), spark.createDataFrame([("3", "keep", "Ann", False)], "run_key string, decision string, reviewer string, automated boolean")).count() == 59
+
+
+def test_constant_patterns_have_no_r(spark):
+    from mnemoframe.functions.vectors import cell_sums
+    rng = np.random.default_rng(1)
+    data = [(i, 0, [0.1] * 20) for i in range(3)] + [(3 + i, 1, rng.normal(size=20).tolist()) for i in range(3)]
+    got = cell_sums(spark.createDataFrame(data, "k long, cell long, v array<double>"), "k", "v", "cell", 2).collect()
+    assert [(r.cell_a, r.cell_b, r.n_pairs) for r in got] == [(1, 1, 3)]
+
+
+def test_lags_follow_the_length_of_each_movie(spark):
+    rng = np.random.default_rng(2)
+    data = [(m, u, t, float(rng.normal()), float(rng.normal())) for m, n in (("x", 7), ("y", 40)) for u in range(3) for t in range(n)]
+    df = spark.createDataFrame(data, "movie string, unit long, t long, a double, b double")
+    got = series.lag_similarity(df, ["movie"], "unit").collect()
+    assert {m: sum(r.movie == m for r in got) for m in "xy"} == {"x": 7, "y": 40}
+    pdf = df.toPandas()
+    for r in got:
+        g = pdf[pdf.movie == r.movie].sort_values(["unit", "t"])
+        want = np.median([np.corrcoef(s.a, np.roll(s.b, -r.lag))[0, 1] for _, s in g.groupby("unit")])
+        assert abs(r.median_r - want) < 1e-9
+
+
 def test_metric_records(spark, tmp_path):
     d = tmp_path / "func"
     d.mkdir()
@@ -172,12 +224,14 @@ def test_metric_records(spark, tmp_path):
 
 
 def test_confound_selection(spark):
-    cols = [m + f for m in files.MOTION for f in files.MOTION_FORMS] + [f"a_comp_cor_{i:02d}" for i in range(8)] + ["cosine00", "cosine01", "csf"]
+    forms = ("", "_derivative1", "_power2")
+    cols = [f"{m}{f}" for m in ("trans_x", "rot_z") for f in forms] + [f"a_comp_cor_{i:02d}" for i in range(8)] + ["cosine00", "cosine01", "csf"]
     df = spark.createDataFrame([tuple([1.0] * len(cols))], cols)
-    assert len(files.confound_columns(df)) == 24 + 6 + 2
-    assert len(series.model_columns(df, 3)) == 26 and series.model_columns(df, 0) == []
+    got = series.model_columns(df, ["csf", "rot_z_power2"], ["cosine"], {"a_comp_cor_": 6})
+    assert got == ["csf", "rot_z_power2", "cosine00", "cosine01", *(f"a_comp_cor_{i:02d}" for i in range(6))]
+    assert series.model_columns(df) == []
     with pytest.raises(KeyError):
-        files.confound_columns(df.drop("rot_z_power2"))
+        series.model_columns(df.drop("rot_z_power2"), ["rot_z_power2"])
 
 
 def test_series_names(spark):

@@ -7,6 +7,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 PATH = "/root/testdata/sf0.001"
 SQL = oracle_sql()
+# checked by brute force where the optional subpackage is installed
+NO_SQL = {n for n in queries() if n == "pipeline" or n.startswith("op")}
 
 
 @pytest.fixture(scope="module")
@@ -14,10 +16,10 @@ def con():
     return oracle.connect(PATH)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(set(queries()) - NO_SQL))
 def test_query(spark, con, name):
     err = oracle.compare(spark, con, name, queries()[name], SQL.get(name), PATH)
-    assert err in ("", "EMPTY on both sides"), err
+    assert err == "", err
 
 
 def test_entry_has_rows(spark):
@@ -26,4 +28,4 @@ def test_entry_has_rows(spark):
 
 
 def test_only_matrix_results_lack_sql():
-    assert set(queries()) - set(SQL) == {"v05_pca_projection", "v09_ridge_path", "v11_alignment"}
+    assert set(queries()) - set(SQL) - NO_SQL == {"v11_alignment"}
