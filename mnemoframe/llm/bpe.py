@@ -31,6 +31,8 @@ WORD_END = "</w>"
 KEPT = 400_000
 LONG = 64
 BLANKS = regex.compile(r"[^\x20\x09-\x0D]+")
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+").findall
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
@@ -50,6 +52,13 @@ def runs_of(text: str) -> list[str]:
     return BLANKS.findall(text) if any(c in text for c in ODD_BLANKS) else text.split()
 
 
+def words_of(run: str) -> list[str]:
+    """Words of a run in composed form and lower case. Capital sigma has one lower form here, whatever follows."""
+    if run.isascii():
+        return PLAIN_WORDS(run.lower())
+    return WORDS(unicodedata.normalize("NFC", run).replace("Σ", "σ").lower())
+
+
 class Known(dict):
     """Results by string, computed when first asked for; emptied at its bound, and long strings are not kept."""
 
@@ -82,8 +91,6 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
-        self.plain_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+").findall
         self.model = Tokenizer.from_file(path).model
         self.symbols = byte_symbols()
         self.joined = {a + b for t in self.vocab for a, b in zip(t.removesuffix(WORD_END), t.removesuffix(WORD_END)[1:])}
@@ -134,11 +141,7 @@ class Encoder:
             elif part.isascii() and part.isalpha():
                 ids += self.word[part.lower()]
             elif part:
-                if part.isascii():
-                    words = self.plain_words(part.lower())
-                else:  # capital sigma has one lower form here, whatever follows
-                    words = self.words(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
-                for w in words:
+                for w in words_of(part):
                     ids += self.word[w]
         return ids
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import LONG, Encoder, Known, runs_of
+from .bpe import LONG, Known, byte_symbols, runs_of, words_of
 from .common import new_folder, text_of, written
 
 LENGTH = 2048
@@ -34,23 +35,30 @@ ROWS = 64
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once per word: runs of non-blank characters are independent of each other."""
+    """The tokenizers library's model, asked once per word: runs of non-blank characters are independent of each other,
+    and so are their words. Special tokens and very long runs go through the whole library."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.word = Known(lambda w: np.array([t.id for t in self.model.tokenize(w)], self.kind).tobytes())
+        self.code = "I" if self.wide else "H"
+        self.symbols = byte_symbols()
+        self.word = Known(self._word)
         self.run = Known(self._run)
 
+    def _word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isalnum()):
+            word = "".join(map(self.symbols.__getitem__, word.encode("utf-8")))
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def _run(self, run: str) -> bytes:
         if "<|" in run or len(run) > LONG:
-            return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, self.kind).tobytes()
+            return array(self.code, self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
         if run.isascii() and run.isalpha():
             return self.word[run.lower()]
-        text = self.tokenizer.normalizer.normalize_str(run)
-        return b"".join([self.word[w] for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
+        return b"".join(map(self.word.__getitem__, words_of(run)))
 
     def encode(self, text: str) -> bytes:
         ids = b"".join(map(self.run.__getitem__, runs_of(text)))
