@@ -82,12 +82,12 @@ def _(t):
     return V.renumber_sessions(V.parse_log_name(n, rules=RULES), {"TBencoding": 3, "TBretrieval": 3, "FRmath": 18}, session="session_no").drop("file_name")
 
 
-@query("e05_timing_pairs", """WITH l AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0), f AS (SELECT user_id, event_type, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 2 END AS priority, 'timing_' || printf('%09d', event_id) AS timing_name FROM events WHERE event_id % 5 = 0)
+@query("e05_timing_pairs", """WITH l AS (SELECT DISTINCT user_id, event_type FROM events), f AS (SELECT user_id, event_type, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 2 END AS priority, 'timing_' || printf('%09d', event_id) AS timing_name FROM events)
   SELECT user_id, event_type, timing_name FROM l LEFT JOIN (SELECT user_id, event_type, timing_name FROM f QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY priority, timing_name) = 1) USING (user_id, event_type)""")
 def _(t):
     e = F.col("event_id")
-    logs = t.events.where(e % 3 == 0).select("user_id", "event_type").distinct()
-    timing = t.events.where(e % 5 == 0).select("user_id", "event_type", F.when(e % 4 == 0, 1).otherwise(2).alias("priority"),
+    logs = t.events.select("user_id", "event_type").distinct()
+    timing = t.events.select("user_id", "event_type", F.when(e % 4 == 0, 1).otherwise(2).alias("priority"),
                                               F.concat(F.lit("timing_"), F.format_string("%09d", e)).alias("timing_name"))
     return V.pair_timing(logs, timing, ["user_id", "event_type"])
 

@@ -33,11 +33,11 @@ def _(t):
     return S.normalise_columns(x)
 
 
-@query("i03_stacked_tables", W + """SELECT trial_id, trial_type, CASE WHEN task = 'click' THEN resp END AS resp, CASE WHEN task = 'view' THEN pairId END AS pairId FROM (SELECT * REPLACE (CASE WHEN trial_id % 19 <> 0 THEN trial_type END AS trial_type) FROM trials)
-  WHERE task IN ('click', 'view') AND (trial_type IS NULL OR trial_type <> 'rest')""")
+@query("i03_stacked_tables", W + """SELECT trial_id, trial_type, CASE WHEN task = 'click' THEN resp END AS resp, CASE WHEN task <> 'click' THEN pairId END AS pairId FROM (SELECT * REPLACE (CASE WHEN trial_id % 19 <> 0 THEN trial_type END AS trial_type) FROM trials)
+  WHERE task IS NOT NULL AND (trial_type IS NULL OR trial_type <> 'rest')""")
 def _(t):
     x = t.trials.withColumn("trial_type", F.when(F.col("trial_id") % 19 != 0, F.col("trial_type")))
-    return S.stack_tables([x.where("task = 'click'").select("trial_id", "trial_type", "resp"), x.where("task = 'view'").select("trial_id", "trial_type", "pairId")], drop_rest=True)
+    return S.stack_tables([x.where("task = 'click'").select("trial_id", "trial_type", "resp"), x.where("task <> 'click'").select("trial_id", "trial_type", "pairId")], drop_rest=True)
 
 
 @query("i04_found_files", """SELECT page_id, url FROM pages WHERE split_part(url, '/', 4) || split_part(url, '/', 3) IN (SELECT split_part(url, '/', 4) || split_part(url, '/', 3) FROM pages WHERE page_id % 7 = 0)""")
@@ -101,12 +101,12 @@ def _(t):
     return N.run_catalog(t.listing, "physio", ["image", "events"])
 
 
-@query("i13_manifest", """WITH s AS (SELECT 'p' || page_id % 150 AS path, page_id, length(url) AS size FROM pages WHERE page_id % 3 <> 0), c AS (SELECT 'p' || page_id % 170 AS path, page_id, length(html) AS size FROM pages WHERE page_id % 2 = 0),
+@query("i13_manifest", """WITH s AS (SELECT 'p' || page_id % 150 AS path, page_id, length(url) AS size FROM pages), c AS (SELECT 'p' || page_id % 170 AS path, page_id, length(html) AS size FROM pages),
   a AS (SELECT path, arg_max(size, page_id) AS size FROM s GROUP BY 1), b AS (SELECT path, arg_max(size, page_id) AS size FROM c GROUP BY 1) SELECT * FROM a UNION ALL SELECT * FROM b WHERE path NOT IN (SELECT path FROM a)""")
 def _(t):
     p = F.col("page_id")
     mk = lambda m, src: (F.concat(F.lit("p"), (p % m).cast("string")).alias("path"), "page_id", F.length(src).cast("long").alias("size"))
-    return N.manifest(t.pages.where("page_id % 3 <> 0").select(*mk(150, "url")), t.pages.where("page_id % 2 = 0").select(*mk(170, "html")), "page_id")
+    return N.manifest(t.pages.select(*mk(150, "url")), t.pages.select(*mk(170, "html")), "page_id")
 
 
 @query("i14_event_metadata", """SELECT user_id, count(*) AS n_rows, min(o) AS onset_min, max(o) AS onset_max, min(d) AS duration_min, max(d) AS duration_max, max(o + d) AS end_max FROM (SELECT user_id, CASE WHEN event_id % 6 <> 0 THEN CAST(event_id AS DOUBLE) END AS o, value AS d FROM events) GROUP BY 1""", ("end_max",))

@@ -25,14 +25,14 @@ def _(t):
     return _titles(t).select("p_partkey", R.slug("title").alias("slug"), F.size(R.norm_tokens("title")).cast("long").alias("n_tokens"))
 
 
-@query("r02_title_match", f"""WITH {TITLES}, k AS (SELECT p_partkey, {TOK} AS tokens FROM ti), a AS (SELECT * FROM k WHERE p_partkey % 10 = 1), f AS (SELECT tokens AS ft, 'file' || printf('%09d', p_partkey) AS file FROM k WHERE p_partkey % 7 = 0),
+@query("r02_title_match", f"""WITH {TITLES}, k AS (SELECT p_partkey, {TOK} AS tokens FROM ti), a AS (SELECT * FROM k), f AS (SELECT tokens AS ft, 'file' || printf('%09d', p_partkey) AS file FROM k WHERE p_partkey % 7 = 0),
   s AS (SELECT p_partkey, file, CASE WHEN tokens = ft THEN 3 WHEN ft[1:len(tokens)] = tokens OR tokens[1:len(ft)] = ft THEN 2 WHEN list_has_all(ft, tokens) OR list_has_all(tokens, ft) THEN 1 END AS score FROM a, f),
   b0 AS (SELECT p_partkey, score, count(*) AS n, min(file) AS file FROM s WHERE score IS NOT NULL GROUP BY ALL), b AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC) = 1)
   SELECT p_partkey, CAST(score AS INTEGER) AS score, n AS n_best, CASE WHEN n = 1 THEN file END AS file FROM a LEFT JOIN b USING (p_partkey)""")
 def _(t):
     k = _titles(t).select("p_partkey", R.norm_tokens("title").alias("tokens"))
     f = k.where("p_partkey % 7 = 0").select("tokens", F.concat(F.lit("file"), F.format_string("%09d", "p_partkey")).alias("file"))
-    return R.match_titles(k.where("p_partkey % 10 = 1"), f).select("p_partkey", "score", "n_best", "file")
+    return R.match_titles(k, f).select("p_partkey", "score", "n_best", "file")
 
 
 @query("r03_canonical_spellings", """WITH d AS (SELECT CASE doc_id % 3 WHEN 0 THEN upper(source) WHEN 1 THEN source ELSE 'S' || substr(source, 2) END AS s, CASE WHEN source = 'src7' THEN doc_id % 2 ELSE length(source) END AS len FROM documents),
@@ -59,11 +59,11 @@ def _(t):
                                                 "l_orderkey": (t.orders.where("o_orderstatus <> 'P'"), "o_orderkey")})
 
 
-@query("r06_shared_items", """WITH x AS (SELECT printf('%02d', l_suppkey % 20) AS subject, l_partkey % 150 AS pairId, l_partkey % 300 AS imageId, CASE WHEN l_partkey % 150 < 75 THEN 3 ELSE 2 END AS enCon FROM lineitem WHERE l_partkey % 7 <> 0)
+@query("r06_shared_items", """WITH x AS (SELECT printf('%02d', l_suppkey % 20) AS subject, l_partkey % 150 AS pairId, l_partkey % 300 AS imageId, CASE WHEN l_partkey % 150 < 75 THEN 3 ELSE 2 END AS enCon FROM lineitem)
   SELECT subject, pairId, count(*) AS n_presentations, min(imageId) AS imageId, min(enCon) AS enCon, count(DISTINCT imageId) = 1 AND count(DISTINCT enCon) = 1 AS stable, CASE min(enCon) WHEN 3 THEN 'triplet' ELSE 'single' END AS role, CASE min(enCon) WHEN 3 THEN pairId ELSE 0 END AS position FROM x GROUP BY subject, pairId""")
 def _(t):
     k = F.col("l_partkey")
-    x = t.lineitem.where(k % 7 != 0).select(pad2(F.col("l_suppkey") % 20).alias("subject"), (k % 150).alias("pairId"), (k % 300).alias("imageId"), F.when(k % 150 < 75, 3).otherwise(2).alias("enCon"))
+    x = t.lineitem.select(pad2(F.col("l_suppkey") % 20).alias("subject"), (k % 150).alias("pairId"), (k % 300).alias("imageId"), F.when(k % 150 < 75, 3).otherwise(2).alias("enCon"))
     return R.shared_items(x, ["subject"], "pairId", ["imageId", "enCon"])
 
 

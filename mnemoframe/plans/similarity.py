@@ -281,9 +281,9 @@ def _(t):
     return M.dice(x, ["label", "hemisphere"], F.col("quality") == 1, F.col("toxic") == 1, 0.343)
 
 
-@query("m21_union_mask", "SELECT user_id, count(DISTINCT day(ts)) AS n_runs, count(DISTINCT event_id % 2 * (user_id % 3)) = 1 AS same_grid FROM events WHERE value > 50 GROUP BY 1")
+@query("m21_union_mask", "SELECT user_id, count(DISTINCT day(ts)) AS n_runs, count(DISTINCT event_id % 2 * (user_id % 3)) = 1 AS same_grid FROM events GROUP BY 1")
 def _(t):
-    m = t.events.where("value > 50").select("user_id", F.dayofmonth("ts").alias("run"), (F.col("event_id") % 2 * (F.col("user_id") % 3)).alias("grid"))
+    m = t.events.select("user_id", F.dayofmonth("ts").alias("run"), (F.col("event_id") % 2 * (F.col("user_id") % 3)).alias("grid"))
     return M.union_mask(m, "user_id", "run", "grid")
 
 
