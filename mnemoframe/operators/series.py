@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.core import div, fisher_z, r_agg, rint_long, significant, with_group_stats
 from ..functions.gram import least_squares, pair_correlations
 from ..functions.quantiles import exact_quantiles
-from ..functions.scan import id_block, row_index, running_total, with_neighbours
+from ..functions.scan import neighbourhood, running_total, with_neighbours
 
 # Shift of the response (volumes, seconds), feature frame spacing, chunk length, kernel length (seconds).
 SHIFT_VOLUMES, SHIFT_S, FRAME_S, CHUNK_S, KERNEL_S = 3, 4.5, 0.5, 4.5, 32.0
@@ -205,6 +205,25 @@ def _weighted(queries: DataFrame, frames: DataFrame, movie: str, value: str) ->
     return hit.groupBy(movie, "j").agg(F.sum(F.col("_w") * F.col(value)).alias(value))
 
 
+def convolved(frames: DataFrame, movie: str, kernel, value: str = "value", block: int = 4096) -> DataFrame:
+    """(movie, idx, value) convolved with a kernel that starts at 0, up to its end beyond the last frame. Movies are cut
+    into blocks that get the few frames before them too, so that a group has at most block + len(kernel) rows."""
+    kernel = np.asarray(kernel, float)
+    wide, _ = neighbourhood(frames.select(movie, F.col("idx").cast("long").alias("idx"), F.col(value).cast("double").alias(value)), [movie], "idx", len(kernel) - 1, 0, block)
+    schema = T.StructType([frames.schema[movie], T.StructField("idx", T.LongType()), T.StructField(value, T.DoubleType())])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, home = int(pdf["idx"].min()), int(pdf["_blk"].iloc[0]) * block
+        line = np.zeros(int(pdf["idx"].max()) - start + 1)
+        line[pdf["idx"].to_numpy() - start] = np.nan_to_num(pdf[value].to_numpy())
+        out = np.convolve(line, kernel)
+        at = start + np.arange(len(out))
+        own = (at >= home) & (at < home + block)
+        return pd.DataFrame({movie: pdf[movie].iloc[0], "idx": at[own], value: out[own]})
+
+    return wide.groupBy(movie, "_blk").applyInPandas(one, schema)
+
+
 def features_at(frames: DataFrame, queries: DataFrame, movie: str, model: str, tr: float = 1.5, value: str = "value") -> DataFrame:
     """Feature values for response samples j: `hrf` (convolved, linear interpolation), `fixed` (linear
     interpolation), `chunkmean` (mean of a chunk, last frame when it is empty)."""
@@ -217,12 +236,8 @@ def features_at(frames: DataFrame, queries: DataFrame, movie: str, model: str, t
     at = (F.col("j") * tr + (SHIFT_S if model == "hrf" else 0.0)) / FRAME_S
     p = F.least(F.greatest(at, F.lit(0.0)), F.col("_n") + len(h) - 2)
     q = q.withColumn("_lo", F.floor(p)).withColumn("_f", p - F.floor(p))
-    kernel = F.array(*[F.lit(x) for x in h])
-    hv = lambda k: F.coalesce(F.when(k >= 0, F.get(kernel, k.cast("int"))), F.lit(0.0))
-    w = F.transform(F.sequence(F.lit(-1), F.lit(len(h) - 1)),  # frame idx = lo - k carries h[k] and h[k + 1]
-                    lambda k: F.struct((F.col("_lo") - k).alias("idx"), ((1 - F.col("_f")) * hv(k) + F.col("_f") * hv(k + 1)).alias("weight")))
-    w = F.filter(w, lambda x: (x["idx"] >= 0) & (x["idx"] < F.col("_n")) & (x["weight"] != 0))
-    got = _weighted(q.withColumn("w", w), frames, movie, value)
+    w = F.array(F.struct(F.col("_lo").alias("idx"), (1 - F.col("_f")).alias("weight")), F.struct((F.col("_lo") + 1).alias("idx"), F.col("_f").alias("weight")))
+    got = _weighted(q.withColumn("w", w), convolved(frames, movie, h, value) if len(h) > 1 else frames, movie, value)
     return queries.join(got, [movie, "j"], "left").select(movie, "j", F.coalesce(value, F.lit(0.0)).alias(value))
 
 

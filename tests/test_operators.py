@@ -213,6 +213,15 @@ def test_lags_follow_the_length_of_each_movie(spark):
         assert abs(r.median_r - want) < 1e-9
 
 
+def test_convolution_crosses_blocks(spark):
+    rng = np.random.default_rng(4)
+    line, kernel = rng.normal(size=57), rng.normal(size=6)
+    df = spark.createDataFrame([("m", i, float(v)) for i, v in enumerate(line)], "movie string, idx long, value double")
+    for block in (8, 19, 4096):
+        got = series.convolved(df, "movie", kernel, block=block).orderBy("idx").collect()
+        assert [r.idx for r in got] == list(range(62)) and np.allclose([r.value for r in got], np.convolve(line, kernel))
+
+
 def test_metric_records(spark, tmp_path):
     d = tmp_path / "func"
     d.mkdir()
