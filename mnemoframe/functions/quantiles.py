@@ -1,8 +1,9 @@
 """Exact, linearly interpolated quantiles per group without gathering a group in one task.
 
-Pass 1 finds count, minimum and maximum per group. Pass 2 counts rows in order-preserving value buckets,
-which combines map-side. Pass 3 keeps only the rows of the buckets that hold the wanted ranks, collapses
-equal values, and reads the ranks off a running count inside those buckets.
+First count, minimum and maximum per group. Then rows are counted in order-preserving value buckets, which combines
+map-side, and only the rows of the buckets that hold the wanted ranks go on; they are dealt into finer buckets between
+the smallest and largest value of their own bucket, so that far outliers cost no resolution. Of what is left, equal values
+collapse and the ranks are read off a running count inside the buckets.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 LINEAR = 4096
 LOGIT = 64
+LEVELS = 2
 
 
 def _buckets(v: Column, lo: Column, hi: Column):
@@ -32,12 +34,6 @@ def exact_quantiles(df: DataFrame, keys, value, wanted: dict[str, float], upper:
     if not keys:
         x, keys = x.withColumn("_all", F.lit(1)), ["_all"]
     span = x.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    b1, b2 = _buckets(F.col("_v"), F.col("_lo"), F.col("_hi"))
-    xb = x.join(span, keys).select(*keys, "_v", "_n", b1.alias("_b1"), b2.alias("_b2"))
-    hist = xb.groupBy(*keys, "_b1", "_b2").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_start", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-
     def ranks(q):
         if upper:
             r = F.least(F.floor(F.col("_n") * q), F.col("_n") - 1)
@@ -49,11 +45,18 @@ def exact_quantiles(df: DataFrame, keys, value, wanted: dict[str, float], upper:
     for q in wanted.values():
         for r in ranks(q):
             hit = hit | ((r >= F.col("_start")) & (r < F.col("_start") + F.col("_c")))
-    target = hist.where(hit).select(*keys, "_b1", "_b2", "_start")
-    rows = (xb.join(target, keys + ["_b1", "_b2"])
-            .groupBy(*keys, "_b1", "_b2", "_v").agg(F.count("*").alias("_c"), F.max("_start").alias("_start"),
-                                                    F.max("_n").alias("_n")))
-    wi = Window.partitionBy(*keys, "_b1", "_b2").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    rows, path = x.join(span, keys).withColumn("_base", F.lit(0).cast("long")), []
+    for level in range(LEVELS):
+        even, odds = (f"_b{level}{k}" for k in "eo")
+        rows = rows.withColumns(dict(zip((even, odds), _buckets(F.col("_v"), F.col("_lo"), F.col("_hi")))))
+        w = Window.partitionBy(*keys, *path).orderBy(even, odds).rowsBetween(Window.unboundedPreceding, -1)
+        path = [*path, even, odds]
+        hist = rows.groupBy(*keys, *path).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"), F.max("_base").alias("_base"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        hist = hist.withColumn("_start", F.col("_base") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
+        target = hist.where(hit).select(*keys, *path, F.col("_start").alias("_base"), "_lo", "_hi")
+        rows = rows.select(*keys, *path, "_v", "_n").join(target, keys + path)
+    rows = rows.groupBy(*keys, *path, "_v").agg(F.count("*").alias("_c"), F.max("_base").alias("_start"), F.max("_n").alias("_n"))
+    wi = Window.partitionBy(*keys, *path).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_s", F.col("_start") + F.coalesce(F.sum("_c").over(wi), F.lit(0)))
     rows = rows.withColumn("_e", F.col("_s") + F.col("_c"))
     aggs = [F.max("_n").alias("_n")]

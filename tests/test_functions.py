@@ -148,3 +148,12 @@ def test_members_outside_the_roster_are_an_error(spark):
     df = spark.createDataFrame([("k", 1, "a", 1.0), ("k", 1, "zz", 2.0)], "k string, t long, m string, v double")
     with pytest.raises(Exception, match="not in the roster"):
         gram.pair_correlations(df, ["k"], "t", "m", "v", ["a", "b"]).collect()
+
+
+def test_quantiles_between_far_outliers(spark):
+    from mnemoframe.functions.quantiles import exact_quantiles
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=20_000), [1e12, -1e12, 3e300, -3e300], np.full(5000, 0.25), 1e-9 * rng.normal(size=3000)])
+    want = {"a": 0.01, "b": 0.3, "c": 0.5, "d": 0.777, "e": 1.0}
+    got = exact_quantiles(spark.createDataFrame(pd.DataFrame({"x": x})).repartition(6), [], "x", want).first()
+    assert all(got[n] == pytest.approx(np.quantile(x, q), rel=1e-12, abs=1e-15) for n, q in want.items())
