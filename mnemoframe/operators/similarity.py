@@ -273,6 +273,15 @@ def version_table(df: DataFrame, keys, version: str, base: str, other: str, valu
     return g.select(*keys, F.col(base).alias("base"), F.col(other).alias("other"), (F.col(other) - F.col(base)).alias("delta"), (100 * div(F.col(other) - F.col(base), F.abs(F.col(base)))).alias("pct"))
 
 
+def paired_test(df: DataFrame, keys, unit, version: str, base: str, other: str, value: str = "discriminability") -> DataFrame:
+    """Per group (keys): the differences between two versions over the units that have both, their number, mean, share
+    above 0 in per cent, and the signed-rank p."""
+    g = df.groupBy(*keys, *unit).pivot(version, [base, other]).agg(F.avg(value)).na.drop(subset=[base, other])
+    d = g.select(*keys, (F.col(other) - F.col(base)).alias("d"))
+    s = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), (100 * F.avg((F.col("d") > 0).cast("double"))).alias("pct_pos"))
+    return s.join(signed_rank(d, keys).select(*keys, "p"), list(keys), "left")
+
+
 def component_table(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("within_r", "between_r", "discriminability")])
 

@@ -200,6 +200,13 @@ def _(t):
     return M.version_table(_bench(t), ["stream", "roi"], "version", "O", "F")
 
 
+@query("m13_paired_test", """WITH pv AS (SELECT l_returnflag AS stream, l_suppkey AS unit, l_partkey % 6 AS roi, avg(l_extendedprice / 105013 - l_discount) FILTER (l_linestatus = 'O') AS o, avg(l_extendedprice / 105013 - l_discount) FILTER (l_linestatus = 'F') AS f FROM lineitem GROUP BY ALL),
+  pt AS (SELECT stream, f - o AS d FROM pv WHERE o IS NOT NULL AND f IS NOT NULL)""" + SR.format(k="stream", t="pt") + f" SELECT g.*, {two_sided_p_sql('z')} AS p FROM (SELECT stream, count(*) AS n, avg(d) AS mean, 100 * avg(CAST(d > 0 AS DOUBLE)) AS pct_pos FROM pt GROUP BY 1) g LEFT JOIN srp USING (stream)", ("mean", "pct_pos", "p"))
+def _(t):
+    x = t.lineitem.select(F.col("l_returnflag").alias("stream"), F.col("l_suppkey").alias("unit"), (F.col("l_partkey") % 6).alias("roi"), "l_linestatus", (F.col("l_extendedprice") / 105013 - F.col("l_discount")).alias("discriminability"))
+    return M.paired_test(x, ["stream"], ["unit", "roi"], "l_linestatus", "O", "F")
+
+
 @query("m13_headline", BEN + VT + " SELECT count(*) FILTER (other > base) AS n_won, count(*) AS n_total, arg_max(roi, pct) AS best_roi, max(pct) AS best_pct FROM vt WHERE stream = 'movie'", {"best_pct": 4})
 def _(t):
     return M.headline(M.version_table(_bench(t).where("stream = 'movie'"), ["stream", "roi"], "version", "O", "F"))
