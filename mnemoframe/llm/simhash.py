@@ -10,7 +10,9 @@ A key that more than CROWDED fingerprints share is not joined pair by pair:
 * With one word of 64 bits and distance 2 the fingerprints of crowded keys are spread to their 64 neighbours at one
   bit: two differ in at most two bits exactly if they meet in a common neighbour, where at most 65 can meet. All links
   are found, in linear work.
-* Wider fingerprints of crowded keys are compared with the smallest one of the key, in each of their crowded keys.
+* Wider fingerprints of crowded keys are compared with the smallest and the largest one of the key, in each of their
+  crowded keys. In other keys a pair must also be close in its first 64 bits (three deviations of room) before it leaves
+  the join, so that pairs that share a key by chance are not passed on.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like any other. Null ids form
 links too but are never a component's id unless it has no other. Extra columns stay.
@@ -18,6 +20,7 @@ links too but are never a component's id unless it has no other. Extra columns s
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -113,23 +116,25 @@ def differing(a: str | Column, b: str | Column) -> Column:
 
 def links(prints: DataFrame, words: int, distance: int, blocks: int, share: int, crowded: int = CROWDED) -> DataFrame:
     """(a, b) node pairs, from distinct (node, fingerprint): enough of the close pairs to connect what belongs together."""
-    keyed = prints.select("node", F.explode(block_keys(64 * words, blocks, share)("fingerprint")).alias("key"))
+    # the node is the fingerprint itself where that has one word
+    first = F.col("node") if words == 1 else F.element_at("fingerprint", 1)
+    keyed = prints.select("node", first.alias("first"), F.explode(block_keys(64 * words, blocks, share)("fingerprint")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(keyed.join(shared, "key"), "blocks")
     few, many = members.where(F.col("n") <= crowded), members.where(F.col("n") > crowded)
-    x, y = few.select("key", F.col("node").alias("a")), few.select("key", F.col("node").alias("b"))
-    if words == 1:  # the node is the fingerprint itself
-        near = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
-        if blocks - share == distance == 2:
-            flips = F.array(*[F.lit(int(np.uint64(1 << i).astype(np.int64))) for i in range(64)], F.lit(0).cast("long"))
-            around = F.transform(flips, lambda bit: F.col("node").bitwiseXOR(bit))
-            meet = many.select("node").distinct().select("node", F.explode(around).alias("at")).groupBy("at").agg(F.collect_list("node").alias("all")).where(F.size("all") > 1)
-            star = meet.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b")
-            return near.unionAll(star)
-    else:
-        near = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b"))).select("a", "b")
-    least = many.groupBy("key").agg(F.min("node").alias("b"))
-    pairs = near.unionAll(many.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b")).distinct()
+    x, y = few.select("key", F.col("node").alias("a"), F.col("first").alias("fa")), few.select("key", F.col("node").alias("b"), F.col("first").alias("fb"))
+    rate = distance / (64 * words)
+    room = distance if words == 1 else math.ceil(64 * rate + 3 * math.sqrt(64 * rate * (1 - rate)))
+    near = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= room)).select("a", "b")
+    if words == 1 and blocks - share == distance == 2:
+        flips = F.array(*[F.lit(int(np.uint64(1 << i).astype(np.int64))) for i in range(64)], F.lit(0).cast("long"))
+        around = F.transform(flips, lambda bit: F.col("node").bitwiseXOR(bit))
+        meet = many.select("node").distinct().select("node", F.explode(around).alias("at")).groupBy("at").agg(F.collect_list("node").alias("all")).where(F.size("all") > 1)
+        star = meet.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b")
+        return near.unionAll(star)
+    ends = many.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    star = many.join(ends, "key").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
+    pairs = near.unionAll(star).distinct()
     left, right = prints.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa")), prints.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb"))
     return pairs.join(left, "a").join(right, "b").where(differing("fa", "fb") <= distance).select("a", "b")
 
