@@ -115,15 +115,15 @@ def snapped(r) -> Column:
     return F.when(F.abs(r) >= 1 - 1e-12, F.signum(r)).otherwise(r)
 
 
-def significant(x, digits: int = 12) -> Column:
-    """x rounded to so many significant digits; 0 stays."""
+def significant(x, digits: int = 9) -> Column:
+    """x rounded to so many significant digits; what is within 1e-12 of 0 is 0."""
     scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
-    return F.when(x == 0, 0.0).otherwise(F.round(x * scale) / scale)
+    return F.when(F.abs(x) < 1e-12, 0.0).otherwise(F.round(x * scale) / scale)
 
 
-def significant_sql(x: str, digits: int = 12) -> str:
+def significant_sql(x: str, digits: int = 9) -> str:
     scale = f"pow(10.0, {digits - 1} - floor(log10(abs({x}))))"
-    return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round({x} * {scale}) / {scale} END"
+    return f"CASE WHEN abs({x}) < 1e-12 THEN 0.0 ELSE round({x} * {scale}) / {scale} END"
 
 
 def pearson_from_sums(n, sx, sy, sxx, syy, sxy) -> Column:

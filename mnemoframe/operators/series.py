@@ -87,7 +87,7 @@ def fisher_summary(pairs: DataFrame, keys, r: str = "r") -> DataFrame:
 
 def mid_ranks(df: DataFrame, keys, value: str, out: str) -> DataFrame:
     """Ranks with ties averaged: values are counted first, then ranked by a running count over value blocks. Values
-    that agree in 12 significant digits are tied, as rounding noise has no rank."""
+    that agree in nine significant digits are tied, as rounding noise has no rank."""
     v = df.withColumn("_v", significant(F.col(value)))
     c = v.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     r = running_total(c, keys, ["_v"], F.floor(F.col("_v") * 1024).cast("long"), F.col("_c"), "_below", inclusive=False)
