@@ -151,7 +151,11 @@ def grouped(docs: DataFrame, width: int = 3, words: int = 1, distance: int = 2,
     prints = written(fingerprinted(docs.select(F.col(doc_id).alias("id"), row.alias("row"), F.col(text).alias("_text")), width, words, distinct, "_text", "_print")
                      .select("id", "row", F.col("_print").alias("fingerprint"), node.alias("node")), "prints")
     nodes = prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fingerprint").alias("fingerprint"))
-    roots = connected(links(nodes.select("node", "fingerprint"), words, distance, blocks, share, crowded))
+    return named_groups(prints, nodes, connected(links(nodes.select("node", "fingerprint"), words, distance, blocks, share, crowded)))
+
+
+def named_groups(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, row, fingerprint, component_id) of prints, by the smallest id (least) of the nodes of one root."""
     named = nodes.join(roots, "node", "left").select("node", "least", "root")
     linked = named.where("root is not null")
     best = linked.groupBy("root").agg(F.min("least").alias("best"))
@@ -161,7 +165,11 @@ def grouped(docs: DataFrame, width: int = 3, words: int = 1, distance: int = 2,
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """One row of each group: the smallest id, ties by the hash of the row, identical rows once; columns as given."""
-    rows = grouped(docs, doc_id=doc_id, **how)
+    return one_of_each(docs, grouped(docs, doc_id=doc_id, **how), doc_id)
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, doc_id: str) -> DataFrame:
+    """The representatives of docs by rows, as grouped() makes them."""
     # groups are named by their smallest id; where all ids of a group are null, each fingerprint is a group of its own
     group = F.when(F.col("component_id").isNull(), F.xxhash64("fingerprint"))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
