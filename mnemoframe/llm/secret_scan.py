@@ -91,39 +91,52 @@ def unpacked(data: bytes) -> tuple[str, bool] | None:
     return None if text is None else (text, packed)
 
 
+def without_url(part: str, a: int) -> list[tuple[str, int, int]] | None:
+    """The characters of a part that starts at a, with URL escapes resolved, and where each starts and ends."""
+    if "%" not in part or not URL.search(part):
+        return None
+    out, at = [], 0
+    # neighbouring escapes are one sequence of bytes
+    for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", part):
+        out += [(c, a + i, a + i + 1) for i, c in enumerate(part[at:m.start()], at)]
+        data = unquote_to_bytes(m.group())
+        packed = unpacked(data) if decompressed(data) is not None else None
+        if packed:
+            out += [(c, a + m.start(), a + m.end()) for c in packed[0]]
+        else:
+            i = a + m.start()
+            for c in data.decode("utf-8", "surrogateescape"):
+                width = 3 * len(c.encode("utf-8", "surrogateescape"))
+                out.append(("\ufffd" if "\udc80" <= c <= "\udcff" else c, i, i + width))
+                i += width
+        at = m.end()
+    return out + [(c, a + i, a + i + 1) for i, c in enumerate(part[at:], at)]
+
+
+def without_unicode(part: str, a: int) -> list[tuple[str, int, int]] | None:
+    """The same for Unicode escapes."""
+    if "\\" not in part and "&#" not in part or not ESCAPE.search(part):
+        return None
+    out, at = [], 0
+    for m in ESCAPE.finditer(part):
+        code = int(m.group(6)) if m.group(6) else int(next(g for g in m.groups() if g), 16)
+        if code > 0x10FFFF:
+            continue
+        out += [(c, a + i, a + i + 1) for i, c in enumerate(part[at:m.start()], at)]
+        out.append((chr(code), a + m.start(), a + m.end()))
+        at = m.end()
+    out += [(c, a + i, a + i + 1) for i, c in enumerate(part[at:], at)]
+    return out if len(out) < len(part) else None
+
+
 def escapes(text: str, starts: list[int], ends: list[int]) -> Iterator[Layer]:
-    """Stretches of non-blank characters with URL or Unicode escapes, with all escapes of one sort resolved."""
-    for stretch in NON_BLANK.finditer(text):
-        a, b, part = stretch.start(), stretch.end(), stretch.group()
-        if "%" in part and URL.search(part):
-            out, at = [], 0
-            # neighbouring escapes are one sequence of bytes
-            for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", part):
-                out += [(c, a + i, a + i + 1) for i, c in enumerate(part[at:m.start()], at)]
-                data = unquote_to_bytes(m.group())
-                packed = unpacked(data) if decompressed(data) is not None else None
-                if packed:
-                    out += [(c, a + m.start(), a + m.end()) for c in packed[0]]
-                else:
-                    i = a + m.start()
-                    for c in data.decode("utf-8", "surrogateescape"):
-                        width = 3 * len(c.encode("utf-8", "surrogateescape"))
-                        out.append(("\ufffd" if "\udc80" <= c <= "\udcff" else c, i, i + width))
-                        i += width
-                at = m.end()
-            out += [(c, a + i, a + i + 1) for i, c in enumerate(part[at:], at)]
-            yield "".join(c for c, _, _ in out), [starts[i] for _, i, _ in out], [ends[j - 1] for _, _, j in out]
-        if ("\\" in part or "&#" in part) and ESCAPE.search(part):
-            out, at = [], 0
-            for m in ESCAPE.finditer(part):
-                code = int(m.group(6)) if m.group(6) else int(next(g for g in m.groups() if g), 16)
-                if code > 0x10FFFF:
-                    continue
-                out += [(c, a + i, a + i + 1) for i, c in enumerate(part[at:m.start()], at)]
-                out.append((chr(code), a + m.start(), a + m.end()))
-                at = m.end()
-            out += [(c, a + i, a + i + 1) for i, c in enumerate(part[at:], at)]
-            if len(out) < len(part):
+    """The whole layer, where a name may stand before an encoded value, and each stretch of non-blank characters by itself,
+    with all URL or Unicode escapes of one sort resolved."""
+    parts = [(0, text), *((m.start(), m.group()) for m in NON_BLANK.finditer(text) if m.end() - m.start() < len(text))]
+    for a, part in parts:
+        for resolved in (without_url, without_unicode):
+            out = resolved(part, a)
+            if out is not None:
                 yield "".join(c for c, _, _ in out), [starts[i] for _, i, _ in out], [ends[j - 1] for _, _, j in out]
 
 

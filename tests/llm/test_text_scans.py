@@ -44,6 +44,19 @@ def test_exact_span_within_escapes():
     assert every == [(t.index("password"), 0, t.index("12345678") + 8)]
 
 
+@pytest.mark.parametrize("value", ["%61bcdefgh123", "%2561bcdefgh123", "\\u0061bcdefgh123", "&#97;bcdefgh123"])
+@pytest.mark.parametrize("name", ["password = ", '{"password": "', "x %41 token :  "])
+def test_name_before_a_blank_and_encoded_value(name, value):
+    text = f"é {name}{value} %42 after"
+    at = next(text.index(n) for n in ("password", "token") if n in text)
+    assert (at, 0, text.index(value) + len(value)) in secret_scan.scan(text)[1]
+
+
+def test_stretches_by_themselves_stay():
+    text = "password = token%3A12345678"
+    assert (11, 0, len(text)) in secret_scan.scan(text)[1]
+
+
 def test_cycles_and_odd_layers_end():
     for t in ["%25" * 500, "%", "%zz%4", "\\u12", "QUFB" * 3000, "&#99999999;&#x110000;", "A" * 100_000, "%2525252525"]:
         secret_scan.scan(t)
