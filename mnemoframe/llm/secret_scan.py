@@ -3,7 +3,7 @@
 A worklist starts with the text. Every layer is scanned for the three base kinds; then each encoded stretch in it
 is unwrapped into a new layer, until nothing new appears. A layer seen before, by its content, is not taken up again,
 so layers that unwrap to themselves end. Each character of a layer knows the stretch of the original text it came from:
-exactly for URL and Unicode escapes, by groups of four for base64, the whole stretch for compressed data. Secrets
+exactly for URL and Unicode escapes, by groups of four for base64, also wrapped in lines, the whole stretch for compressed data. Secrets
 found in layers are reported as spans of the original, next to the base spans of the text itself, which always stay.
 
 Spans are in code points, end exclusive, ordered by start, then kind as listed, then end. Null and empty texts have
@@ -20,6 +20,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -32,7 +33,11 @@ from .common import text_of
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+# the shortest secret, token=12345678, has 19 characters in base64 besides its padding
+SHORTEST = 19
+RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 URL = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
@@ -140,10 +145,28 @@ def escapes(text: str, starts: list[int], ends: list[int]) -> Iterator[Layer]:
                 yield "".join(c for c, _, _ in out), [starts[i] for _, i, _ in out], [ends[j - 1] for _, _, j in out]
 
 
+def wrapped(text: str) -> Iterator[tuple[str, list[int]]]:
+    """Equally long lines, with and without a shorter last one, as one base64 run and the places of its characters."""
+    for lines in LINES.finditer(text) if "\n" in text else ():
+        parts = [(m.start(), m.end()) for m in LINE.finditer(text, lines.start(), lines.end())]
+        size = [len(text[a:b].rstrip("=")) for a, b in parts]
+        i = 0
+        while i + 1 < len(parts):
+            j = i + 1
+            while j < len(parts) and size[j] == size[i]:
+                j += 1
+            tail = j < len(parts) and size[j] < size[i]
+            for end in {j, j + tail}:
+                places = [k for a, b in parts[i:end] for k in range(a, b)]
+                if end > i + 1 and len(places) >= SHORTEST:
+                    yield "".join(text[a:b] for a, b in parts[i:end]), places
+            i = j
+
+
 def packed(text: str, starts: list[int], ends: list[int], runs: list[re.Match]) -> Iterator[Layer]:
-    """Runs that are base64 of text, or of compressed text."""
-    for m in runs:
-        run = m.group().rstrip("=")
+    """Runs, in one line or wrapped in lines, that are base64 of text, or of compressed text."""
+    for whole, places in chain(((m.group(), range(m.start(), m.end())) for m in runs), wrapped(text)):
+        run = whole.rstrip("=")
         if len(run) % 4 == 1:
             continue
         try:
@@ -154,12 +177,12 @@ def packed(text: str, starts: list[int], ends: list[int], runs: list[re.Match])
         if got is None:
             continue
         inner, was_packed = got
-        first, last, byte, s, e = m.start(), m.end() - 1, 0, [], []
+        last, byte, s, e = len(places) - 1, 0, [], []
         for c in inner:
             width = len(c.encode("utf-8"))
-            a, b = (first, last) if was_packed else (first + byte // 3 * 4, min(last, first + (byte + width - 1) // 3 * 4 + 3))
-            s.append(starts[a])
-            e.append(ends[b])
+            a, b = (0, last) if was_packed else (byte // 3 * 4, min(last, (byte + width - 1) // 3 * 4 + 3))
+            s.append(starts[places[a]])
+            e.append(ends[places[b]])
             byte += width
         yield inner, s, e
 

@@ -57,6 +57,31 @@ def test_stretches_by_themselves_stay():
     assert (11, 0, len(text)) in secret_scan.scan(text)[1]
 
 
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\n    "])
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress, bz2.compress])
+def test_base64_wrapped_in_lines(line, pack):
+    draw = random.Random(1)
+    inner = " ".join(f"{draw.random()}" for _ in range(12)) + " token=abcdefgh12345678 " + " ".join(f"{draw.random()}" for _ in range(12))
+    code = base64.b64encode(pack(inner.encode())).decode()
+    for width in (64, 76, 10):
+        block = line.join(code[i:i + width] for i in range(0, len(code), width))
+        for text in (f"data {block}", f"header\n\n{block}\n-----END", quote(block)):
+            found = secret_scan.scan(text)[1]
+            assert any(k == 0 and e - s >= 24 for s, k, e in found), text
+
+
+def test_wrapped_base64_maps_back():
+    code = base64.b64encode(b"0123456789 token=abcdefgh12345678 and more words").decode()
+    text = "see\n" + code[:24] + "\n" + code[24:48] + "\n" + code[48:]
+    (s, k, e), = secret_scan.scan(text)[1]
+    assert k == 0 and (s, e) == (4 + 12, 4 + 44 + 1)
+
+
+def test_shortest_secret_in_base64():
+    for code in ("dG9rZW49MTIzNDU2Nzg=", "dG9rZW49MTIzNDU2Nzg"):
+        assert secret_scan.scan(f"a {code} b")[1] == [(2, 0, 2 + len(code))]
+
+
 def test_cycles_and_odd_layers_end():
     for t in ["%25" * 500, "%", "%zz%4", "\\u12", "QUFB" * 3000, "&#99999999;&#x110000;", "A" * 100_000, "%2525252525"]:
         secret_scan.scan(t)
