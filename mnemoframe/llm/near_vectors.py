@@ -10,8 +10,8 @@ of tables follows from it and RECALL, for pairs right at the threshold; closer o
 For each pair that meets, the collisions on COUNTED projections are counted; pairs whose count reaches the one that a
 pair at the threshold reaches with probability COUNT_RECALL are verified by their cosine in double precision.
 
-Equal vectors are folded into one node before. A pair is handled in the first table in which both share a cell, so
-nothing has to be made distinct and no pair is shuffled: tasks send sums of links per node, and a spanning forest of
+Equal vectors are folded into one node before. A pair is handled in the first table in which both share a cell and
+a window, so nothing has to be made distinct and no pair is shuffled: tasks send sums of links per node, and a spanning forest of
 their links. Cells of more than CROWDED rows are cut into chunks, and each pair of chunks is a group of its own.
 
 Null, zero and empty vectors, those with null or non-finite components, and rows with a null id link with nothing.
@@ -143,7 +143,7 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def linked(batch: pa.RecordBatch, plan: Plan, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of whole groups (cell, chunk pair) that are linked and whose first shared table this is."""
+    """Pairs of rows of whole groups (cell, chunk pair) that are linked and whose first table to meet in this is."""
     found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     cell, low, high, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "low", "high", "side"))
     node = batch.column("node").to_numpy()
@@ -169,7 +169,8 @@ def linked(batch: pa.RecordBatch, plan: Plan, least: float) -> tuple[np.ndarray,
                 a, b = a[passing], b[passing]
                 close = (unit[a] * unit[b]).sum(axis=1) >= least
                 a, b = a[close], b[close]
-                first = (cells[a] == cells[b]).argmax(axis=1) == table[a]
+                # a table whose sorted projection parts the pair is no try for it
+                first = ((cells[a] == cells[b]) & (np.abs(fine[a] - fine[b]) <= plan.fine)).argmax(axis=1) == table[a]
                 a, b = a[first], b[first]
                 keep = node[rows[a]] != node[rows[b]]
                 found[0].append(rows[a[keep]])

@@ -1,6 +1,7 @@
 """Links and components of vectors against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mnemoframe.llm import near_vectors
@@ -52,3 +53,19 @@ def test_odd_vectors_link_with_nothing(spark):
     got = sorted(((r.id or 0), r.n_links, r.component_id) for r in near_vectors.neighbours(df).collect())
     assert got == [(0, 0, None), (1, 2, 1), (1, 2, 1), (2, 2, 1), *[(i, 0, i) for i in range(3, 10)]]
     assert near_vectors.neighbours(df.limit(0)).count() == 0
+
+
+def test_a_pair_outside_the_window_of_one_table_is_met_in_the_next():
+    class Two(near_vectors.Plan):
+        """Both rows share the cells of two tables, and the window of the second only."""
+
+        def placed(self, unit):
+            cells = np.broadcast_to(np.array([7, 8]), (len(unit), 2))
+            return cells, np.stack([np.arange(len(unit)) * 9.0, np.zeros(len(unit))], axis=1), np.zeros((len(unit), near_vectors.COUNTED), np.float32)
+
+    def met(cell):
+        same = {k: pa.array([v, v], pa.int64()) for k, v in (("cell", cell), ("low", 0), ("high", 0), ("side", 0))}
+        batch = pa.RecordBatch.from_pydict(same | {"node": pa.array([1, 2], pa.int64()), "vector": pa.array([[1.0, 0.0], [1.0, 0.1]])})
+        return len(near_vectors.linked(batch, Two(0.9, 2), 0.9)[0])
+
+    assert [met(7), met(8)] == [0, 1]
