@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, near_vectors, pii, quality, secret_scan, simhash, token_files, toxicity
+from . import bpe, byte_bpe, decontaminate, license_scan, near_vectors, pii, quality, secret_scan, simhash, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 END = 2
 
 
@@ -72,8 +73,16 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(RANKS)
+    found = byte_bpe.decoded(byte_bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_secrets, op4_simhash, op5_bpe, op6_pii, op7_quality, op8_licenses, op9_decontamination, op10_near_vectors)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_secrets, op4_simhash, op5_bpe, op6_pii, op7_quality, op8_licenses, op9_decontamination, op10_near_vectors,
+                                     op12_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
