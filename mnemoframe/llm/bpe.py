@@ -4,7 +4,8 @@ A byte pair that occurs inside no vocabulary token can never be merged over, so
 Words are split at such pairs; every fragment is encoded on its own and the ids are concatenated. Words come from the
 tokenizer's own rules: special tokens first, then composed form, single blanks, lower case per character, and the
 word pattern. White space separates words whatever stands around it, so the result of a run of non-blank characters
-depends on it alone; each worker keeps tables of words and runs, emptied when they reach their bound.
+depends on it alone; each worker keeps one table of runs and one of words, as packed ids, emptied before they pass
+KEPT_BYTES.
 
 Null and empty texts have no tokens. Texts are encoded whole, whatever their length.
 """
@@ -16,7 +17,10 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable
+from array import array
 from functools import lru_cache
+from itertools import chain
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import text_of
+from .common import text_of, unused
 
 WORD_END = "</w>"
-KEPT = 400_000
+KEPT_BYTES = 64 << 20
+ENTRY = 100
 LONG = 64
 BLANKS = regex.compile(r"[^\x20\x09-\x0D]+")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
@@ -60,22 +65,23 @@ def words_of(run: str) -> list[str]:
 
 
 class Known(dict):
-    """Results by string, computed when first asked for; emptied at its bound, and long strings are not kept."""
+    """Results by string, computed when first asked for. Emptied before its bytes pass the bound; long strings are not kept."""
 
-    def __init__(self, make: Callable[[str], object], bound: int = KEPT):
+    def __init__(self, make: Callable[[str], object], bound: int = KEPT_BYTES):
         super().__init__()
-        self.make, self.bound = make, bound
+        self.make, self.bound, self.used = make, bound, 0
 
     def __missing__(self, key: str):
         value = self.make(key)
         if len(key) <= LONG:
+            size = getsizeof(key) + getsizeof(value) + ENTRY
+            if self.used + size > self.bound:
+                self.clear()
+                self.used = 0
+            self.used += size
             self[key] = value
         return value
 
-    def trim(self) -> None:
-        if len(self) > self.bound:
-            self.clear()
-
 
 class Encoder:
     """Encodes and decodes with a tokenizer file: byte-level pieces, an end-of-word mark, ranked merges."""
@@ -96,9 +102,7 @@ class Encoder:
         self.joined = {a + b for t in self.vocab for a, b in zip(t.removesuffix(WORD_END), t.removesuffix(WORD_END)[1:])}
         self.decimal = {i: str(i) for i in self.token}
         self.word = Known(self._word)
-        self.ids_bytes = Known(lambda run: np.array(self.encode_run(run), np.int32).tobytes())
-        self.ids_text = Known(self._ids_text)
-        self.tokens_text = Known(lambda run: self.decode(self.encode_run(run)))
+        self.run = Known(self._run)
 
     def _fragment(self, piece: str, last: bool) -> list[int]:
         """Ids of one fragment. The library's model always marks the end of what it gets as the end of a word, so it
@@ -127,36 +131,30 @@ class Encoder:
                 ranks[i] = rank(ids[i] << 32 | ids[i + 1], never)
         return ids
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         text = word if word.isascii() and word.isalpha() else "".join(map(self.symbols.__getitem__, word.encode("utf-8")))
         joined, end = self.joined, len(text)
         cuts = [0, *(i for i in range(1, end) if text[i - 1:i + 1] not in joined), end]
-        return tuple([t for a, b in zip(cuts, cuts[1:]) for t in self._fragment(text[a:b], b == end)])
+        return array("i", chain.from_iterable(self._fragment(text[a:b], b == end) for a, b in zip(cuts, cuts[1:]))).tobytes()
 
-    def encode_run(self, run: str) -> list[int]:
+    def _run(self, run: str) -> bytes:
         ids = []
         for part in self.special_split.split(run) if "<|" in run else (run,):
             if part in self.special:
-                ids.append(self.special[part])
+                ids.append(array("i", [self.special[part]]).tobytes())
             elif part.isascii() and part.isalpha():
-                ids += self.word[part.lower()]
+                ids.append(self.word[part.lower()])
             elif part:
-                for w in words_of(part):
-                    ids += self.word[w]
-        return ids
-
-    def _ids_text(self, run: str) -> str:
-        ids = self.encode_run(run)
-        if len(run) <= LONG:
-            self.tokens_text[run] = self.decode(ids)
-        return " ".join([self.decimal[i] for i in ids])
-
-    def trim(self) -> None:
-        for known in (self.word, self.ids_bytes, self.ids_text, self.tokens_text):
-            known.trim()
+                ids += map(self.word.__getitem__, words_of(part))
+        return b"".join(ids)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.ids_bytes.__getitem__, runs_of(text))), np.int32)
+        return np.frombuffer(b"".join(map(self.run.__getitem__, runs_of(text))), np.int32)
+
+    def digests(self, ids: list[int]) -> tuple[str, str]:
+        """Hexadecimal digests of the decimal ids, with one blank between them, and of the decoded text."""
+        text = " ".join([self.decimal[i] for i in ids])
+        return hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
     def decode(self, ids: list[int]) -> str:
         """The tokens with one blank between them, as the tokenizer has no decoder; unknown ids have no token."""
@@ -169,16 +167,21 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoded_batch(own: Encoder, texts: pa.Array, each: Callable[[list[int]], None] | None = None) -> pa.ListArray:
+    """Lists of ids, text by text, so that only the ids of a batch are held; `each` is called with those of every text."""
+    flat, ends = array("i"), array("i", [0])
+    for t in texts:
+        ids = own.encode(t.as_py() or "")
+        flat.frombytes(ids)
+        ends.append(len(flat))
+        if each:
+            each(ids.tolist())
+    return pa.ListArray.from_arrays(*[pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)]) for x in (ends, flat)])
+
+
 def encoded(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """docs with a column of token ids; an earlier column of that name is replaced."""
-    def batch(texts: pa.Array) -> pa.Array:
-        own = encoder(path)
-        each = [own.encode(t or "") for t in texts.to_pylist()]
-        own.trim()
-        ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.empty(0, np.int32)))
-
-    return docs.withColumn(ids, F.arrow_udf(batch, "array<int>")(text_of(text)))
+    return docs.withColumn(ids, F.arrow_udf(lambda texts: encoded_batch(encoder(path), texts), "array<int>")(text_of(text)))
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -190,21 +193,22 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return docs.withColumn(text, F.arrow_udf(batch, "string")(ids))
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Every row with n_tokens, ids_sha256 and decoded_sha256: one pass, with the digests taken run by run."""
-    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-
-    def digest(own: Encoder, t: str) -> dict:
-        runs = runs_of(t)
-        ids = " ".join(filter(None, map(own.ids_text.__getitem__, runs)))
-        back = " ".join(filter(None, map(own.tokens_text.__getitem__, runs)))
-        return {"n_tokens": ids.count(" ") + 1 if ids else 0, "ids_sha256": hashlib.sha256(ids.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(back.encode()).hexdigest()}
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str | None = None) -> DataFrame:
+    """Every row with n_tokens, ids_sha256 and decoded_sha256, and a column of ids if named: one pass, digests taken from the ids."""
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
 
     def batch(texts: pa.Array) -> pa.Array:
-        own = encoder(path)
-        out = pa.array([digest(own, t or "") for t in texts.to_pylist()], kind)
-        own.trim()
-        return out
+        own, sizes, digests = encoder(path), [], []
+
+        def each(x: list[int]) -> None:
+            sizes.append(len(x))
+            digests.append(own.digests(x))
+
+        lists = encoded_batch(own, texts, each)
+        columns = [pa.array(sizes, pa.int64()), *[pa.array([d[k] for d in digests], pa.string()) for k in (0, 1)]]
+        return pa.StructArray.from_arrays(columns + [lists] * bool(ids), names + ["ids"] * bool(ids))
 
-    run = F.arrow_udf(batch, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return docs.withColumn("_trip", run(text_of(text))).withColumns({c: F.col(f"_trip.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_trip")
+    trip = unused(docs, "trip")
+    out = docs.withColumn(trip, F.arrow_udf(batch, kind)(text_of(text)))
+    return out.withColumns({c: F.col(trip)[c] for c in names} | ({ids: F.col(trip)["ids"]} if ids else {})).drop(trip)

@@ -62,8 +62,6 @@ class LibraryEncoder:
 
     def encode(self, text: str) -> bytes:
         ids = b"".join(map(self.run.__getitem__, runs_of(text)))
-        self.run.trim()
-        self.word.trim()
         return ids
 
 
