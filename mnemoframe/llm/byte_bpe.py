@@ -29,7 +29,7 @@ from .common import forget, text_of, written
 
 SHORT = 40
 LONG = 64
-KEPT = 1 << 18
+KEPT = 1 << 17
 # Letters and numbers that Unicode 14 to 16 added, for JVMs with an older table.
 NEW_LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3
 A7D5-A7DC A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC
@@ -164,9 +164,9 @@ def frequent(words: DataFrame, ranks: LiteralMap, kept: int) -> dict[str, list[i
             break
         least = r.level
     ids = ranks.bound(lambda find: folded(find, F.encode("word", "UTF-8"))).alias("ids")
-    rows = [] if least is None else counts.where(level >= least).select("word", ids).collect()
+    rows = None if least is None else counts.where(level >= least).select("word", ids).toArrow()
     forget(counts)
-    return {r.word: r.ids for r in rows}
+    return dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist())) if rows else {}
 
 
 def words_of(text: str, pattern: str) -> Column:
