@@ -29,8 +29,8 @@ from .common import forget, text_of, written
 
 LONGEST = 4
 BITS = 27
-CHUNK = 1 << 20
-HELD = 1 << 21
+CHUNK = 1 << 18
+HELD = 1 << 19
 BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 ROWS = "level int, fp long, chk long, c long, low long, high long, lang string"
 LOWER = np.arange(256, dtype=np.uint8)
@@ -59,7 +59,7 @@ def spread(x: np.ndarray) -> np.ndarray:
 
 def spans(values: np.ndarray, base: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Fingerprints of values[a:b] by a prefix polynomial."""
-    power, inverse = powers(base, 1 << max(20, len(values).bit_length()))
+    power, inverse = powers(base, 1 << max(18, len(values).bit_length()))
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * power[:len(values)], out=total[1:])
     return lambda a, b: (total[b] - total[a]) * inverse[a]
@@ -182,7 +182,7 @@ def counted(docs: DataFrame, levels: tuple[int, ...], bits: object | None, least
                                    pa.array(list(total.values()), pa.int64()), pa.array(zero, pa.int64()), pa.array(zero, pa.int64()), pa.array(list(total), pa.string())],
                                   names=["level", "fp", "chk", "c", "low", "high", "lang"])
 
-    each = docs.mapInArrow(rows, ROWS).groupBy("level", "fp", "chk").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("lang").alias("lang"))
+    each = docs.mapInArrow(rows, ROWS).groupBy("level", "fp", "chk", "lang").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
     return written(each.where((F.col("c") >= least) | (F.col("level") == 0)), "phrases")
 
 
