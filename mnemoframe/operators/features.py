@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.sampling import bottom_k
 from ..functions.core import div, draw, with_group_stats
 from ..functions.quantiles import exact_quantiles
 from ..functions.scan import id_block, row_index, with_neighbours
@@ -97,6 +98,18 @@ def cosine_matrix(vectors: DataFrame, key: str) -> DataFrame:
     return i.join(j, "pos").groupBy("i", "j").agg(F.sum(F.col("_x") * F.col("_y")).alias("cosine"))
 
 
+def sample_cosine_matrix(df: DataFrame, key: str, vec: str, n: int, seed: int) -> DataFrame:
+    """Cosine of all pairs of a seeded sample of n rows, numbered in the order of their key: (i, j, key_i, key_j, cosine). A vector
+    without length has cosine 0 with all. n is what a figure has room for; its n * n pairs are the result."""
+    s = bottom_k(df.select(key, vec), [], key, n, seed)
+    s = s.withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)  # n rows
+    x = components(s, [key, "i"], vec).withColumn("x", F.coalesce("x", F.lit(0.0)))
+    norm = x.groupBy("i").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_norm"))
+    x = x.join(norm, "i").withColumn("x", F.when(F.col("_norm") > 0, F.col("x") / F.col("_norm")).otherwise(0.0))
+    a, b = x.select("i", F.col(key).alias("key_i"), "pos", "x"), x.select(F.col("i").alias("j"), F.col(key).alias("key_j"), "pos", F.col("x").alias("_y"))
+    return a.join(b, "pos").groupBy("i", "j", "key_i", "key_j").agg(F.sum(F.col("x") * F.col("_y")).alias("cosine"))
+
+
 def components(df: DataFrame, keep, vec: str) -> DataFrame:
     return df.select(*keep, F.posexplode(vec).alias("pos", "_x")).select(*keep, "pos", F.col("_x").cast("double").alias("x"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sampling import bottom_k
 from ..functions.core import div, half_even, num, with_group_stats
 from ..functions.quantiles import exact_quantiles
 
@@ -234,5 +235,13 @@ def series_heatmap(df: DataFrame, series: str, value: str) -> DataFrame:
     return df.join(stats, series).withColumn("z", div(F.col(value) - F.col("mean_value"), "_sd")).drop("_sd")
 
 
+def sampled_heatmap(df: DataFrame, series: str, value: str, n: int, seed: int = 42) -> DataFrame:
+    """series_heatmap of a seeded sample of at most n series, with `row`, their place by falling mean (ties by series, no mean last)."""
+    chosen = bottom_k(df.select(series).where(F.col(series).isNotNull()).distinct(), [], series, n, seed)
+    z = series_heatmap(df.join(F.broadcast(chosen), series), series, value)
+    order = z.select(series, "mean_value").distinct().withColumn("row", F.row_number().over(Window.orderBy(F.desc_nulls_last("mean_value"), series)))  # n rows
+    return z.join(order.select(series, "row"), series)
+
+
 def mean_series(df: DataFrame, t: str, value: str) -> DataFrame:
     return df.groupBy(t).agg(F.avg(value).alias("mean_value"), F.count(value).alias("n"))

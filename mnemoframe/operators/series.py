@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.core import div, fisher_z, r_agg, rint_long, significant, with_group_stats
 from ..functions.gram import least_squares, pair_correlations
 from ..functions.quantiles import exact_quantiles
+from ..functions.statistics import correlation_p
 from ..functions.scan import neighbourhood, running_total, with_neighbours
 
 # Shift of the response (volumes, seconds), feature frame spacing, chunk length, kernel length (seconds).
@@ -97,7 +98,7 @@ def mid_ranks(df: DataFrame, keys, value: str, out: str) -> DataFrame:
 def spearman(df: DataFrame, keys, x: str, y: str, min_n: int = 3) -> DataFrame:
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     r = mid_ranks(mid_ranks(d, keys, x, "_rx"), keys, y, "_ry")
-    return r.groupBy(*keys).agg(r_agg("_rx", "_ry").alias("rho"), F.count("*").alias("n")).where(F.col("n") >= min_n)
+    return r.groupBy(*keys).agg(r_agg("_rx", "_ry").alias("rho"), F.count("*").alias("n")).where(F.col("n") >= min_n).withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
 def mean_r_per_member(pairs: DataFrame, keys) -> DataFrame:

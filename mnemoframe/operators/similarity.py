@@ -15,6 +15,7 @@ from ..functions.gram import pair_correlations
 from ..functions.quantiles import exact_quantiles
 from ..functions.scan import id_block, ordered_neighbours, row_index, running_total
 from ..functions.vectors import block_count, cell_sums, complete_vectors, explode_unit, pearson_complete, with_scale
+from ..functions.statistics import signed_rank_table
 from .series import mid_ranks
 
 N_DRAWS = 10
@@ -179,15 +180,19 @@ def pair_count_check(cells: DataFrame, expected: dict[str, int]) -> DataFrame:
 
 
 def signed_rank(df: DataFrame, keys, d: str = "d") -> DataFrame:
-    """Signed-rank sum of non-zero differences (ties averaged) and its two-sided p by the normal approximation with
-    tie correction."""
+    """Signed-rank sum of non-zero differences (ties averaged), its z with tie correction, and its two-sided p: exact for up to
+    EXACT differences without ties and zeros, else by the normal approximation."""
+    zeros = df.groupBy(*keys).agg(F.count(F.when(F.col(d) == 0, 1)).alias("_zeros"))
     x = df.where((F.col(d) != 0) & F.col(d).isNotNull()).select(*keys, d, F.abs(F.col(d)).alias("_abs"))
     x = mid_ranks(x, keys, "_abs", "_rank")
     g = x.groupBy(*keys).agg(F.count("*").alias("n_nonzero"), F.sum(F.when(F.col(d) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"))
     ties = x.groupBy(*keys, "_abs").agg(F.count("*").cast("double").alias("_t")).groupBy(*keys).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_tie"))
     n = F.col("n_nonzero").cast("double")
-    g = g.join(ties, list(keys)).withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(F.nullif(n * (n + 1) * (2 * n + 1) / 24 - F.col("_tie") / 48, F.lit(0.0))))
-    return g.withColumn("p", F.expr(two_sided_p_sql("z"))).drop("_tie")
+    g = g.join(ties, list(keys)).join(zeros, list(keys)).withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(F.nullif(n * (n + 1) * (2 * n + 1) / 24 - F.col("_tie") / 48, F.lit(0.0))))
+    exact = signed_rank_table(df.sparkSession).withColumnRenamed("w", "_w")
+    g = g.withColumn("_n", F.when((F.col("_tie") == 0) & (F.col("_zeros") == 0), F.col("n_nonzero")))
+    g = g.join(exact, (F.col("_n") == F.col("exact_n")) & (F.col("w_plus") == F.col("_w")), "left")
+    return g.withColumn("p", F.coalesce("exact_p", F.expr(two_sided_p_sql("z")))).drop("_tie", "_zeros", "_n", "_w", "exact_n", "exact_p")
 
 
 def _contrast(pairs: DataFrame, keys, name: str) -> DataFrame:

@@ -77,6 +77,12 @@ def _(t):
     return V.cosine_matrix(V.centroids(_em(t), "label", "embedding"), "label")
 
 
+@query("v03_sample_cosine_matrix", W + f""", p AS (SELECT vec_id, u, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM (SELECT * FROM eu ORDER BY {draw_sql(42, "vec_id")}, vec_id LIMIT 50))
+  SELECT a.i, b.i AS j, a.vec_id AS key_i, b.vec_id AS key_j, list_dot_product(a.u, b.u) AS cosine FROM p a, p b""", ("cosine",))
+def _(t):
+    return V.sample_cosine_matrix(_em(t), "vec_id", "embedding", 50, 42).withColumns({c: F.col(c).cast("long") for c in "ij"})
+
+
 @query("v04_centred_modalities", W + ", lg AS (SELECT vec_id, label % 3 AS modality, unnest(range(64)) AS pos, unnest(v) AS x FROM em) SELECT modality, vec_id, CAST(pos AS INTEGER) AS pos, x - avg(x) OVER (PARTITION BY modality, pos) AS x FROM lg", ("x",))
 def _(t):
     return V.centre_blocks(_em(t).withColumn("modality", F.col("label") % 3), "modality", ["vec_id"], "embedding")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.series import model_columns
 from ..sources import files as S
 from ..sources import inventory as N
+from ..session import scratch
+from ..sources.study import study_files, write_study
 from .registry import query
 from .views import LISTING, RUNS, TRIALS
 
@@ -27,6 +30,43 @@ def _(t):
     return S.identity_from_path(x).select("trial_id", "subject", "session")
 
 
+def _study(t):
+    """The trials as a study folder, a table per subject, session and task; click tables have no pairId, the others no resp."""
+    name = F.concat(F.lit("sub-"), F.col("subject"), F.lit("/ses-"), F.col("session"), F.lit("/beh/sub-"), F.col("subject"), F.lit("_ses-"), F.col("session"), F.lit("_task-"), F.col("task"), F.lit("_beh.tsv"))
+    x = t.trials.withColumn("trial_type", F.when(F.col("trial_id") % 19 != 0, F.col("trial_type"))).withColumn("source_file", name)
+    root = scratch(t.spark, "study")
+    write_study(x.where("task = 'click'").select("trial_id", "trial_type", "resp", F.lit("99").alias("session"), "source_file"), root, ["trial_id"])
+    write_study(x.where("task <> 'click'").select("trial_id", "trial_type", "pairId", "source_file"), root, ["trial_id"])
+    return root
+
+
+TYPES = T.StructType([T.StructField("trial_id", T.LongType()), T.StructField("resp", T.IntegerType()), T.StructField("pairId", T.LongType())])
+
+
+@query("i01_study_tables", W + "SELECT trial_id, subject, session, CASE WHEN trial_id % 19 <> 0 THEN trial_type END AS trial_type FROM trials")
+def _(t):
+    return S.read_tsv(t.spark, _study(t), TYPES).select("trial_id", "subject", "session", "trial_type")
+
+
+@query("i03_study_stacked", W + """SELECT trial_id, trial_type, CASE WHEN task = 'click' THEN resp END AS resp, CASE WHEN task <> 'click' THEN pairId END AS pairId FROM (SELECT * REPLACE (CASE WHEN trial_id % 19 <> 0 THEN trial_type END AS trial_type) FROM trials)
+  WHERE task IS NOT NULL AND (trial_type IS NULL OR trial_type <> 'rest')""")
+def _(t):
+    return S.stack_tables([S.read_tsv(t.spark, _study(t), TYPES).select("trial_id", "trial_type", "resp", "pairId")], drop_rest=True)
+
+
+@query("i04_study_files", W + """SELECT DISTINCT 'sub-' || subject || '/ses-' || session || '/beh/sub-' || subject || '_ses-' || session || '_task-' || task || '_beh.tsv' AS path, subject, session, task, 'beh' AS suffix, 'beh' AS datatype, '.tsv' AS extension,
+  CASE WHEN task = 'click' THEN 4 ELSE 3 END AS n_columns FROM trials WHERE subject IN ('03', '07', '11') AND session <> '08'""")
+def _(t):
+    found = study_files(t.spark, _study(t), F.col("file_subject").isin("03", "07", "11") & (F.col("file_session") != "08"))
+    return found.select(F.regexp_extract("source_file", "(sub-[^/]*/.*)$", 1).alias("path"), *[F.col(f"file_{c}").alias(c) for c in ("subject", "session", "task", "suffix", "datatype", "extension")],
+                        F.size(F.split("header", "\t")).alias("n_columns"))
+
+
+@query("i04_study_subject", W + "SELECT trial_id, subject, session FROM trials WHERE subject IN ('03', '07') AND task = 'view'")
+def _(t):
+    return S.read_tsv(t.spark, _study(t), TYPES, F.col("file_subject").isin("03", "07") & (F.col("file_task") == "view")).select("trial_id", "subject", "session")
+
+
 @query("i02_normalised_columns", W + """SELECT trial_id, subject, printf('%02d', CAST(run AS INTEGER)) AS run, printf('%02d', CAST(session AS INTEGER)) AS session FROM trials""")
 def _(t):
     x = t.trials.select("trial_id", "subject", F.lit(5).alias("subj_num"), F.col("session").cast("double").alias("ses_num"), F.col("run").cast("int").alias("run_idx"))

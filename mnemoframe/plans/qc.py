@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.core import pad2
+from ..functions.core import draw_sql, pad2
 from ..operators import qc as Q
 from .registry import query
 from .views import DECISIONS, IQMS, SIGNED, VOLUMES
@@ -213,6 +213,12 @@ def _(t):
     return Q.series_heatmap(_daily(t), "user_id", "v").select("user_id", F.col("day").cast("long").alias("day"), "mean_value", "z")
 
 
+@query("q14_heatmap_sample", f"""WITH {DAILY}, c AS (SELECT user_id FROM (SELECT DISTINCT user_id FROM d) ORDER BY {draw_sql(42, "user_id")}, user_id LIMIT 40), s AS (SELECT user_id, round(avg(v), 9) AS mean_value, avg(v) AS m, stddev_pop(v) AS sd FROM d JOIN c USING (user_id) GROUP BY 1),
+  o AS (SELECT *, row_number() OVER (ORDER BY m DESC, user_id) AS row FROM s) SELECT user_id, day, mean_value, (v - m) / nullif(sd, 0) AS z, row FROM d JOIN o USING (user_id)""", ("mean_value", "z"))
+def _(t):
+    return Q.sampled_heatmap(_daily(t), "user_id", "v", 40).select("user_id", F.col("day").cast("long").alias("day"), "mean_value", "z", F.col("row").cast("long").alias("row"))
+
+
 @query("q14_mean_series", f"WITH {DAILY} SELECT CAST(day AS BIGINT) AS day, avg(v) AS mean_value, count(v) AS n FROM d GROUP BY ALL", ("mean_value",))
 def _(t):
     return Q.mean_series(_daily(t), "day", "v").withColumn("day", F.col("day").cast("long"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.statistics import correlation_p_sql
 from ..functions.core import pad2, significant_sql
 from ..operators import series as S
 from .registry import query
@@ -88,7 +89,7 @@ def _(t):
 @query("s07_isc_against_motion", W + P + f""", m AS (SELECT roi, session, member, tanh(avg(atanh(r))) AS mean_r FROM (SELECT roi, session, r, unnest([member_a, member_b]) AS member FROM pr WHERE n >= 10 AND abs(r) < 1) GROUP BY ALL),
   f AS (SELECT subject AS member, session, avg(motion) AS mean_fd FROM series GROUP BY ALL), j AS (SELECT roi, {significant_sql("mean_r")} AS mean_r, {significant_sql("mean_fd")} AS mean_fd FROM m JOIN f USING (member, session)),
   k AS (SELECT *, rank() OVER (PARTITION BY roi ORDER BY mean_r) + (count(*) OVER (PARTITION BY roi, mean_r) - 1) / 2 AS rx, rank() OVER (PARTITION BY roi ORDER BY mean_fd) + (count(*) OVER (PARTITION BY roi, mean_fd) - 1) / 2 AS ry FROM j)
-  SELECT roi, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) AS rho, count(*) AS n FROM k GROUP BY roi HAVING count(*) >= 3""", ("rho",))
+  SELECT *, {correlation_p_sql("rho", "n")} AS p FROM (SELECT roi, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) AS rho, count(*) AS n FROM k GROUP BY roi HAVING count(*) >= 3)""", ("rho", "p"))
 def _(t):
     m = t.series.groupBy(F.col("subject").alias("member"), "session").agg(F.avg("motion").alias("mean_fd"))
     return S.correlation_against_motion(_pairs(t, min_len=10), m, ["roi"], "session")
@@ -100,7 +101,7 @@ WPAIR = PAIR.replace("session", "#").replace("subject", "session").replace("#",
 @query("s07_wsc_against_motion", W + WPAIR + f""", f AS (SELECT subject, session, avg(motion) AS fd FROM series GROUP BY ALL), j0 AS (SELECT pr.roi, CASE WHEN abs(r) >= 1 - 1e-12 THEN sign(r) ELSE r END AS r, (x.fd + y.fd) / 2 AS fd FROM pr JOIN f x ON x.subject = pr.subject AND x.session = member_a JOIN f y ON y.subject = pr.subject AND y.session = member_b WHERE n >= 2 AND r IS NOT NULL),
   j AS (SELECT roi, {significant_sql("r")} AS r, {significant_sql("fd")} AS fd FROM j0),
   k AS (SELECT *, rank() OVER (PARTITION BY roi ORDER BY r) + (count(*) OVER (PARTITION BY roi, r) - 1) / 2 AS rx, rank() OVER (PARTITION BY roi ORDER BY fd) + (count(*) OVER (PARTITION BY roi, fd) - 1) / 2 AS ry FROM j)
-  SELECT roi, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) AS rho, count(*) AS n FROM k GROUP BY roi HAVING count(*) >= 3""", ("rho",))
+  SELECT *, {correlation_p_sql("rho", "n")} AS p FROM (SELECT roi, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) AS rho, count(*) AS n FROM k GROUP BY roi HAVING count(*) >= 3)""", ("rho", "p"))
 def _(t):
     m = t.series.groupBy("subject", "session").agg(F.avg("motion").alias("mean_fd"))
     p = S.pairwise(t.series, ["roi", "subject", "movie"], "session", ["0", "1", "2", "3"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import draw_sql, two_sided_p_sql
+from ..functions.statistics import signed_rank_dist_sql
 from ..operators import similarity as M
 from .registry import query
 from .views import CELLS, PATTERNS, SERIES
@@ -129,15 +130,17 @@ def _(t):
     return M.pair_count_check(t.cells, {"within_same": 35, "across_same": 30})
 
 
-SR = """, sr0 AS (SELECT {k}, d, abs(d) AS a FROM {t} WHERE d <> 0), sr1 AS (SELECT *, rank() OVER (PARTITION BY {k} ORDER BY a) + (count(*) OVER (PARTITION BY {k}, a) - 1) / 2 AS rk FROM sr0),
-  sr AS (SELECT {k}, count(*)::DOUBLE AS n0, coalesce(sum(rk) FILTER (d > 0), 0) AS w_plus FROM sr1 GROUP BY ALL), srp AS (SELECT *, (w_plus - n0 * (n0 + 1) / 4) / sqrt(n0 * (n0 + 1) * (2 * n0 + 1) / 24) AS z FROM sr)"""
+SR = f""", {signed_rank_dist_sql()}""" + """, sr0 AS (SELECT {k}, d, abs(d) AS a FROM {t} WHERE d <> 0), sr1 AS (SELECT *, rank() OVER (PARTITION BY {k} ORDER BY a) + (count(*) OVER (PARTITION BY {k}, a) - 1) / 2 AS rk FROM sr0),
+  sr AS (SELECT {k}, count(*)::DOUBLE AS n0, coalesce(sum(rk) FILTER (d > 0), 0) AS w_plus, count(*) - count(DISTINCT a) AS nt FROM sr1 GROUP BY {k}), sz AS (SELECT {k}, count(*) FILTER (d = 0) AS nz FROM {t} GROUP BY {k}),
+  srp AS (SELECT sr.*, (w_plus - n0 * (n0 + 1) / 4) / sqrt(n0 * (n0 + 1) * (2 * n0 + 1) / 24) AS z, e.p AS exact_p FROM sr JOIN sz USING ({k}) LEFT JOIN sr_tail e ON e.n = n0 AND e.s = w_plus AND nt = 0 AND nz = 0)"""
+RC = C.replace("WITH ", "WITH RECURSIVE ", 1)
 CON = """, pk AS (SELECT roi, version, unit, item, max(r) FILTER (cell = 'within_same') AS ws, max(r) FILTER (cell = 'within_diff') AS wd, max(r) FILTER (cell = 'across_same') AS xs, max(r) FILTER (cell = 'across_diff') AS xd FROM cells GROUP BY ALL),
   am AS (SELECT roi, version, item, u AS unit, avg(xs) AS xs FROM (SELECT *, unnest(string_split(unit, '+')) AS u FROM pk WHERE xs IS NOT NULL) GROUP BY ALL),
   pp AS (SELECT roi, version, 'within_same_vs_diff' AS contrast, ws AS a, wd AS b FROM pk WHERE ws IS NOT NULL AND wd IS NOT NULL UNION ALL SELECT roi, version, 'across_same_vs_diff', xs, xd FROM pk WHERE xs IS NOT NULL AND xd IS NOT NULL
   UNION ALL SELECT p.roi, p.version, 'within_vs_across_same', p.ws, am.xs FROM pk p JOIN am USING (roi, version, unit, item) WHERE ws IS NOT NULL), pd AS (SELECT *, a - b AS d FROM pp)"""
 
 
-@query("m09_contrasts", C + CON + SR.format(k="roi, version, contrast", t="pd") + f""" SELECT g.*, w_plus, {two_sided_p_sql('z')} AS p FROM (SELECT roi, version, contrast, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(d) AS delta FROM pd GROUP BY ALL) g JOIN srp USING (roi, version, contrast)""",
+@query("m09_contrasts", RC + CON + SR.format(k="roi, version, contrast", t="pd") + f""" SELECT g.*, w_plus, coalesce(exact_p, {two_sided_p_sql('z')}) AS p FROM (SELECT roi, version, contrast, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(d) AS delta FROM pd GROUP BY ALL) g JOIN srp USING (roi, version, contrast)""",
        ("mean_a", "mean_b", "delta", "p"))
 def _(t):
     return M.contrasts(t.cells, ["roi", "version"])
@@ -146,12 +149,18 @@ def _(t):
 VC = """, vp AS (SELECT roi, cell, unit, item, max(r) FILTER (version = 'O') AS o, max(r) FILTER (version = 'F') AS f FROM cells GROUP BY ALL), vd AS (SELECT *, f - o AS d FROM vp WHERE o IS NOT NULL AND f IS NOT NULL)"""
 
 
-@query("m10_version_contrast", C + VC + SR.format(k="roi, cell", t="vd") + f" SELECT g.*, w_plus, {two_sided_p_sql('z')} AS p FROM (SELECT roi, cell, count(*) AS n, avg(o) AS base, avg(f) AS other, avg(d) AS delta, avg(CAST(d > 0 AS DOUBLE)) AS share_up FROM vd GROUP BY ALL) g JOIN srp USING (roi, cell)",
+@query("m10_version_contrast", RC + VC + SR.format(k="roi, cell", t="vd") + f" SELECT g.*, w_plus, coalesce(exact_p, {two_sided_p_sql('z')}) AS p FROM (SELECT roi, cell, count(*) AS n, avg(o) AS base, avg(f) AS other, avg(d) AS delta, avg(CAST(d > 0 AS DOUBLE)) AS share_up FROM vd GROUP BY ALL) g JOIN srp USING (roi, cell)",
        ("base", "other", "delta", "share_up", "p"))
 def _(t):
     return M.version_contrast(t.cells, ["roi", "cell"], "version", "O", "F")
 
 
+@query("m10_version_contrast_units", RC + VC + SR.format(k="roi, cell, unit", t="vd") + f" SELECT g.*, w_plus, coalesce(exact_p, {two_sided_p_sql('z')}) AS p FROM (SELECT roi, cell, unit, count(*) AS n, avg(o) AS base, avg(f) AS other, avg(d) AS delta, avg(CAST(d > 0 AS DOUBLE)) AS share_up FROM vd GROUP BY ALL) g JOIN srp USING (roi, cell, unit)",
+       ("base", "other", "delta", "share_up", "p"))
+def _(t):
+    return M.version_contrast(t.cells, ["roi", "cell", "unit"], "version", "O", "F", pair=("item",))
+
+
 @query("m10_context_table", C + " SELECT version, cell, context_match, avg(r) AS r, count(*) AS n_rows FROM cells WHERE cell LIKE 'across%' GROUP BY ALL", ("r",))
 def _(t):
     return M.context_table(t.cells, ["version"])
@@ -200,8 +209,8 @@ def _(t):
     return M.version_table(_bench(t), ["stream", "roi"], "version", "O", "F")
 
 
-@query("m13_paired_test", """WITH pv AS (SELECT l_returnflag AS stream, l_suppkey AS unit, l_partkey % 6 AS roi, avg(l_extendedprice / 105013 - l_discount) FILTER (l_linestatus = 'O') AS o, avg(l_extendedprice / 105013 - l_discount) FILTER (l_linestatus = 'F') AS f FROM lineitem GROUP BY ALL),
-  pt AS (SELECT stream, f - o AS d FROM pv WHERE o IS NOT NULL AND f IS NOT NULL)""" + SR.format(k="stream", t="pt") + f" SELECT g.*, {two_sided_p_sql('z')} AS p FROM (SELECT stream, count(*) AS n, avg(d) AS mean, 100 * avg(CAST(d > 0 AS DOUBLE)) AS pct_pos FROM pt GROUP BY 1) g LEFT JOIN srp USING (stream)", ("mean", "pct_pos", "p"))
+@query("m13_paired_test", """WITH RECURSIVE pv AS (SELECT l_returnflag AS stream, l_suppkey AS unit, l_partkey % 6 AS roi, avg(l_extendedprice / 105013 - l_discount) FILTER (l_linestatus = 'O') AS o, avg(l_extendedprice / 105013 - l_discount) FILTER (l_linestatus = 'F') AS f FROM lineitem GROUP BY ALL),
+  pt AS (SELECT stream, f - o AS d FROM pv WHERE o IS NOT NULL AND f IS NOT NULL)""" + SR.format(k="stream", t="pt") + f" SELECT g.*, coalesce(exact_p, {two_sided_p_sql('z')}) AS p FROM (SELECT stream, count(*) AS n, avg(d) AS mean, 100 * avg(CAST(d > 0 AS DOUBLE)) AS pct_pos FROM pt GROUP BY 1) g LEFT JOIN srp USING (stream)", ("mean", "pct_pos", "p"))
 def _(t):
     x = t.lineitem.select(F.col("l_returnflag").alias("stream"), F.col("l_suppkey").alias("unit"), (F.col("l_partkey") % 6).alias("roi"), "l_linestatus", (F.col("l_extendedprice") / 105013 - F.col("l_discount")).alias("discriminability"))
     return M.paired_test(x, ["stream"], ["unit", "roi"], "l_linestatus", "O", "F")

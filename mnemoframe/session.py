@@ -4,10 +4,22 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all tasks see: under spark.checkpoint.dir; a temporary one only where all run on this machine."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
     """A session for tests and the local benchmark."""
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("mnemoframe")

@@ -77,38 +77,12 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return df
 
 
-def _headers(spark: SparkSession, paths) -> dict[str, list[str]]:
-    """Paths by first line. Splits of a file are read in order, so the first line of the split at 0 is the header."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-
-    def first_lines(batches):
-        last = None
-        for pdf in batches:
-            top = pdf[(pdf["start"] == 0) & (pdf["path"] != pdf["path"].shift(fill_value=last or ""))]
-            last = pdf["path"].iloc[-1] if len(pdf) else last
-            yield top[["value", "path"]]
-
-    heads = lines.mapInPandas(first_lines, "value string, path string")
-    out: dict[str, list[str]] = {}
-    for r in heads.collect():  # one row per file, like the file listing itself
-        out.setdefault(r.value.rstrip("\r"), []).append(r.path)
-    return {h: sorted(p) for h, p in sorted(out.items())}
-
-
-def read_tsv(spark: SparkSession, paths, schema: T.StructType | None = None) -> DataFrame:
+def read_tsv(spark: SparkSession, paths, schema: T.StructType | None = None, where: Column | str | None = None) -> DataFrame:
     """Tab-separated files, plain or compressed, 'n/a' as missing, identity from the file name. Columns are united by
-    name: files with the same header are read together, absent columns are missing. All columns are text unless a
-    schema names their types. Accepts directories and globs."""
-    parts = []
-    for header, files in _headers(spark, paths).items():
-        part = spark.read.option("sep", "\t").option("header", True).option("nullValue", "n/a").csv(files)
-        parts.append(part.withColumn("source_file", F.col("_metadata.file_path")))
-    if not parts:
-        raise FileNotFoundError(f"no table with a header in {paths}")
-    df = stack_tables(parts)
-    for f in schema or ():
-        df = df.withColumn(f.name, (F.col(f.name) if f.name in df.columns else F.lit(None)).try_cast(f.dataType))
-    return normalise_columns(identity_from_path(df))
+    name, absent ones are missing. All columns are text unless a schema names their types. Accepts files, directories
+    and globs; `where` filters on the entities of the names (file_subject, ...) before any file is opened."""
+    from .study import study_tables
+    return study_tables(spark, paths, schema, where)
 
 
 def stack_tables(tables, drop_rest: bool = False, kind: str = "trial_type", rest=REST_TYPES) -> DataFrame:
