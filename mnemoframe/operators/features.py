@@ -16,6 +16,7 @@ from ..functions.core import div, draw, with_group_stats
 from ..functions.quantiles import exact_quantiles
 from ..functions.scan import id_block, row_index, with_neighbours
 from ..functions.vectors import BLOCK_ROWS, block_count, dot, explode_unit, with_scale
+from ..session import scratch
 from .series import lag_similarity
 
 # Penalties tried (11, log-spaced from 10 to 10^6), embedding column prefixes.
@@ -320,7 +321,10 @@ def align_and_evaluate(train: DataFrame, series: DataFrame, x: str, y: str, movi
     long = reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("route"), movie, "t", F.posexplode(F.arrays_zip(F.col("_a").alias("a"), F.col(y).cast("array<double>").alias("b"))).alias("voxel", "_e"))
                                           for n, d in routes.items()])
     lags = lag_similarity(long.select("route", movie, "t", "voxel", F.col("_e.a").alias("a"), F.col("_e.b").alias("b")), ["route", movie], "voxel")
-    return _test_routes(lags.persist(), movie, seed, n_perm, n_boot)  # one row per route, movie and lag, read several times
+    # one row per route, movie and lag, read several times: written, so that the plan of the routes is not repeated in each use
+    path = scratch(series.sparkSession, "lags")
+    lags.write.parquet(path)
+    return _test_routes(series.sparkSession.read.schema(lags.schema).parquet(path), movie, seed, n_perm, n_boot)
 
 
 def _test_routes(lags: DataFrame, movie: str, seed: int, n_perm: int, n_boot: int) -> DataFrame:
@@ -339,5 +343,6 @@ def _test_routes(lags: DataFrame, movie: str, seed: int, n_perm: int, n_boot: in
     pick = order.select(F.col("_i").alias("_slot")).crossJoin(F.broadcast(size)).withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))  # one row each
     pick = pick.withColumn("_i", (draw(seed + 1, "boot", "_slot") % F.col("_n")).cast("int"))
     boots = pick.join(order, "_i").join(obs, movie).groupBy("route", "boot").agg(F.avg("d").alias("_d"))
-    ci = exact_quantiles(boots, ["route"], "_d", {"ci_low": .025, "ci_high": .975})
+    # n_boot values per route
+    ci = boots.groupBy("route").agg(F.percentile("_d", F.lit(.025)).alias("ci_low"), F.percentile("_d", F.lit(.975)).alias("ci_high"))
     return o.join(p, "route").join(ci, "route")

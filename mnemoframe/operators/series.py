@@ -164,32 +164,42 @@ def autocorrelation(df: DataFrame, unit: str, t: str, value: str, max_lag: int =
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _circular(first: pd.Series, second: pd.Series) -> pd.Series:
-    """Correlation of two equally long series at every circular shift of the second; 0 where one is constant."""
-    def one(p, q):
-        p, q = (np.asarray(v, float) - np.mean(v) for v in (p, q))
+def _circular(at: pd.Series, first: pd.Series, second: pd.Series, end: pd.Series) -> pd.Series:
+    """Correlation of two series at every circular shift of the second; 0 where one is constant. Their values stand at the
+    positions `at` of 0 .. end, elsewhere they are 0."""
+    def one(t, p, q, last):
+        line = np.zeros((2, last + 1))
+        line[:, np.asarray(t, int)] = np.nan_to_num([np.asarray(p, float), np.asarray(q, float)])
+        p, q = line - line.mean(axis=1, keepdims=True)
         size = np.sqrt((p @ p) * (q @ q))
         if size < 1e-24:
             return np.zeros(len(p))
         spectrum = np.fft.rfft(q) * np.fft.rfft(p).conj()
         return np.fft.irfft(spectrum, n=len(p)) / size
 
-    return pd.Series([one(p, q) for p, q in zip(first, second)])
+    return pd.Series([one(*row) for row in zip(at, first, second, end)])
+
+
+FEW_UNITS = 10_000
 
 
 def lag_similarity(df: DataFrame, keys, unit, t: str = "t", a: str = "a", b: str = "b") -> DataFrame:
     """r between two series at every circular lag, per unit, then the median over units; lag 0 is observed, the
     rest its null. The series of a group (keys) run from 0 to the last position any of its units has; positions
-    without a value count as 0."""
+    without a value count as 0. A task holds the series of one unit.
+
+    Units are counted first: the values of one lag are kept as they are up to FEW_UNITS, beyond that the median comes from
+    exact_quantiles, which gathers none."""
     keys = list(keys)
     full = [*keys, *([unit] if isinstance(unit, str) else unit)]
-    g = df.groupBy(*full, t).agg(F.avg(a).alias("_a"), F.avg(b).alias("_b"))
+    g = df.groupBy(*full, F.col(t).cast("int").alias("_t")).agg(F.avg(a).alias("_a"), F.avg(b).alias("_b")).where("_t is not null")
     end = df.groupBy(*keys).agg(F.max(t).cast("int").alias("_end"))
-    g = g.groupBy(*full).agg(F.map_from_entries(F.collect_list(F.struct(F.col(t).cast("int"), F.struct("_a", "_b")))).alias("_m")).join(end, keys)
-    at = F.sequence(F.lit(0), F.col("_end"))
-    side = lambda f: F.transform(at, lambda i: F.coalesce(F.try_element_at("_m", i)[f], F.lit(0.0)))
-    r = g.select(*full, F.posexplode(_circular(side("_a"), side("_b"))).alias("lag", "r"))
-    return exact_quantiles(r, [*keys, "lag"], "r", {"median_r": .5})
+    g = g.groupBy(*full).agg(F.collect_list(F.struct("_t", "_a", "_b")).alias("_s")).join(end, keys)
+    r = g.select(*full, F.posexplode(_circular(F.col("_s._t"), F.col("_s._a"), F.col("_s._b"), F.col("_end"))).alias("lag", "r"))
+    most = df.select(*full).distinct().groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most > FEW_UNITS:
+        return exact_quantiles(r, [*keys, "lag"], "r", {"median_r": .5})
+    return r.groupBy(*keys, "lag").agg(F.percentile("r", F.lit(0.5)).alias("median_r"))
 
 
 def response_kernel() -> list[float]:
