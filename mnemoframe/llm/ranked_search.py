@@ -1,9 +1,9 @@
 """Ranked lexical search by per-term geometric blocking.
 
 Items are the queries. One pass over the documents keeps, for each, its number of terms and the counts of the terms that items
-ask for; from these come the weights. A second pass takes the documents in segments of bounded size. In a segment the
-posting list of each term is clustered: documents of the list stand as centres, every other goes to the centre its projected
-vector is nearest to. Each cluster is a block with a summary, the largest impact of every term over its documents, kept whole
+ask for; from these come the weights. A second pass takes the documents in segments of bounded size. A segment is
+parted by likeness, and in each part the posting list of each term is clustered: documents of the list stand as centres, every
+other goes to the centre its projected vector is nearest to. Each cluster is a block with a summary, the largest impact of every term over its documents, kept whole
 and exact. The sum of weight times summary bounds the score of every document of the block. An item takes the blocks of its terms
 by falling bound, scores their documents exactly, and stops at the first block whose bound is below its k-th best score so far,
 which is carried from segment to segment of a task. Each task sends k rows per item; Spark ranks these.
@@ -30,6 +30,7 @@ from .common import forget, text_of, written
 ITEM_TERMS = 1 << 17
 CELLS = 1 << 24
 BLOCK = 64
+PARTS = 6
 DIMS = 16
 GATHER = 2048
 BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -61,12 +62,10 @@ def vectors(docs: DataFrame, known: dict[bytes, int], doc_id: str, text: str) ->
 class Segment:
     """Some documents with their posting lists in blocks; impact is a matrix of documents by terms."""
 
-    def __init__(self, impact: np.ndarray, doc: np.ndarray, term: np.ndarray):
+    def __init__(self, impact: np.ndarray, near: np.ndarray):
         self.impact = impact
-        order = np.lexsort((doc, term))
-        doc, term = doc[order], term[order]
+        term, doc = np.nonzero(impact.T)
         ends = np.searchsorted(term, np.arange(impact.shape[1] + 1))
-        near = self._projected()
         block, self.first, total = np.zeros(len(doc), np.int64), np.zeros(impact.shape[1] + 1, np.int64), 0
         for t, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             self.first[t] = total
@@ -84,12 +83,6 @@ class Segment:
         self.members, self.ends = doc[order], np.searchsorted(block[order], np.arange(total + 1))
         self._summarise()
 
-    def _projected(self) -> np.ndarray:
-        """Unit vectors of few dimensions in place of the documents; these choose the blocks only."""
-        ways = np.random.default_rng(3).standard_normal((self.impact.shape[1], DIMS)).astype(np.float32)
-        out = np.concatenate([self.impact[a:a + GATHER].astype(np.float32) @ ways for a in range(0, len(self.impact), GATHER)])
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
     def _summarise(self) -> None:
         """The largest impact per block and term, sorted by term."""
         blocks, terms, values, a = [], [], [], 0
@@ -130,6 +123,29 @@ class Segment:
         return best
 
 
+def projected(impact: np.ndarray) -> np.ndarray:
+    """Unit vectors of few dimensions in place of the documents; these choose the blocks only."""
+    ways = np.random.default_rng(3).standard_normal((impact.shape[1], DIMS)).astype(np.float32)
+    out = np.concatenate([impact[a:a + GATHER].astype(np.float32) @ ways for a in range(0, len(impact), GATHER)])
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def parts(impact: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Segment]]:
+    """A segment in up to PARTS parts of like documents (of one language, say): their rows, their terms, and the part, whose
+    summaries are as wide as its own terms."""
+    near = projected(impact)
+    likest, centres = np.full(len(near), -1, np.float32), []
+    for _ in range(PARTS):
+        centres.append(near[int(np.argmin(likest))])
+        likest = np.maximum(likest, near @ centres[-1])
+    part = (near @ np.array(centres).T).argmax(axis=1)
+    for k in range(PARTS):
+        rows = np.flatnonzero(part == k)
+        terms = np.flatnonzero(impact[rows].any(axis=0)) if len(rows) else rows
+        if len(terms):
+            yield rows, terms, Segment(np.ascontiguousarray(impact[np.ix_(rows, terms)]), near[rows])
+
+
 def leading(scores: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     """The first `top` by falling score above 0, then by id; null ids are the largest number."""
     scores, ids = scores[scores > 0], ids[scores > 0]
@@ -157,8 +173,13 @@ def found(rows: DataFrame, queries: list[list[int]], weight: np.ndarray, n_docs:
                 impact = np.zeros((len(part), len(weight)), np.int32)
                 impact[doc, term] = 1_000_000_000 * tf // (1000 * tf + 8 * m[doc])
                 ids = part.column("id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-                segment = Segment(impact, doc, term)
-                best = [segment.search(q, weight[q], b, ids, top) for q, b in zip(each, best)]
+                for rows, terms, segment in parts(impact):
+                    place = np.full(len(weight), -1, np.int64)
+                    place[terms] = np.arange(len(terms))
+                    for i, q in enumerate(each):
+                        own = place[q]
+                        if (own >= 0).any():
+                            best[i] = segment.search(own[own >= 0], weight[q[own >= 0]], best[i], ids[rows], top)
         item = np.repeat(np.arange(len(each)), [len(b[0]) for b in best])
         ids = np.concatenate([b[1] for b in best] or [np.empty(0, np.int64)])
         yield pa.record_batch([pa.array(item, pa.int64()), pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(np.concatenate([b[0] for b in best] or [np.empty(0, np.int64)]), pa.int64())],

@@ -60,8 +60,7 @@ def test_blocks_are_skipped_and_lose_nothing():
     docs, n_terms = 3000, 40
     themes = draw.integers(0, 6, docs)
     impact = (draw.random((docs, n_terms)) * 1000 * ((np.arange(n_terms) % 6 == themes[:, None]) | (draw.random((docs, n_terms)) < .05))).astype(np.int32)
-    doc, term = np.nonzero(impact)
-    segment = ranked_search.Segment(impact, doc, term)
+    segment = ranked_search.Segment(impact, ranked_search.projected(impact))
     for t in range(n_terms):  # every document of a list is in one of its blocks, and summaries are exact
         held = np.concatenate([segment.members[segment.ends[b]:segment.ends[b + 1]] for b in range(segment.first[t], segment.first[t + 1])])
         assert sorted(held) == np.flatnonzero(impact[:, t]).tolist()
