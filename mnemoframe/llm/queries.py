@@ -34,7 +34,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    bits = F.lower(F.lpad(F.hex(F.element_at("fingerprint", 1)), 16, "0"))
+    bits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return rows.select(F.col("id").alias("doc_id"), bits.alias("fingerprint"), "component_id")
 
 

@@ -1,18 +1,14 @@
 """Near duplicates by SimHash fingerprints and pigeonhole blocks.
 
 Each text gives one fingerprint: a bit is 1 if it is set in over half of the hashes of its word shingles. Fingerprints
-are cut into blocks; with `distance` differing bits at most `distance` blocks differ, so a close pair agrees on
-`share` blocks whenever blocks - distance >= share. Every choice of `share` blocks is a join key. Equal
+are cut into BLOCKS blocks; of two that differ in DISTANCE bits at most as many blocks differ, so they agree on SHARE blocks.
+Every choice of SHARE blocks is a join key. Equal
 fingerprints are folded into one node before any join; candidate pairs of a key are verified by their distance, and
 linked nodes are joined into components.
 
-A key that more than CROWDED fingerprints share is not joined pair by pair:
-* With one word of 64 bits and distance 2 the fingerprints of crowded keys are spread to their 64 neighbours at one
-  bit: two differ in at most two bits exactly if they meet in a common neighbour, where at most 65 can meet. All links
-  are found, in linear work.
-* Wider fingerprints of crowded keys are compared with the smallest and the largest one of the key, in each of their
-  crowded keys. In other keys a pair must also be close in its first 64 bits (three deviations of room) before it leaves
-  the join, so that pairs that share a key by chance are not passed on.
+A key that more than CROWDED fingerprints share is not joined pair by pair: its fingerprints are spread to their 64
+neighbours at one bit. Two differ in at most two bits exactly if they meet in a common neighbour, where at most 65 can
+meet. All links are found, in linear work.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like any other. Null ids form
 links too but are never a component's id unless it has no other. Extra columns stay.
@@ -20,7 +16,6 @@ links too but are never a component's id unless it has no other. Extra columns s
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +29,7 @@ from .components import connected
 
 SEED = 42
 CROWDED = 64
+DISTANCE, BLOCKS, SHARE = 2, 5, 3
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LANES = np.uint64(0x0101010101010101)
 
@@ -51,16 +47,6 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     return np.fromiter((digest(line[a:b], SEED) for a, b in zip(start, end[width - 1:].tolist())), np.uint64, len(start))
 
 
-def scrambled(x: np.ndarray, k: int) -> np.ndarray:
-    """The k-th further 64 bits derived from each hash (splitmix finaliser); the hash itself for 0."""
-    if k == 0:
-        return x
-    z = x + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def bit_counts(x: np.ndarray) -> np.ndarray:
     """How many of the numbers have each of the 64 bits: eight bytes are summed at once, 255 numbers at a time."""
     padded = np.zeros(-(-len(x) // 255) * 255, np.uint64)
@@ -72,86 +58,53 @@ def bit_counts(x: np.ndarray) -> np.ndarray:
     return counts
 
 
-def fingerprint(text: str, width: int, words: int, distinct: bool) -> np.ndarray:
+def fingerprint(text: str, width: int) -> int:
     hashes = shingle_hashes(text, width)
-    if distinct:
-        hashes = np.unique(hashes)
-    if not len(hashes):
-        return np.zeros(words, np.int64)
-    bits = np.concatenate([bit_counts(scrambled(hashes, k)) * 2 > len(hashes) for k in range(words)])
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    bits = bit_counts(hashes) * 2 > len(hashes) if len(hashes) else np.zeros(64, bool)
+    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def fingerprinted(docs: DataFrame, width: int = 3, words: int = 1, distinct: bool = False, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """docs with an array of `words` 64-bit integers. distinct: repeated shingles of a text count once."""
+def fingerprinted(docs: DataFrame, width: int = 3, text: str = "text", name: str = "fingerprint") -> DataFrame:
+    """docs with a column of 64 bits as a long."""
     def batch(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t or "", width, words, distinct) for t in texts.to_pylist()], pa.list_(pa.int64()))
-
-    return docs.withColumn(name, F.arrow_udf(batch, "array<bigint>")(text_of(text)))
-
+        return pa.array([fingerprint(t.as_py() or "", width) for t in texts], pa.int64())
 
-def block_keys(bits: int, blocks: int, share: int):
-    """An expression for the keys of a fingerprint: one number per choice of blocks, its place in the top byte."""
-    cuts = np.linspace(0, bits, blocks + 1).round().astype(int)
-    chosen = list(combinations(range(blocks), share))
-    places = [np.concatenate([np.arange(cuts[b], cuts[b + 1]) for b in c]) for c in chosen]
-    if max(map(len, places)) > 56 or len(chosen) > 127:
-        raise ValueError("a key has at most 56 bits, a fingerprint at most 127 keys")
+    return docs.withColumn(name, F.arrow_udf(batch, "bigint")(text_of(text)))
 
-    def batch(prints: pa.Array) -> pa.Array:
-        values = prints.flatten().to_numpy(zero_copy_only=False).reshape(len(prints), bits // 64)
-        every = np.unpackbits(values.view(np.uint8), axis=1, bitorder="little")
-        keys = np.empty((len(prints), len(chosen)), np.int64)
-        for k, at in enumerate(places):
-            keys[:, k] = every[:, at].astype(np.int64) @ (np.int64(1) << np.arange(len(at), dtype=np.int64)) | np.int64(k) << 56
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(chosen)), pa.int32()), pa.array(keys.ravel()))
 
-    return F.arrow_udf(batch, "array<bigint>")
+def block_keys(node: str) -> Column:
+    """The keys of a fingerprint: the bits of each choice of SHARE blocks, with the place of the choice in the top bits."""
+    cuts = np.linspace(0, 64, BLOCKS + 1).round().astype(int)
+    masks = [sum(((1 << int(cuts[b + 1])) - (1 << int(cuts[b])) for b in chosen)) for chosen in combinations(range(BLOCKS), SHARE)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*[F.struct(F.lit(k).alias("choice"), F.col(node).bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(signed)])
 
 
-def differing(a: str | Column, b: str | Column) -> Column:
-    """Differing bits of two fingerprints of the same length."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def links(prints: DataFrame, words: int, distance: int, blocks: int, share: int, crowded: int = CROWDED) -> DataFrame:
-    """(a, b) node pairs, from distinct (node, fingerprint): enough of the close pairs to connect what belongs together."""
-    # the node is the fingerprint itself where that has one word
-    first = F.col("node") if words == 1 else F.element_at("fingerprint", 1)
-    keyed = prints.select("node", first.alias("first"), F.explode(block_keys(64 * words, blocks, share)("fingerprint")).alias("key"))
+def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(a, b) pairs of the distinct fingerprints of a column `node` that differ in at most DISTANCE bits: enough of them to connect
+    what belongs together."""
+    keyed = nodes.select("node", F.explode(block_keys("node")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(keyed.join(shared, "key"), "blocks")
     few, many = members.where(F.col("n") <= crowded), members.where(F.col("n") > crowded)
-    x, y = few.select("key", F.col("node").alias("a"), F.col("first").alias("fa")), few.select("key", F.col("node").alias("b"), F.col("first").alias("fb"))
-    rate = distance / (64 * words)
-    room = distance if words == 1 else math.ceil(64 * rate + 3 * math.sqrt(64 * rate * (1 - rate)))
-    near = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= room)).select("a", "b")
-    if words == 1 and blocks - share == distance == 2:
-        flips = F.array(*[F.lit(int(np.uint64(1 << i).astype(np.int64))) for i in range(64)], F.lit(0).cast("long"))
-        around = F.transform(flips, lambda bit: F.col("node").bitwiseXOR(bit))
-        meet = many.select("node").distinct().select("node", F.explode(around).alias("at")).groupBy("at").agg(F.collect_list("node").alias("all")).where(F.size("all") > 1)
-        star = meet.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b")
-        return near.unionAll(star)
-    ends = many.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    star = many.join(ends, "key").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-    pairs = near.unionAll(star).distinct()
-    left, right = prints.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa")), prints.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb"))
-    return pairs.join(left, "a").join(right, "b").where(differing("fa", "fb") <= distance).select("a", "b")
-
-
-def grouped(docs: DataFrame, width: int = 3, words: int = 1, distance: int = 2, blocks: int = 5, share: int = 3, distinct: bool = False,
-            crowded: int = CROWDED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    x, y = few.select("key", F.col("node").alias("a")), few.select("key", F.col("node").alias("b"))
+    near = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b")
+    flips = F.array(*[F.lit(int(np.uint64(1 << i).astype(np.int64))) for i in range(64)], F.lit(0).cast("long"))
+    around = F.transform(flips, lambda bit: F.col("node").bitwiseXOR(bit))
+    meet = many.select("node").distinct().select("node", F.explode(around).alias("at")).groupBy("at").agg(F.collect_list("node").alias("all")).where(F.size("all") > 1)
+    return near.unionAll(meet.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b"))
+
+
+def grouped(docs: DataFrame, width: int = 3, crowded: int = CROWDED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, row, fingerprint, component_id) of every row; row is a hash of all columns, to find the row again.
 
-    component_id is the smallest id reachable over links of at most `distance` bits, a row's own included.
+    component_id is the smallest id reachable over links of at most DISTANCE bits, a row's own included.
     """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    # the id of a wide fingerprint is its hash; narrow ones are their own
-    node = F.element_at("_print", 1) if words == 1 else F.xxhash64("_print")
-    prints = written(fingerprinted(docs.select(F.col(doc_id).alias("id"), row.alias("row"), F.col(text).alias("_text")), width, words, distinct, "_text", "_print")
-                     .select("id", "row", F.col("_print").alias("fingerprint"), node.alias("node")), "prints")
-    nodes = prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fingerprint").alias("fingerprint"))
-    return named_groups(prints, nodes, connected(links(nodes.select("node", "fingerprint"), words, distance, blocks, share, crowded)))
+    prints = written(fingerprinted(docs.select(F.col(doc_id).alias("id"), row.alias("row"), F.col(text).alias("text")), width)
+                     .select("id", "row", "fingerprint", F.col("fingerprint").alias("node")), "prints")
+    nodes = prints.groupBy("node").agg(F.min("id").alias("least"))
+    return named_groups(prints, nodes, connected(links(nodes.select("node"), crowded)))
 
 
 def named_groups(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
