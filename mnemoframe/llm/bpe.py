@@ -172,7 +172,7 @@ def encoded_batch(own: Encoder, texts: pa.Array, each: Callable[[list[int]], Non
     flat, ends = array("i"), array("i", [0])
     for t in texts:
         ids = own.encode(t.as_py() or "")
-        flat.frombytes(ids)
+        flat.frombytes(ids.view(np.uint8))
         ends.append(len(flat))
         if each:
             each(ids.tolist())

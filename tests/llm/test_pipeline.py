@@ -39,5 +39,5 @@ def test_empty_documents(spark, stage):
     assert stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF).count() == 0
 
 
-def test_all_eleven_are_registered():
-    assert {n.split("_")[0] for n in queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in queries()
+def test_all_are_registered():
+    assert {n.split("_")[0] for n in queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in queries()
