@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,20 +19,21 @@ from ..functions.scan import id_block, row_index
 RESULT = ["check_name", "subject", "session", "task", "run", "status", "expected", "actual"]
 
 
+COMMANDS = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+READING = ("Show", "Describe")
+
+
 def _plan_nodes(plan):
-    """Names of all nodes of a parsed statement."""
-    yield plan.getClass().getSimpleName()
+    """All nodes of a parsed statement."""
+    yield plan
     children = plan.children().iterator()
     while children.hasNext():
         yield from _plan_nodes(children.next())
 
 
-WRITES = re.compile(r"Insert|Update|Delete|Merge|Create|Drop|Alter|Replace|Rename|Truncate|Load|Repair|Cache|Refresh|Set|Add|Execute|Call|Analyze")
-
-
 def run_select(spark: SparkSession, sql: str, params: dict | None = None, **tables: DataFrame) -> DataFrame:
     """Read-only SQL over named tables ({name} in the text) with bound parameters (:name). The statement is parsed
-    first and refused if any part of it writes or changes a setting. SUMMARIZE gives a summary of a query or table."""
+    first and refused if any part of it is a command other than SHOW or DESCRIBE. SUMMARIZE gives a summary of a query or table."""
     summary = re.match(r"(?is)^\s*summarize\s+(.*)$", sql)
     if summary:
         body = summary.group(1)
@@ -39,9 +41,10 @@ def run_select(spark: SparkSession, sql: str, params: dict | None = None, **tabl
     if not re.match(r"(?is)^\s*(select|with|describe|show)\b", sql):
         raise ValueError("only SELECT, WITH, DESCRIBE, SHOW and SUMMARIZE are allowed")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r"\{(\w+)\}", r"\1", sql))
-    for node in _plan_nodes(plan):
-        if WRITES.search(node):
-            raise ValueError(f"not a read-only statement: {node}")
+    for node in _plan_nodes(plan):  # relational nodes are no commands; of the commands only those that describe are allowed
+        name = node.getClass().getSimpleName()
+        if any(is_instance_of(spark.sparkContext._gateway, node, c) for c in COMMANDS) and not name.startswith(READING):
+            raise ValueError(f"not a read-only statement: {name}")
     return spark.sql(sql, args=params or {}, **tables)
 
 

@@ -71,9 +71,9 @@ def _(t):
     return D.map_paths(t.pages, "url", RULES).select("page_id", "mapped")
 
 
-@query("d05_unmatched_outputs", r"""SELECT page_id, 'mobile/' || split_part(split_part(url, '://', 2), 'm.', 2) AS url FROM pages WHERE page_id % 2 = 0 AND 'mobile/' || split_part(split_part(url, '://', 2), 'm.', 2) NOT IN (SELECT regexp_replace(url, '^https?://m\.([^/]+)/', 'mobile/\1/') FROM pages WHERE regexp_matches(url, '^https?://m\.'))""")
+@query("d05_unmatched_outputs", r"""SELECT page_id, 'mobile/' || split_part(split_part(url, '://', 2), 'm.', 2) AS url FROM pages WHERE 'mobile/' || split_part(split_part(url, '://', 2), 'm.', 2) NOT IN (SELECT regexp_replace(url, '^https?://m\.([^/]+)/', 'mobile/\1/') FROM pages WHERE regexp_matches(url, '^https?://m\.'))""")
 def _(t):
-    out = t.pages.where("page_id % 2 = 0").select("page_id", F.concat(F.lit("mobile/"), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("m."), F.lit(2))).alias("url"))
+    out = t.pages.select("page_id", F.concat(F.lit("mobile/"), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("m."), F.lit(2))).alias("url"))
     return D.unmatched_outputs(out, D.map_paths(t.pages, "url", RULES), "url")
 
 

@@ -88,12 +88,10 @@ def _(t):
     return V.centre_blocks(_em(t).withColumn("modality", F.col("label") % 3), "modality", ["vec_id"], "embedding")
 
 
-# Two components have a closed form: the principal direction is half the angle of (variance difference, covariance).
-@query("v05_pca_projection", W + """, p AS (SELECT vec_id, v[1] - avg(v[1]) OVER () AS x, v[2] - avg(v[2]) OVER () AS y FROM em), a AS (SELECT 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM p)
-  SELECT vec_id, abs(x * cos(a) + y * sin(a)) AS pc1, abs(y * cos(a) - x * sin(a)) AS pc2 FROM p, a""", ("pc1", "pc2"))
+# Eigenvectors of 64 components have no SQL form; tests compare them with NumPy.
+@query("v05_pca_projection")
 def _(t):
-    two = V.project_pca(_em(t).withColumn("embedding", F.slice("embedding", 1, 2)), "vec_id", "embedding")
-    return two.select("vec_id", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2"))  # signs are free
+    return V.project_pca(_em(t), "vec_id", "embedding").select("vec_id", F.round(F.abs("pc1"), 6).alias("pc1"), F.round(F.abs("pc2"), 6).alias("pc2"))  # signs are free
 
 
 @query("v06_wide_features", W + ", lg AS (SELECT vec_id, unnest(range(64)) AS pos, unnest(v) AS x FROM em) SELECT vec_id, " + ", ".join(f"max(x) FILTER (pos = {i}) AS f{i}" for i in range(64)) + " FROM lg GROUP BY 1")
@@ -127,14 +125,11 @@ def _(t):
     return V.split_caption_id(t.pages.select("page_id", c.alias("c")), "c").select("page_id", "movie", "time")
 
 
-# Two standardised inputs: the penalised normal equations are a 2 x 2 system, its hat values give the error left out.
-@query("v09_ridge_path", W + """, d AS (SELECT (v[1] - avg(v[1]) OVER ()) / stddev_pop(v[1]) OVER () AS p, (v[2] - avg(v[2]) OVER ()) / stddev_pop(v[2]) OVER () AS q, v[3] - avg(v[3]) OVER () AS y, count(*) OVER () AS n FROM em),
-  s AS (SELECT pow(10.0, 1 + 0.5 * i) AS alpha, sum(p * p) AS pp, sum(q * q) AS qq, sum(p * q) AS pq, sum(p * y) AS py, sum(q * y) AS qy FROM d, range(11) r(i) GROUP BY i),
-  k AS (SELECT alpha, (qq + alpha) / det AS a, (pp + alpha) / det AS b, -pq / det AS c, py, qy FROM (SELECT *, (pp + alpha) * (qq + alpha) - pq * pq AS det FROM s)),
-  e AS (SELECT alpha, avg(pow((y - p * (a * py + c * qy) - q * (c * py + b * qy)) / (1 - 1.0 / n - (a * p * p + b * q * q + 2 * c * p * q)), 2)) AS loo_mse FROM d, k GROUP BY alpha)
-  SELECT alpha, loo_mse, loo_mse = min(loo_mse) OVER () AS chosen FROM e""", {"alpha": 4, "loo_mse": 9})
+# All components to one target per label; tests compare the errors with NumPy.
+@query("v09_ridge_path")
 def _(t):
-    return V.ridge_path(_em(t).select(F.slice("embedding", 1, 2).alias("x"), F.slice("embedding", 3, 1).alias("y")), "x", "y")[0]
+    target = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (F.col("label") == k).cast("double"))
+    return V.ridge_path(_em(t).select(F.col("embedding").alias("x"), target.alias("y")), "x", "y")[0]
 
 
 IDN = """, lg AS (SELECT vec_id, label, vec_id % 2 AS h, unnest(range(64)) AS pos, unnest(v) AS x FROM em), m AS (SELECT label, h, pos, avg(x) AS x FROM lg GROUP BY ALL), z AS (SELECT *, (x - avg(x) OVER w) / (stddev_pop(x) OVER w * sqrt(count(*) OVER w)) AS z FROM m WINDOW w AS (PARTITION BY label, h)),

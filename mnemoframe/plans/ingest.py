@@ -9,6 +9,7 @@ from ..operators.series import model_columns
 from ..sources import files as S
 from ..sources import inventory as N
 from ..session import scratch
+from ..sources import store
 from ..sources.study import study_files, write_study
 from .registry import query
 from .views import LISTING, RUNS, TRIALS
@@ -149,6 +150,16 @@ def _(t):
     return N.manifest(t.pages.select(*mk(150, "url")), t.pages.select(*mk(170, "html")), "page_id")
 
 
+@query("i13_manifest_loads", """SELECT 'p' || page_id % 150 AS path, page_id % 15 AS folder, max(page_id) AS seen, arg_max(length(url), page_id) AS size FROM pages GROUP BY ALL""")
+def _(t):
+    """The manifest of all pages, loaded in halves, one of them twice and out of order."""
+    p, root = F.col("page_id"), scratch(t.spark, "manifest")
+    rows = t.pages.select(F.concat(F.lit("p"), (p % 150).cast("string")).alias("path"), (p % 15).alias("folder"), p.alias("seen"), F.length("url").cast("long").alias("size"))
+    for half in (1, 0, 1):
+        store.upsert(rows.where(F.col("seen") % 2 == half), root, ["path"], "folder", ["seen"])
+    return store.stored(t.spark, root, rows)
+
+
 @query("i14_event_metadata", """SELECT user_id, count(*) AS n_rows, min(o) AS onset_min, max(o) AS onset_max, min(d) AS duration_min, max(d) AS duration_max, max(o + d) AS end_max FROM (SELECT user_id, CASE WHEN event_id % 6 <> 0 THEN CAST(event_id AS DOUBLE) END AS o, value AS d FROM events) GROUP BY 1""", ("end_max",))
 def _(t):
     x = t.events.select("user_id", F.when(F.col("event_id") % 6 == 0, "start").otherwise(F.col("event_id").cast("string")).alias("onset"), F.col("value").alias("duration"))

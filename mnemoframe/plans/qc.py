@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import draw_sql, pad2
 from ..operators import qc as Q
+from ..session import scratch
+from ..sources import store
 from .registry import query
 from .views import DECISIONS, IQMS, SIGNED, VOLUMES
 
@@ -134,6 +136,18 @@ def _(t):
     return Q.judge_decisions(_requests(t).fillna(False, ["automated"])).select("run_key", "turn", "problem")
 
 
+@query("q06_decision_log", f"""WITH {REQ}, r AS (SELECT * REPLACE (coalesce(automated, false) AS automated) FROM req), ok AS (SELECT * FROM r WHERE decision IN ('keep', 'exclude', 'investigate', 'pending') AND NOT (automated AND decision <> 'pending')
+  AND NOT (NOT automated AND lower(trim(coalesce(reviewer, ''))) IN ('auto', '')) AND coalesce(recommendation, '') <> 'drop') SELECT run_key, count(*) AS n_entries, arg_max(decision, turn) AS decision FROM ok GROUP BY run_key""")
+def _(t):
+    """Accepted requests of every day appended as a batch of a log, one batch twice; then the last decision of each run."""
+    ok = Q.judge_decisions(_requests(t).fillna(False, ["automated"])).where("problem is null").select("run_key", "turn", "decision", "conv_id")
+    root = scratch(t.spark, "decisions")
+    for day in (0, 1, 2, 1):
+        store.append_batch(ok.where(F.col("conv_id") % 3 == day), root, "batch", f"day-{day}")
+    log = store.stored(t.spark, root, ok)
+    return log.groupBy("run_key").agg(F.count("*").alias("n_entries"), F.max_by("decision", "turn").alias("decision"))
+
+
 def _latest(t):
     first = F.struct("decision", "reviewer", "automated")
     second = F.struct(F.when(F.col("turn") % 2 == 0, "pending").otherwise(F.col("decision")).alias("decision"), "reviewer", "automated")

@@ -69,6 +69,11 @@ def test_select_gate(spark):
     assert catalog.run_select(spark, "SELECT count(*) AS n FROM {t} WHERE id > :a", {"a": 2}, t=df).collect()[0].n == 2
     assert catalog.run_select(spark, "SUMMARIZE {t}", t=df).where("summary = 'max'").first().id == "4"
     assert catalog.run_select(spark, "WITH a AS (SELECT 1 AS x) SELECT * FROM a").count() == 1 and catalog.run_select(spark, "SHOW TABLES") is not None
+    spark.sql("CREATE OR REPLACE TEMP VIEW updates_set AS SELECT 1 AS add_x")
+    for fine in ("SHOW COLUMNS IN updates_set", "DESCRIBE updates_set", "SELECT add_x FROM updates_set", "SHOW TBLPROPERTIES updates_set"):
+        assert catalog.run_select(spark, fine) is not None
+    with pytest.raises(Exception, match="(?i)not.*found|VIEW|table"):  # allowed by the gate; a temporary view has no such text
+        catalog.run_select(spark, "SHOW CREATE TABLE no_such_table")
     for bad in ("DROP TABLE x", "insert into t values (1)", "  update t set a = 1", "WITH a AS (SELECT 1 x) INSERT INTO t SELECT * FROM a", "WITH a AS (SELECT 1 x) FROM a INSERT OVERWRITE t SELECT *"):
         with pytest.raises(ValueError):
             catalog.run_select(spark, bad)
@@ -367,6 +372,27 @@ def test_pca_keeps_variance(spark):
     assert np.allclose([p.pc1.var(), p.pc2.var()], ev[:2]) and abs(p.pc1.mean()) < 1e-9
 
 
+def test_whole_vectors_of_the_registered_projection_and_ridge(spark):
+    """v05 and v09 on all components of the small table against NumPy."""
+    from __spark_entry__ import queries
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding").toPandas().sort_values("vec_id")
+    x = np.vstack(d.embedding.to_numpy()).astype(float)
+    c = x - x.mean(0)
+    _, s, vt = np.linalg.svd(c, full_matrices=False)
+    got = queries()["v05_pca_projection"](spark, sf).toPandas().sort_values("vec_id")
+    assert np.allclose(got[["pc1", "pc2"]], np.abs(c @ vt[:2].T), atol=2e-6)
+    z, y = c / x.std(0), np.eye(10)[d.label.astype(int)]
+    y = y - y.mean(0)
+    path = {r.alpha: r for r in queries()["v09_ridge_path"](spark, sf).collect()}
+    want = {}
+    for a in features.ALPHAS:
+        hat = z @ np.linalg.solve(z.T @ z + a * np.eye(64), z.T)
+        want[a] = np.mean(((y - hat @ y) / (1 - 1 / len(z) - np.diag(hat))[:, None]) ** 2)
+    assert all(math.isclose(path[a].loo_mse, want[a], rel_tol=1e-6) for a in want)
+    assert [a for a in want if path[a].chosen] == [min(want, key=want.get)]
+
+
 def test_procrustes_recovers_rotation(spark):
     rng = np.random.default_rng(11)
     q = np.linalg.qr(rng.normal(size=(4, 4)))[0]
