@@ -134,40 +134,67 @@ def _movie_lengths(p: DataFrame, keys, movie: str, session: str, run: str) -> Da
     return p.groupBy(*keys, session, run, movie).agg((F.max("uidx") + 1).alias("length"))
 
 
+def _paired_movies(u: DataFrame, pairs: DataFrame, ln: DataFrame, keys, side, movie: str, session: str, run: str, vec: str, seed: int, n_draws: int):
+    """(same, diff): mean r of each row of pairs (keys, sides, movie, s1, s2, r2, L) over index-matched columns, and over windows of
+    another movie in the second member's run. `side` names the member columns of pairs: one for both, or one each."""
+    first, second = [*keys, side[0]], [*keys, side[-1]]
+    ids = list(dict.fromkeys([*first, *second, movie, "s1", "s2"]))
+    member = ln.columns[len(keys)]
+    repeated = pairs.select(movie).distinct()
+    a = explode_unit(u.join(repeated, movie, "left_semi"), [*keys, member, movie, session, "uidx"], vec).withColumnsRenamed({member: side[0], session: "s1", "x": "_xa"})
+    b = explode_unit(u, [*keys, member, movie, session, "uidx"], vec).withColumnsRenamed({member: side[-1], movie: "m2", session: "s2", "uidx": "u2", "x": "_xb"})
+    mean_r = F.sum(F.col("_xa") * F.col("_xb")) / F.count(F.when(F.col("pos") == 0, 1))
+    on_a, on_b = [*first, movie, "s1"], [*second, "m2", "s2", "u2", "pos"]
+    same = a.join(pairs, on_a).where("uidx < L").withColumn("m2", F.col(movie)).withColumn("u2", F.col("uidx")).join(b, on_b).groupBy(*ids).agg(mean_r.alias("_r"))
+    other = ln.withColumnsRenamed({member: side[-1], session: "s2", run: "r2", movie: "m2", "length": "_lo"})
+    cand = pairs.join(other, [*second, "s2", "r2"]).where(F.col("m2") != F.col(movie)).withColumn("_full", F.col("_lo") >= F.col("L"))
+    cand = with_group_stats(cand, ids, _any=F.max("_full")).where("_full or not _any")
+    cand = cand.withColumn("_c", F.row_number().over(Window.partitionBy(*ids).orderBy("m2")) - 1)  # the movies of one run
+    size = cand.groupBy(*ids).agg(F.count("*").alias("_nc"))
+    code = lambda c: F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 7), 16, 10).cast("long")
+    codes = [code(c) for c in (*(side if len(side) > 1 else ()), movie, "s1", "s2")]
+    dr = pairs.join(size, ids).withColumn("draw_no", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    dr = dr.withColumn("_c", (draw(seed, *codes, "draw_no") % F.col("_nc")).cast("int")).join(cand.select(*ids, "_c", "m2", "_lo"), [*ids, "_c"])
+    dr = dr.withColumn("_w", F.least("L", "_lo")).withColumn("_st", draw(seed + 1, *codes, "draw_no") % (F.col("_lo") - F.col("_w") + 1))
+    dc = a.join(dr, on_a).where("uidx < _w").withColumn("u2", F.col("_st") + F.col("uidx"))
+    diff = dc.join(b, on_b).groupBy(*ids, "draw_no").agg(mean_r.alias("_d")).groupBy(*ids).agg(F.avg("_d").alias("_r"))
+    return same, diff
+
+
 def movie_cells(patterns: DataFrame, keys, repeated, movie: str = "movie", session: str = "session", run: str = "run", vec: str = "vec", seed: int = 1,
                 n_draws: int = N_DRAWS) -> DataFrame:
     """Per repeated movie and pair of sessions: mean r of index-matched columns, and of windows of another movie in
     the later session's run (one that is long enough if there is any, else its full length). Means of means. There is
-    one row per session and column, so pairs per column are those of the declared sessions."""
+    one row per session and column, so pairs per column are those of the declared sessions. The last key is the subject."""
     u = with_scale(patterns, vec)
     ln = _movie_lengths(u, keys, movie, session, run)
     rep = ln.where(F.col(movie).isin(*repeated))
     one = rep.select(*keys, movie, F.col(session).alias("s1"), F.col("length").alias("_l1"))
     two = rep.select(*keys, movie, F.col(session).alias("s2"), F.col(run).alias("r2"), F.col("length").alias("_l2"))
     pairs = one.join(two, [*keys, movie]).where("s1 < s2").withColumn("L", F.least("_l1", "_l2")).drop("_l1", "_l2")
-    a = explode_unit(u.where(F.col(movie).isin(*repeated)), [*keys, movie, session, "uidx"], vec).withColumnsRenamed({session: "s1", "x": "_xa"})
-    b = explode_unit(u, [*keys, movie, session, "uidx"], vec).withColumnsRenamed({movie: "m2", session: "s2", "uidx": "u2", "x": "_xb"})
-    mean_r = F.sum(F.col("_xa") * F.col("_xb")) / F.count(F.when(F.col("pos") == 0, 1))
-    same = (a.join(pairs, [*keys, movie, "s1"]).where("uidx < L").withColumn("m2", F.col(movie)).withColumn("u2", F.col("uidx")).join(b, [*keys, "m2", "s2", "u2", "pos"])
-            .groupBy(*keys, movie, "s1", "s2").agg(mean_r.alias("_r")))
-    other = ln.select(*keys, F.col(session).alias("s2"), F.col(run).alias("r2"), F.col(movie).alias("m2"), F.col("length").alias("_lo"))
-    cand = pairs.join(other, [*keys, "s2", "r2"]).where(F.col("m2") != F.col(movie)).withColumn("_full", F.col("_lo") >= F.col("L"))
-    cand = with_group_stats(cand, [*keys, movie, "s1", "s2"], _any=F.max("_full")).where("_full or not _any")
-    w = Window.partitionBy(*keys, movie, "s1", "s2").orderBy("m2")  # the movies of one run
-    cand = cand.withColumn("_c", F.row_number().over(w) - 1)
-    size = cand.groupBy(*keys, movie, "s1", "s2").agg(F.count("*").alias("_nc"))
-    code = lambda c: F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 7), 16, 10).cast("long")
-    dr = pairs.join(size, [*keys, movie, "s1", "s2"]).withColumn("draw_no", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    dr = dr.withColumn("_c", (draw(seed, code(movie), code("s1"), code("s2"), "draw_no") % F.col("_nc")).cast("int")).join(
-        cand.select(*keys, movie, "s1", "s2", "_c", "m2", "_lo"), [*keys, movie, "s1", "s2", "_c"])
-    dr = dr.withColumn("_w", F.least("L", "_lo")).withColumn("_st", draw(seed + 1, code(movie), code("s1"), code("s2"), "draw_no") % (F.col("_lo") - F.col("_w") + 1))
-    dc = a.join(dr.drop("uidx"), [*keys, movie, "s1"]).where("uidx < _w").withColumn("u2", F.col("_st") + F.col("uidx"))
-    diff = (dc.join(b, [*keys, "m2", "s2", "u2", "pos"]).groupBy(*keys, movie, "s1", "s2", "draw_no").agg(mean_r.alias("_d"))
-            .groupBy(*keys, movie, "s1", "s2").agg(F.avg("_d").alias("_r")))
+    same, diff = _paired_movies(u, pairs, ln, list(keys)[:-1], [list(keys)[-1]], movie, session, run, vec, seed, n_draws)
     cell = lambda x, name: x.groupBy(*keys, movie).agg(F.count("*").alias("n_pairs"), F.avg("_r").alias("r")).withColumn("cell", F.lit(name))
     return cell(same, "within_same").unionByName(cell(diff, "within_diff"))
 
 
+def movie_cells_across(patterns: DataFrame, keys, repeated, subject: str = "subject", movie: str = "movie", session: str = "session", run: str = "run", vec: str = "vec",
+                       seed: int = 1, n_draws: int = N_DRAWS) -> DataFrame:
+    """The same between two subjects (unit `a+b`, a < b): all pairs of a session of one and a session of the other, windows drawn in
+    the second subject's run. One row per unit, movie, cell and scope: all session pairs, or those of equal sessions. Units without a
+    matched pair have no row in that scope. Pairs are those of declared subjects and sessions."""
+    u = with_scale(patterns, vec)
+    ln = _movie_lengths(u, [*keys, subject], movie, session, run)
+    rep = ln.where(F.col(movie).isin(*repeated))
+    one = rep.select(*keys, movie, F.col(subject).alias("sub_a"), F.col(session).alias("s1"), F.col("length").alias("_l1"))
+    two = rep.select(*keys, movie, F.col(subject).alias("sub_b"), F.col(session).alias("s2"), F.col(run).alias("r2"), F.col("length").alias("_l2"))
+    pairs = one.join(two, [*keys, movie]).where("sub_a < sub_b").withColumn("L", F.least("_l1", "_l2")).drop("_l1", "_l2")
+    same, diff = _paired_movies(u, pairs, ln, keys, ["sub_a", "sub_b"], movie, session, run, vec, seed, n_draws)
+    both = same.withColumn("cell", F.lit("across_same")).unionByName(diff.withColumn("cell", F.lit("across_diff")))
+    scopes = both.withColumn("scope", F.explode(F.when(F.col("s1") == F.col("s2"), F.array(F.lit("all"), F.lit("matched"))).otherwise(F.array(F.lit("all")))))
+    unit = F.concat_ws("+", F.col("sub_a").cast("string"), F.col("sub_b").cast("string")).alias("unit")
+    return scopes.groupBy(*keys, unit, movie, "cell", "scope").agg(F.count("*").alias("n_pairs"), F.avg("_r").alias("r"))
+
+
 # -- tables over cells ----------------------------------------------------------------------------------------------
 
 def roll_up(cells: DataFrame, keys) -> DataFrame:

@@ -117,6 +117,27 @@ def _(t):
     return M.movie_cells(row_index(x, ["subject", "session", "movie"], ["vec_id"], id_block("vec_id"), "uidx"), ["subject"], ["m0", "m1"])
 
 
+_code = lambda c: f"('0x' || substr(md5({c}::VARCHAR), 1, 7))::BIGINT"
+_CODES = [_code(c) for c in ("sa", "sb", "movie", "s1", "s2")]
+XMOV = MOV[:MOV.index("pr AS (")] + f"""pr AS (SELECT a.subject AS sa, b.subject AS sb, a.movie, a.session AS s1, b.session AS s2, least(a.len, b.len) AS L FROM ln a JOIN ln b ON a.subject < b.subject AND a.movie = b.movie WHERE a.movie IN ('m0', 'm1')),
+  same AS (SELECT pr.sa, pr.sb, pr.movie, s1, s2, avg(list_dot_product(a.u, b.u)) AS r FROM pr JOIN p a ON a.subject = sa AND a.movie = pr.movie AND a.session = s1 JOIN p b ON b.subject = sb AND b.movie = pr.movie AND b.session = s2 AND b.uidx = a.uidx WHERE a.uidx < L GROUP BY ALL),
+  cd0 AS (SELECT pr.*, o.movie AS m2, o.len AS lo, o.len >= L AS f FROM pr JOIN ln o ON o.subject = sb AND o.session = s2 AND o.movie <> pr.movie), cd1 AS (SELECT *, bool_or(f) OVER (PARTITION BY sa, sb, movie, s1, s2) AS a FROM cd0),
+  cd AS (SELECT *, row_number() OVER (PARTITION BY sa, sb, movie, s1, s2 ORDER BY m2) - 1 AS c, count(*) OVER (PARTITION BY sa, sb, movie, s1, s2) AS nc FROM cd1 WHERE f OR NOT a),
+  h AS (SELECT *, {draw_sql(1, *_CODES, 'd')} AS d1, {draw_sql(2, *_CODES, 'd')} AS d2 FROM (SELECT pr.*, unnest(range(10)) AS d FROM pr)),
+  dr AS (SELECT h.*, m2, lo, least(h.L, lo) AS w, d2 % (lo - least(h.L, lo) + 1) AS st FROM h JOIN cd USING (sa, sb, movie, s1, s2) WHERE c = d1 % nc),
+  df AS (SELECT sa, sb, dr.movie, s1, s2, d, avg(list_dot_product(a.u, b.u)) AS r FROM dr JOIN p a ON a.subject = sa AND a.movie = dr.movie AND a.session = s1 JOIN p b ON b.subject = sb AND b.movie = m2 AND b.session = s2 AND b.uidx = st + a.uidx WHERE a.uidx < w GROUP BY ALL),
+  rs AS (SELECT *, 'across_same' AS cell FROM same UNION ALL SELECT sa, sb, movie, s1, s2, avg(r), 'across_diff' FROM df GROUP BY sa, sb, movie, s1, s2)
+  SELECT sa || '+' || sb AS unit, movie, cell, scope, count(*) AS n_pairs, avg(r) AS r FROM (SELECT *, unnest(CASE WHEN s1 = s2 THEN ['all', 'matched'] ELSE ['all'] END) AS scope FROM rs) GROUP BY ALL"""
+
+
+@query("m07_movie_cells_across", XMOV, ("r",))
+def _(t):
+    from ..functions.scan import id_block, row_index
+    v = F.col("vec_id")
+    x = t.embeddings.select("vec_id", (v % 2).alias("subject"), (F.floor(v / 2) % 3).alias("session"), F.lit(0).alias("run"), F.concat(F.lit("m"), (F.col("label") % 4).cast("string")).alias("movie"), F.col("embedding").alias("vec"))
+    return M.movie_cells_across(row_index(x, ["subject", "session", "movie"], ["vec_id"], id_block("vec_id"), "uidx"), [], ["m0", "m1"])
+
+
 C = f"WITH {CELLS}"
 
 
