@@ -1,7 +1,8 @@
-"""Cross products of columns, formed once per group and block and added up by Spark.
+"""Cross products of columns, added up before they travel.
 
-Rows are dealt by group and by one of BLOCKS hashes of their values, so that a hot group is spread; a task adds up all
-rows of a group it has and sends one row of numbers, however many Arrow batches they came in.
+A task keeps, per group, its rows until they are as many numbers as their product, and from then on the product only. What it
+sends is the smaller of both: a small group's rows meet in one task, a hot group arrives as one product per task, dealt to a
+few adders, whose sums Spark adds. So no raw row of a large group is shuffled, and no fixed number of blocks limits it.
 """
 
 from __future__ import annotations
@@ -15,34 +16,90 @@ from pyspark.sql import types as T
 from .core import pearson_from_sums
 
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-BLOCKS = 16
+ADDERS = 16
+HELD = 1 << 23
+
+
+class _Sums:
+    """Rows and products of some groups; never more numbers than HELD and one batch."""
+
+    def __init__(self, product, width: int):
+        self.product, self.width = product, width
+        self.shape = product(np.zeros((0, width)))
+        self.rows, self.done, self.held = {}, {}, 0
+
+    def fold(self, key) -> None:
+        parts = self.rows.pop(key)
+        self.held -= sum(p.size for p in parts)
+        self.held += 0 if key in self.done else self.shape.size
+        self.done[key] = self.done.get(key, 0) + self.product(np.concatenate(parts))
+
+    def add_rows(self, key, m: np.ndarray) -> None:
+        parts = self.rows.setdefault(key, [])
+        parts.append(m)
+        self.held += m.size
+        if key in self.done or sum(p.size for p in parts) >= self.shape.size:
+            self.fold(key)
+
+    def add_product(self, key, flat: np.ndarray) -> None:
+        self.held += 0 if key in self.done else self.shape.size
+        self.done[key] = self.done.get(key, 0) + flat.reshape(self.shape.shape)
+
+    def taken(self, fold: bool):
+        """(key, rows, product) of all groups, which are then forgotten; fold: products only."""
+        for key in list(self.rows) if fold else ():
+            self.fold(key)
+        for key, parts in self.rows.items():
+            yield key, np.concatenate(parts).ravel(), None
+        for key, total in self.done.items():
+            yield key, None, total.ravel()
+        self.rows, self.done, self.held = {}, {}, 0
+
+
+def _frame(keys, found, salt: int) -> pd.DataFrame:
+    rows = [[*key, 0 if product is None else salt, raw, product] for key, raw, product in found]
+    return pd.DataFrame(rows, columns=[*keys, "_salt", "_raw", "_products"]).astype({"_raw": object, "_products": object})
 
 
 def summed_products(df: DataFrame, keys, columns, product) -> DataFrame:
     """(keys, pos, v): `product` of all rows of a group, flattened. product takes a matrix of the columns and returns an
-    array that may be added."""
+    array of fixed shape that may be added."""
     keys, columns = list(keys), list(columns)
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_products", T.ArrayType(T.DoubleType()))])
+    array = T.ArrayType(T.DoubleType())
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_salt", T.IntegerType()), T.StructField("_raw", array), T.StructField("_products", array)])
+    plain = lambda key: tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
 
-    def run(batches):
-        held, total = None, None
+    def partial(batches):
+        sums, salt = _Sums(product, len(columns)), 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            salt = int(pdf["_salt"].iloc[0])
+            for key, g in pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]:
+                sums.add_rows(plain(key), g[columns].to_numpy(dtype="float64"))
+            if sums.held > HELD:
+                yield _frame(keys, sums.taken(False), salt)
+        yield _frame(keys, sums.taken(not keys), salt)
+
+    def total(batches):
+        sums, group = _Sums(product, len(columns)), None
         for pdf in batches:
-            groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
-            for key, g in groups:
-                part = product(g[columns].to_numpy(dtype="float64"))
-                key = key if isinstance(key, tuple) else (key,)
-                if held is not None and all(a == b or (pd.isna(a) and pd.isna(b)) for a, b in zip(key, held)):
-                    total = total + part
-                    continue
-                if held is not None:
-                    yield pd.DataFrame([[*held, total.ravel()]], columns=[*keys, "_products"])
-                held, total = key, part
-        if held is not None:
-            yield pd.DataFrame([[*held, total.ravel()]], columns=[*keys, "_products"])
-
-    x = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    x = x.repartition(*keys, F.pmod(F.xxhash64(*columns), F.lit(BLOCKS))).sortWithinPartitions(*keys) if keys else x
-    return x.mapInPandas(run, schema).select(*keys, F.posexplode("_products").alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
+            for *key, _, raw, flat in pdf[[*keys, "_salt", "_raw", "_products"]].itertuples(index=False, name=None):
+                key = plain(tuple(key))
+                if key != group:
+                    yield _frame(keys, sums.taken(True), 0)
+                    group = key
+                if raw is not None:
+                    sums.add_rows(key, np.asarray(raw, float).reshape(-1, len(columns)))
+                else:
+                    sums.add_product(key, np.asarray(flat, float))
+        yield _frame(keys, sums.taken(True), 0)
+
+    x = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns], F.pmod(F.spark_partition_id(), F.lit(ADDERS)).alias("_salt"))
+    x = x.mapInPandas(partial, schema)
+    if keys:
+        x = x.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt").mapInPandas(total, schema)
+    return x.select(*keys, F.posexplode("_products").alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
 
 
 def pair_sums(wide: DataFrame, keys, members) -> DataFrame:

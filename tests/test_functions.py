@@ -157,3 +157,29 @@ def test_quantiles_between_far_outliers(spark):
     want = {"a": 0.01, "b": 0.3, "c": 0.5, "d": 0.777, "e": 1.0}
     got = exact_quantiles(spark.createDataFrame(pd.DataFrame({"x": x})).repartition(6), [], "x", want).first()
     assert all(got[n] == pytest.approx(np.quantile(x, q), rel=1e-12, abs=1e-15) for n, q in want.items())
+
+
+def test_hot_groups_arrive_as_products(spark, monkeypatch):
+    """One group with nine tenths of the rows and many small ones: sums equal NumPy, and few rows are shuffled."""
+    rng = np.random.default_rng(21)
+    n = 20_000
+    pdf = pd.DataFrame({"k": np.where(rng.random(n) < .9, 0, rng.integers(1, 60, n)), "a": rng.normal(size=n), "b": rng.normal(size=n), "y": rng.normal(size=n)})
+    df = spark.createDataFrame(pdf).repartition(12)
+    for held in (gram.HELD, 50):  # all groups kept to the end, and sent whenever they are many
+        monkeypatch.setattr(gram, "HELD", held)
+        got = {}
+        for r in gram.normal_equations(df, ["k"], ["a", "b"], ["y"]).collect():
+            got.setdefault(r.k, np.zeros(16))[r.pos] = r.v
+        assert len(got) == pdf.k.nunique()
+        for k, g in pdf.groupby("k"):
+            full = np.column_stack([np.ones(len(g)), g[["a", "b", "y"]]])
+            assert np.allclose(got[k], (full.T @ full).ravel())
+    total = {r.pos: r.v for r in gram.normal_equations(df, [], ["a", "b"], ["y"]).collect()}
+    assert total[0] == n and math.isclose(total[5], (pdf.a ** 2).sum())
+    monkeypatch.setattr(gram, "HELD", 1 << 23)
+    sums = gram._Sums(lambda m: m.T @ m, 4)
+    for _ in range(100):
+        sums.add_rows("hot", np.ones((50, 4)))
+        sums.add_rows("small", np.ones((0, 4)))
+    sent = list(sums.taken(False))
+    assert [(k, raw is None or raw.size, None if p is None else p[0]) for k, raw, p in sent] == [("small", 0, None), ("hot", True, 5000.0)]
