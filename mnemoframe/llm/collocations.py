@@ -29,8 +29,8 @@ from .common import forget, text_of, written
 
 LONGEST = 4
 BITS = 27
-CHUNK = 1 << 18
-HELD = 1 << 19
+CHUNK = 1 << 17
+HELD = 1 << 18
 BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 ROWS = "level int, fp long, chk long, c long, low long, high long, lang string"
 LOWER = np.arange(256, dtype=np.uint8)
@@ -59,7 +59,7 @@ def spread(x: np.ndarray) -> np.ndarray:
 
 def spans(values: np.ndarray, base: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Fingerprints of values[a:b] by a prefix polynomial."""
-    power, inverse = powers(base, 1 << max(18, len(values).bit_length()))
+    power, inverse = powers(base, 1 << max(17, len(values).bit_length()))
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * power[:len(values)], out=total[1:])
     return lambda a, b: (total[b] - total[a]) * inverse[a]
@@ -244,8 +244,12 @@ def frequent(docs: DataFrame, least: int, text: str = "text", lang: str = "lang"
     plain = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text"))
     plain = plain.select(F.xxhash64("lang", "text").alias("key"), "lang", "text")
     one = counted(plain, (1,), None, least)
-    two = counted(plain, (2,), bitmap(one), least)
-    more = counted(plain, (3, 4), bitmap(two), least)
+    words = bitmap(one)
+    two = counted(plain, (2,), words, least)
+    pairs = bitmap(two)
+    more = counted(plain, (3, 4), pairs, least)
+    for bits in (words, pairs):  # the counts are written
+        bits.destroy()
     found = one.unionAll(two).unionAll(more)
     named = texts_of(plain, found).groupBy("level", "fp", "chk").agg(F.min(F.struct("lang", "phrase")).alias("x"), F.max(F.struct("lang", "phrase")).alias("y"))
     named = written(named.join(found.where("level > 0").select("level", "fp", "chk", "c"), ["level", "fp", "chk"]), "named")
