@@ -59,11 +59,12 @@ def z_score(df: DataFrame, keys, value: str, out: str = "z", missing_if_constant
 
 def segments(series: DataFrame, events: DataFrame, run, segment: str, tr: float, shift: int = 0, value: str = "value") -> DataFrame:
     """Cut runs at events: volumes rint(onset/TR) + shift up to rint(duration/TR) more, as far as the run goes.
-    Each event lists its volumes, so the range join is an equi-join."""
+    Each event lists its volumes, so the range join is an equi-join. The planner takes the list to be as small as the events,
+    so the join is told to send neither side through the driver."""
     start, length = rint_long(F.col("onset") / tr) + shift, rint_long(F.col("duration") / tr)
     e = events.select(*run, segment, start.alias("_s"), length.alias("_l")).where("_l > 0")
     e = e.select(*run, segment, "_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_l") - 1)).alias("pos"))
-    return e.withColumn("t", F.col("_s") + F.col("pos")).drop("_s").join(series.select(*run, "t", value), [*run, "t"])
+    return e.withColumn("t", F.col("_s") + F.col("pos")).drop("_s").join(series.select(*run, "t", value).hint("merge"), [*run, "t"])
 
 
 def movie_segments(series: DataFrame, events: DataFrame, run, segment: str, tr: float, value: str = "value") -> DataFrame:

@@ -421,3 +421,12 @@ def test_spearman_with_ties(spark):
     x, y = [1.0, 2.0, 2.0, 3.0, -5.25], [10.0, 30.0, 20.0, 20.0, 0.5]
     df = spark.createDataFrame([("g", a, b) for a, b in zip(x, y)], "g string, x double, y double")
     assert math.isclose(series.spearman(df, ["g"], "x", "y").collect()[0].rho, pd.Series(x).rank().corr(pd.Series(y).rank()), abs_tol=1e-12)
+
+
+def test_listed_volumes_are_not_broadcast(spark):
+    """A few events can list very many volumes; the planner knows the size of the events only."""
+    runs = spark.range(2000).select((F.col("id") % 2).alias("run"), F.floor(F.col("id") / 2).alias("t"), F.col("id").cast("double").alias("value"))
+    events = spark.createDataFrame([(0, "a", 3.0, 1200.0), (1, "b", 0.0, 9.0), (1, "c", 30.0, 0.0)], "run long, movie string, onset double, duration double")
+    got = series.segments(runs, events, ["run"], "movie", 1.5)
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert {(r.movie, r.n, r.low, r.high) for r in got.groupBy("movie").agg(F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).collect()} == {("a", 800, 2, 801), ("b", 6, 0, 5)}
