@@ -8,12 +8,12 @@ complete voxels) go through blocks of bounded size, which send rows, never pairs
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def dot(a, b) -> Column:
@@ -67,29 +67,51 @@ def pearson_complete(a, b) -> tuple[Column, Column]:
     return F.aggregate(z, zero, add, finish), n
 
 
-BLOCK_ROWS = 1024
+# Rows that a task multiplies at once; blocks on a side while they fit; bytes of values that a block may have.
+TILE_ROWS = 1024
+SIDE_BLOCKS = 8
+BLOCK_BYTES = 64 << 20
 
 
-def block_count(n_rows: int, rows: int = BLOCK_ROWS) -> int:
-    return max(1, math.ceil(n_rows / rows))
+def block_count(n_rows: int, dim: int) -> int:
+    """Blocks of rows for a product with all rows. A row travels once per block of the other side, so the number does not
+    grow before a block is full: up to then what is shuffled grows as the rows do."""
+    full = max(TILE_ROWS, BLOCK_BYTES // (8 * max(1, dim)))
+    return max(1, min(SIDE_BLOCKS, math.ceil(n_rows / TILE_ROWS)), math.ceil(n_rows / full))
+
+
+def rows_and_dim(df: DataFrame, vec: str) -> tuple[int, int]:
+    r = df.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("d")).first()
+    return r.n, r.d or 1
+
+
+def tiles(n: int) -> list[slice]:
+    return [slice(i, i + TILE_ROWS) for i in range(0, n, TILE_ROWS)]
 
 
 def block_pairs(df: DataFrame, key: str, n_blocks: int, reduce, schema, *columns) -> DataFrame:
-    """Apply `reduce(left, right, same_block)` to every unordered pair of row blocks. Rows are hashed into blocks by
+    """Apply `reduce(left, right, same)` to every unordered pair of tiles of rows. Rows are hashed into blocks by
     a unique key, so blocks stay near n / n_blocks rows whatever the data's groups look like; each row travels
-    n_blocks times, and what a pair of blocks yields is up to `reduce` (a maximum per row, sums per cell)."""
+    n_blocks times, and the task of a pair of blocks goes through their tiles. What a pair of tiles yields is up to
+    `reduce` (a maximum per row, sums per cell)."""
     b = F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
     x = df.select(key, *columns).withColumn("_b", b).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     x = x.withColumn("_lo", F.least("_b", "_p")).withColumn("_hi", F.greatest("_b", "_p"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(batches, ignore_index=True)
         lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
-        if lo == hi:
-            return reduce(pdf, pdf, True)
-        left, right = pdf[pdf["_b"] == lo], pdf[pdf["_b"] == hi]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=T.StructType.fromDDL(schema).fieldNames()) if isinstance(schema, str) else pd.DataFrame(columns=schema.fieldNames())
-        return reduce(left, right, False)
+        left, right = (pdf[pdf["_b"] == lo], pdf[pdf["_b"] == hi]) if lo < hi else (pdf, pdf)
+        held = []
+        for i in tiles(len(left)):
+            for j in tiles(len(right)):
+                if lo < hi or i.start <= j.start:
+                    held.append(reduce(left[i], right[j], lo == hi and i.start == j.start))
+                    if sum(map(len, held)) > 100_000:
+                        yield pd.concat(held)
+                        held = []
+        if held:
+            yield pd.concat(held)
 
     return x.groupBy("_lo", "_hi").applyInPandas(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -15,7 +16,7 @@ from ..functions.sampling import bottom_k
 from ..functions.core import div, draw, with_group_stats
 from ..functions.quantiles import exact_quantiles
 from ..functions.scan import id_block, row_index, with_neighbours
-from ..functions.vectors import BLOCK_ROWS, block_count, dot, explode_unit, with_scale
+from ..functions.vectors import block_count, dot, explode_unit, rows_and_dim, tiles, with_scale
 from ..session import scratch
 from .series import lag_similarity
 
@@ -46,21 +47,25 @@ def assemble(df: DataFrame, keep, prefix: str) -> DataFrame:
     return df.select(*keep, F.array(*[F.col(c).cast("double") for c in cols]).alias("vec"))
 
 
-def nearest_cosine(a: DataFrame, b: DataFrame, key: str, vec: str, group: str | None = None, relation: str = "any", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_cosine(a: DataFrame, b: DataFrame, key: str, vec: str, group: str | None = None, relation: str = "any", block_rows: int | None = None) -> DataFrame:
     """Largest cosine of each row of `a` with rows of `b`: any other row, a row of the same group, or a row of a
     different group; a row never meets itself (equal keys). Exact: every admissible pair is compared, as products
-    of row blocks of bounded size; one number per row and block leaves a task. Rows without a partner are absent."""
+    of row blocks of bounded size, tile by tile; one number per row and block leaves a task. A row travels once per block
+    of the other side: SIDE_BLOCKS times at most while the blocks hold all rows. Rows without a partner are absent."""
     cols = [key, vec] + ([group] if group else [])
     aa, bb = a.select(*cols), b.select(*cols)
+    (rows_a, dim), (rows_b, _) = rows_and_dim(aa, vec), rows_and_dim(bb, vec)
     if relation == "same":  # pair inside groups; a large group gets many blocks
+        full = block_rows or math.ceil(max(rows_a, rows_b, 1) / block_count(max(rows_a, rows_b), dim))
+
         def sized(d, s):
             j = with_group_stats(d, [group], _c=F.count("*")).withColumn("_g", F.col(group).cast("long"))
-            return j.withColumn(f"_n{s}", F.ceil(F.col("_c") / block_rows).cast("int")).drop("_c")
+            return j.withColumn(f"_n{s}", F.ceil(F.col("_c") / full).cast("int")).drop("_c")
         aa, bb = sized(aa, "a"), sized(bb, "b")
         size = aa.groupBy("_g").agg(F.max("_na").alias("_na")).join(bb.groupBy("_g").agg(F.max("_nb").alias("_nb")), "_g")
         aa, bb = aa.drop("_na").join(size, "_g"), bb.drop("_nb").join(size, "_g")
     else:
-        na, nb = F.lit(block_count(a.count(), block_rows)), F.lit(block_count(b.count(), block_rows))
+        na, nb = (F.lit(max(1, math.ceil(n / block_rows)) if block_rows else block_count(n, dim)) for n in (rows_a, rows_b))
         aa, bb = (d.withColumns({"_g": F.lit(0).cast("long"), "_na": na, "_nb": nb}) for d in (aa, bb))
     mine = lambda d, s: F.pmod(F.xxhash64(key), F.col(f"_n{s}")).cast("int")
     spread = lambda d, s: F.explode(F.sequence(F.lit(0), F.col(f"_n{s}") - 1))
@@ -73,11 +78,15 @@ def nearest_cosine(a: DataFrame, b: DataFrame, key: str, vec: str, group: str |
         x, y = pdf[pdf["_s"] == 0], pdf[pdf["_s"] == 1]
         if x.empty or y.empty:
             return pd.DataFrame({key: [], "best": []})
-        s = np.vstack(x[vec].to_numpy()).astype("float64") @ np.vstack(y[vec].to_numpy()).astype("float64").T
-        s[x[key].to_numpy()[:, None] == y[key].to_numpy()[None, :]] = -np.inf
-        if other:
-            s[x[group].to_numpy()[:, None] == y[group].to_numpy()[None, :]] = -np.inf
-        m = s.max(axis=1)
+        own, theirs = (np.vstack(d[vec].to_numpy()).astype("float64") for d in (x, y))
+        same = [(x[c].to_numpy(), y[c].to_numpy()) for c in ([key, group] if other else [key])]
+        m = np.full(len(x), -np.inf)
+        for i in tiles(len(x)):
+            for j in tiles(len(y)):
+                s = own[i] @ theirs[j].T
+                for p, q in same:
+                    s[p[i, None] == q[None, j]] = -np.inf
+                m[i] = np.maximum(m[i], s.max(axis=1))
         ok = np.isfinite(m)
         return pd.DataFrame({key: x[key].to_numpy()[ok], "best": m[ok]})
 

@@ -183,3 +183,24 @@ def test_hot_groups_arrive_as_products(spark, monkeypatch):
         sums.add_rows("small", np.ones((0, 4)))
     sent = list(sums.taken(False))
     assert [(k, raw is None or raw.size, None if p is None else p[0]) for k, raw, p in sent] == [("small", 0, None), ("hot", True, 5000.0)]
+
+
+def test_copies_of_a_row_do_not_grow_with_the_table():
+    """Of 12,000, 120,000 and 720,000 vectors of 64 components; a block holds at most BLOCK_BYTES."""
+    assert [vectors.block_count(n, 64) for n in (12_000, 120_000, 720_000)] == [8, 8, 8]
+    assert all(n / vectors.block_count(n, d) * 8 * d <= vectors.BLOCK_BYTES for n in (10 ** 6, 10 ** 8) for d in (64, 768))
+
+
+def test_cell_sums_over_tiles(spark):
+    """A block of more rows than are multiplied at once."""
+    rng = np.random.default_rng(6)
+    m, cell = rng.normal(size=(2300, 5)), np.arange(2300) % 3
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(2300), "vec": m.tolist(), "cell": cell}))
+    r = np.corrcoef(m)
+    got = {(x.cell_a, x.cell_b): x for blocks in (1,) for x in vectors.cell_sums(df, "id", "vec", "cell", blocks).collect()}
+    i, j = np.triu_indices(2300, 1)
+    low, high = np.minimum(cell[i], cell[j]), np.maximum(cell[i], cell[j])
+    for (a, b), x in got.items():
+        at = (low == a) & (high == b)
+        assert x.n_pairs == at.sum() and math.isclose(x.mean_r, r[i, j][at].mean(), abs_tol=1e-10)
+    assert len(got) == 6

@@ -430,3 +430,19 @@ def test_listed_volumes_are_not_broadcast(spark):
     got = series.segments(runs, events, ["run"], "movie", 1.5)
     assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
     assert {(r.movie, r.n, r.low, r.high) for r in got.groupBy("movie").agg(F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).collect()} == {("a", 800, 2, 801), ("b", 6, 0, 5)}
+
+
+@pytest.mark.parametrize("relation", ["any", "same", "different"])
+def test_nearest_cosine_over_tiles(spark, relation):
+    """Blocks of more rows than are multiplied at once."""
+    rng = np.random.default_rng(8)
+    u, g = rng.normal(size=(2500, 4)), np.arange(2500) % 2
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -np.inf)
+    if relation != "any":
+        c[(g[:, None] == g[None, :]) != (relation == "same")] = -np.inf
+    d = spark.createDataFrame(pd.DataFrame({"id": np.arange(2500), "u": u.tolist(), "item": g}))
+    for rows in (None, 2500):
+        got = features.nearest_cosine(d, d, "id", "u", None if relation == "any" else "item", relation, rows).toPandas().sort_values("id")
+        assert len(got) == 2500 and np.allclose(got.nn_cosine, c.max(axis=1))
