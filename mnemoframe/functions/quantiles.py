@@ -25,14 +25,16 @@ def _buckets(v: Column, lo: Column, hi: Column):
     return F.floor(f * LINEAR).cast("int"), F.floor(odds * LOGIT).cast("int")
 
 
-def exact_quantiles(df: DataFrame, keys, value, wanted: dict[str, float], upper: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value, wanted: dict[str, float], upper: bool = False, few: bool = False) -> DataFrame:
     """One row per group with a column per wanted quantile. `upper` takes the element at floor(q*n)
-    instead of interpolating (the upper median for q = .5)."""
+    instead of interpolating (the upper median for q = .5). `few`: the groups are a declared list, such as metric names; what is
+    known of each group is then sent to the rows, which are not dealt out by so few keys."""
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
     x = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if not keys:
-        x, keys = x.withColumn("_all", F.lit(1)), ["_all"]
+        x, keys, few = x.withColumn("_all", F.lit(1)), ["_all"], True
+    known = F.broadcast if few else lambda d: d
     span = x.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
     def ranks(q):
         if upper:
@@ -45,7 +47,7 @@ def exact_quantiles(df: DataFrame, keys, value, wanted: dict[str, float], upper:
     for q in wanted.values():
         for r in ranks(q):
             hit = hit | ((r >= F.col("_start")) & (r < F.col("_start") + F.col("_c")))
-    rows, path = x.join(span, keys).withColumn("_base", F.lit(0).cast("long")), []
+    rows, path = x.join(known(span), keys).withColumn("_base", F.lit(0).cast("long")), []
     for level in range(LEVELS):
         even, odds = (f"_b{level}{k}" for k in "eo")
         rows = rows.withColumns(dict(zip((even, odds), _buckets(F.col("_v"), F.col("_lo"), F.col("_hi")))))
@@ -54,7 +56,7 @@ def exact_quantiles(df: DataFrame, keys, value, wanted: dict[str, float], upper:
         hist = rows.groupBy(*keys, *path).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"), F.max("_base").alias("_base"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         hist = hist.withColumn("_start", F.col("_base") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
         target = hist.where(hit).select(*keys, *path, F.col("_start").alias("_base"), "_lo", "_hi")
-        rows = rows.select(*keys, *path, "_v", "_n").join(target, keys + path)
+        rows = rows.select(*keys, *path, "_v", "_n").join(known(target), keys + path)
     rows = rows.groupBy(*keys, *path, "_v").agg(F.count("*").alias("_c"), F.max("_base").alias("_start"), F.max("_n").alias("_n"))
     wi = Window.partitionBy(*keys, *path).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_s", F.col("_start") + F.coalesce(F.sum("_c").over(wi), F.lit(0)))

@@ -98,7 +98,7 @@ def relation_summary(parts: dict[str, DataFrame]) -> DataFrame:
     """P10, median and P90 of each neighbour relation."""
     long = reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("relation"), "nn_cosine") for n, d in parts.items()])
     n = long.groupBy("relation").agg(F.count("*").alias("n"))
-    return n.join(exact_quantiles(long, ["relation"], "nn_cosine", {"p10": .1, "median": .5, "p90": .9}), "relation")
+    return n.join(exact_quantiles(long, ["relation"], "nn_cosine", {"p10": .1, "median": .5, "p90": .9}, few=True), "relation")
 
 
 def cosine_matrix(vectors: DataFrame, key: str) -> DataFrame:

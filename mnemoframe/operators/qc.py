@@ -28,7 +28,7 @@ def metric_summary(df: DataFrame, metrics, group_by=None) -> DataFrame:
     keys = [*keys, "metric"]
     s = x.groupBy(*keys).agg(F.count("*").alias("n_runs"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                              F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(x, keys, "value", {"p25": .25, "p50": .5, "p75": .75})
+    q = exact_quantiles(x, keys, "value", {"p25": .25, "p50": .5, "p75": .75}, few=keys == ["metric"])
     out = s.join(q, keys, "left")
     for c in ("mean", "std", "min", "p25", "p50", "p75", "max"):
         out = out.withColumn(c, half_even(c, 6))
@@ -36,7 +36,7 @@ def metric_summary(df: DataFrame, metrics, group_by=None) -> DataFrame:
 
 
 def fences(x: DataFrame, keys, k: float) -> DataFrame:
-    q = exact_quantiles(x, keys, "value", {"q1": .25, "q3": .75})
+    q = exact_quantiles(x, keys, "value", {"q1": .25, "q3": .75}, few=list(keys) == ["metric"])
     iqr = F.col("q3") - F.col("q1")
     return q.withColumn("lower", F.col("q1") - k * iqr).withColumn("upper", F.col("q3") + k * iqr)
 
@@ -50,6 +50,7 @@ def outlier_flags(df: DataFrame, run_keys, metrics, scope: str = "global", k: fl
     lo6, hi6 = half_even("lower", 6), half_even("upper", 6)
     lo, hi = (lo6, hi6) if scope == "global" else (F.col("lower"), F.col("upper"))
     f = f.select(*keys, lo.alias("_lo"), hi.alias("_hi"), lo6.alias("_lo6"), hi6.alias("_hi6"))
+    f = F.broadcast(f) if scope == "global" else f  # one row per metric
     j = x.join(f, keys).withColumn("direction", F.when(F.col("value") < F.col("_lo"), "low").when(F.col("value") > F.col("_hi"), "high"))
     return (j.where("direction is not null")
             .select(*run_keys, "metric", half_even("value", 6).alias("value"), "direction",

@@ -204,3 +204,16 @@ def test_cell_sums_over_tiles(spark):
         at = (low == a) & (high == b)
         assert x.n_pairs == at.sum() and math.isclose(x.mean_r, r[i, j][at].mean(), abs_tol=1e-10)
     assert len(got) == 6
+
+
+def test_rows_are_not_dealt_out_by_a_declared_list(spark):
+    """Three metrics must not make three tasks that read all rows: only the join of the two summaries is by metric."""
+    from mnemoframe.operators import qc
+    df = spark.range(3000).select((F.col("id") % 100).alias("a"), F.col("id").alias("b"), F.lit(None).cast("double").alias("c"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = qc.metric_summary(df, ["a", "b", "c"])
+        assert got._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 1
+        assert {r.metric: (r.p25, r.p50, r.p75) for r in got.collect() if r.metric != "c"} == {"a": (24.75, 49.5, 74.25), "b": (749.75, 1499.5, 2249.25)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
