@@ -6,7 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -261,14 +261,15 @@ def chunk_conditions(events: DataFrame, movie: str, duration: str, order: str) -
 
 def design_rows(trials: DataFrame, conditions: DataFrame, condition: str, volumes: DataFrame, run: str, tr: float, chunked: bool = False) -> DataFrame:
     """Sparse design: one row per trial (and chunk) with its onset volume, column, and whether it is inside
-    the run and the only use of its column in that run."""
+    the run and the only use of its column in that run. Uses are counted over runs and columns, which hold a few rows each;
+    these are dealt out anew, so that a task never sorts for the count and for the join before it."""
     j = trials.join(conditions.drop("n_presentations", "first_seen"), condition).join(volumes.select(run, "n_volumes"), run)
     vol = rint_long(F.col("onset") / tr)
     if chunked:
         vol = vol + CHUNK_VOLUMES * F.col("chunk_idx")
     j = j.withColumn("onset_vol", vol).withColumn("inside", (F.col("onset_vol") >= 0) & (F.col("onset_vol") < F.col("n_volumes")))
-    used = j.groupBy(run, "col_index").agg(F.count("*").alias("_u"))
-    return j.join(used, [run, "col_index"]).withColumn("unique_in_run", F.col("_u") == 1).drop("_u")
+    used = F.count("*").over(Window.partitionBy(run, "col_index"))
+    return j.repartition(run, "col_index").withColumn("unique_in_run", used == 1)
 
 
 def spike_regressors(volumes: DataFrame, run, volume: str, fd: str, threshold: float) -> DataFrame:

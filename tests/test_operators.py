@@ -446,3 +446,12 @@ def test_nearest_cosine_over_tiles(spark, relation):
     for rows in (None, 2500):
         got = features.nearest_cosine(d, d, "id", "u", None if relation == "any" else "item", relation, rows).toPandas().sort_values("id")
         assert len(got) == 2500 and np.allclose(got.nn_cosine, c.max(axis=1))
+
+
+def test_design_rows_count_uses_without_a_second_join(spark):
+    trials = spark.createDataFrame([("r", "a", 0.0), ("r", "a", 3.0), ("r", "b", 60.0), ("s", "a", -3.0), (None, "a", 0.0)], "run string, condition string, onset double")
+    conditions = spark.createDataFrame([("a", 0, 2, 4), ("b", 1, 1, 9)], "condition string, col_index long, n_presentations long, first_seen long")
+    volumes = spark.createDataFrame([("r", 40), ("s", 40)], "run string, n_volumes long")
+    got = registry.design_rows(trials, conditions, "condition", volumes, "run", 1.5)
+    assert rows(got, "run", "col_index", "onset_vol", "inside", "unique_in_run") == [("r", 0, 0, True, False), ("r", 0, 2, True, False), ("r", 1, 40, False, True), ("s", 0, -2, False, True)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
