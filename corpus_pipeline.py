@@ -12,7 +12,8 @@ from mnemoframe.llm import bpe, decontaminate, near_texts, pii, toxicity
 from mnemoframe.llm.common import written
 
 TOXIC = 0.3
-# Near duplicates: distinct shingles of five words with a Jaccard index of 0.8 or more.
+# Near duplicates: SimHash fingerprints within two bits, as op4 links them, or distinct shingles of five words with a Jaccard index of
+# 0.8 or more.
 NEAR = {"width": 5, "tenths": 8}
 TOKENIZER = "word_bpe_49k.json"
 

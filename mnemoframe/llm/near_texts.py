@@ -1,6 +1,11 @@
-"""Near duplicates by the exact Jaccard index of word shingles.
+"""Near duplicates by SimHash fingerprints and by the exact Jaccard index of word shingles.
 
-Candidates come from MinHash bands: a pair at the index j shares one of BANDS keys with probability
+Two texts belong together if their fingerprints, those of simhash.py, differ in at most two bits, or if the index of their sets of
+shingles is high enough. Links of both kinds are joined into components at once, so that no link is lost over a row that only
+one kind finds. Fingerprints that close are near an index of 1, or of texts in which repeats of one passage prevail;
+the index reaches further down.
+
+Links of fingerprints are found by simhash.links, exactly. For the index, candidates come from MinHash bands: a pair at the index j shares one of BANDS keys with probability
 1 - (1 - j ** ROWS) ** BANDS, which is 0.9993 at 0.8 and does not depend on the number of texts. Keys are 64-bit hashes
 of ROWS minima, so unrelated texts do not meet by chance however many there are. Texts with equal sets of shingles
 are folded into one node before.
@@ -26,12 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import text_of, written
 from .components import connected
-from .simhash import named_groups, one_of_each, shingle_hashes
+from .simhash import fingerprint, links as print_links, named_groups, one_of_each, shingle_hashes
 
 ROWS = 6
 BANDS = 24
 CHUNK = 32
 WIDE = 512
+PRINTED = 3  # words of a shingle of the fingerprints
 # the least product of the hashes with an odd number is one minimum
 ODD = np.random.default_rng(5).integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -48,19 +54,30 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, width: int, text: str) -> DataFrame:
-    """docs with node, a hash of the set of shingles, and keys."""
-    kind = pa.struct([("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """docs with node, a hash of the set of shingles, keys, and print, the fingerprint."""
+    kind = pa.struct([("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("print", pa.int64())])
 
     def batch(texts: pa.Array) -> pa.Array:
-        nodes, keys = np.empty(len(texts), np.uint64), []
+        nodes, keys, prints = np.empty(len(texts), np.uint64), [], []
         for i, t in enumerate(texts):
-            hashes = np.unique(shingle_hashes(t.as_py() or "", width))
+            own = t.as_py() or ""
+            hashes = np.unique(shingle_hashes(own, width))
             nodes[i] = xxhash.xxh64_intdigest(hashes.tobytes())
             keys.append(band_keys(hashes))
-        return pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], fields=list(kind))
+            prints.append(fingerprint(own, PRINTED))
+        return pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())], fields=list(kind))
+
+    found = docs.withColumn("_found", F.arrow_udf(batch, "node bigint, keys array<bigint>, print bigint")(text_of(text)))
+    return found.withColumns({"node": F.col("_found.node"), "keys": F.col("_found.keys"), "print": F.col("_found.print")}).drop("_found")
+
 
-    found = docs.withColumn("_found", F.arrow_udf(batch, "node bigint, keys array<bigint>")(text_of(text)))
-    return found.withColumns({"node": F.col("_found.node"), "keys": F.col("_found.keys")}).drop("_found")
+def alike(prints: DataFrame) -> DataFrame:
+    """(a, b) node pairs that connect the nodes of each component of fingerprints. prints: (node, print)."""
+    own = prints.select("node", "print").distinct()
+    roots = connected(print_links(own.select(F.col("print").alias("node")).distinct()))
+    named = written(own.join(roots.withColumnRenamed("node", "print"), "print", "left").select("node", F.coalesce("root", "print").alias("root")).distinct(), "alike")
+    several = named.groupBy("root").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
+    return named.join(several, "root").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
 
 
 def forest(sets: list[np.ndarray], tenths: int) -> list[tuple[int, int]]:
@@ -143,12 +160,14 @@ def links(nodes: DataFrame, texts: DataFrame, width: int, tenths: int, chunk: in
 def grouped(docs: DataFrame, width: int = 5, tenths: int = 8, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK, wide: int = WIDE) -> DataFrame:
     """(id, row, fingerprint, component_id) of every row, as simhash.grouped.
 
-    component_id is the smallest id reachable over links of a Jaccard index of at least tenths / 10, a row's own included.
+    component_id is the smallest id reachable over links of fingerprints or of a Jaccard index of at least tenths / 10, a row's own
+    included.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    prints = written(sketched(rows, width, "text").select("id", "row", "node", "keys"), "prints")
+    prints = written(sketched(rows, width, "text").select("id", "row", "node", "keys", "print"), "prints")
     nodes = prints.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("keys").alias("keys"))
-    roots = connected(links(nodes, rows.select("row", "text"), width, tenths, chunk, wide))
+    near = links(nodes, rows.select("row", "text"), width, tenths, chunk, wide)
+    roots = connected(near.unionAll(alike(prints)))
     return named_groups(prints.select("id", "row", F.array("node").alias("fingerprint"), "node"), nodes, roots)
 
 

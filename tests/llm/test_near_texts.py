@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from mnemoframe.llm import near_texts
+from mnemoframe.llm import near_texts, simhash
 
 
 def shingles(text):
@@ -72,3 +72,27 @@ def test_border_of_the_index(spark):
     linked = [got[2 * i + 1] == 2 * i for i in range(80)]
     assert 20 <= sum(above) <= 60 and not any(x and not y for x, y in zip(linked, above))
     assert sum(linked) >= sum(above) - 1
+
+
+def test_pipeline_links_what_simhash_links(spark):
+    """Repeats of one passage prevail in the fingerprints, while the sets of shingles have an index below 0.8."""
+    draw = random.Random(13)
+    line = " ".join(words(draw, 13))
+    tails = [" ".join(words(draw, 25)) for _ in range(2)]
+    alike = [" ".join([line] * 300 + [tail]) for tail in tails]
+    reach = " ".join([line] * 300 + [tails[1] + " end"])  # near the second one, by either kind of link
+    texts = [*alike, reach, *[" ".join(words(draw, 60)) for _ in range(5)], "", None]
+    assert index(*alike) < 0.8 <= index(alike[1], reach)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    by_print = {r.id: r.component_id for r in simhash.grouped(docs).collect()}
+    assert by_print[1] == 0
+    got = {r.id: r.component_id for r in near_texts.grouped(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 8}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {0, 3, 4, 5, 6, 7, 8}
+
+
+def test_links_of_both_kinds_are_joined(spark):
+    """The stage's groups hold each group of fingerprints as a whole, on the small table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    own = {r.id: r.component_id for r in near_texts.grouped(docs).collect()}
+    assert all(own[r.id] == own[r.component_id] for r in simhash.grouped(docs).collect())
