@@ -30,6 +30,7 @@ from .common import forget, text_of, written
 SHORT = 40
 LONG = 64
 KEPT = 1 << 17
+NONE = 1 << 40
 # Letters and numbers that Unicode 14 to 16 added, for JVMs with an older table.
 NEW_LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3
 A7D5-A7DC A7F2-A7F4 10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC
@@ -136,6 +137,34 @@ def all_joined(find: Find, s: Column, data: Column) -> Column:
     return let(cuts, lambda c: state(c, F.transform(c, lambda x, i: pair(find, c, data, i))))
 
 
+def entry(find: Find, data: Column, left: Column, inner: Column, right: Column) -> Column:
+    """A pair as one long: its rank, NONE where it has none, and its three cuts, counted from 0."""
+    rank = F.coalesce(find(F.substring(data, (left + 1).cast("int"), (right - left).cast("int"))).cast("long"), F.lit(NONE))
+    return F.shiftleft(rank, 18) + F.shiftleft(left.cast("long"), 12) + F.shiftleft(inner.cast("long"), 6) + right
+
+
+def cut(e: Column, place: int) -> Column:
+    return F.shiftright(e, place).bitwiseAND(F.lit(63).cast("long"))
+
+
+def short_folded(find: Find, data: Column) -> Column:
+    """Twice the ids of a word of 2 to SHORT bytes. The least entry is the first lowest pair; its neighbours are told by their inner
+    cuts, so a step looks for no place and cuts no list apart."""
+    n = F.octet_length(data)
+    start = F.transform(F.sequence(F.lit(0), n - 2), lambda i: entry(find, data, i, i + 1, i + 2))
+
+    def joined(pairs: Column, low: Column, left: Column, right: Column) -> Column:
+        new = lambda e, inner: F.when(inner == left, entry(find, data, cut(e, 12), left, right)).when(inner == right, entry(find, data, left, right, cut(e, 0))).otherwise(e)
+        return F.transform(F.array_remove(pairs, low), lambda e: let(cut(e, 6), lambda inner: new(e, inner)))
+
+    def step(pairs: Column) -> Column:
+        return let(F.array_min(pairs), lambda low: F.when(low < F.lit(NONE << 18), let(cut(low, 12), lambda left: let(cut(low, 0), lambda right: joined(pairs, low, left, right)))).otherwise(pairs))
+
+    token = lambda left, right: find(F.substring(data, (left + 1).cast("int"), (right - left).cast("int")))
+    tokens = lambda pairs: F.concat(F.array(token(cut(F.get(pairs, F.lit(0)), 12), cut(F.get(pairs, F.lit(0)), 6))), F.transform(pairs, lambda e: token(cut(e, 6), cut(e, 0))))
+    return F.aggregate(F.sequence(F.lit(2), n), start, lambda pairs, _: step(pairs), tokens)
+
+
 def folded(find: Find, data: Column) -> Column:
     """Ids of the bytes of one word. A word that is a token itself is that token."""
     n = F.octet_length(data)
@@ -143,6 +172,7 @@ def folded(find: Find, data: Column) -> Column:
     step = lambda s: F.when((F.size(s.cuts) > SHORT) & (F.shiftright(s.low, 32).bitwiseAND(F.lit(1)) == 0), all_joined(find, s, data)).otherwise(one_joined(find, s, data))
     end = F.aggregate(F.sequence(F.lit(1), n), start, lambda s, _: F.when(s.low.isNull(), s).otherwise(step(s)), lambda s: s.cuts)
     ids = let(end, lambda cuts: F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda c, i: find(F.substring(data, c, F.get(cuts, i + 1) - c))))
+    ids = F.when((n > 1) & (n <= SHORT), short_folded(find, data)).otherwise(ids)
     return F.transform(let(find(data), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(ids)), lambda r: F.shiftright(r, 1))
 
 

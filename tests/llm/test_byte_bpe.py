@@ -52,3 +52,19 @@ def test_a_key_is_found_at_its_place_only(spark):
     found = byte_bpe.LiteralMap({f"w{i}": i for i in range(5000)}, "int", "string")
     got = spark.range(6000).select("id", found.bound(lambda find: find(F.concat(F.lit("w"), F.col("id").cast("string")))).alias("v")).collect()
     assert all(r.v == (r.id if r.id < 5000 else None) for r in got)
+
+
+def test_short_words_equal_the_library(spark):
+    """Words around the bound of the short fold, by that fold alone where it applies."""
+    draw = random.Random(6)
+    pool = ["a", "b", "e", "the", "ing", "tion", "é", "漢", "1", "!", " ", "\n"]
+    own = sorted({"".join(draw.choice(pool) for _ in range(draw.randint(1, 16))) for _ in range(1500)} | {"aab" * k for k in range(1, 20)} | {"a" * k for k in range(1, 60)})
+    short = [w for w in own if 2 <= len(w.encode()) <= byte_bpe.SHORT]
+    ranks, rank_of = byte_bpe.rank_map(PATH), byte_bpe.ranks_of(PATH)
+    words = spark.createDataFrame([(w,) for w in short], "word string").repartition(6)
+    whole = byte_bpe.folded
+    for r in words.select("word", ranks.bound(lambda find: whole(find, F.encode("word", "UTF-8"))).alias("ids")).collect():
+        assert r.ids == LIBRARY._encode_single_piece(r.word.encode()), r.word
+    some = words.where(~F.col("word").isin([w for w in short if w.encode() in rank_of]))
+    for r in some.select("word", ranks.bound(lambda find: byte_bpe.short_folded(find, F.encode("word", "UTF-8"))).alias("ids")).collect():
+        assert [i >> 1 for i in r.ids] == LIBRARY._encode_single_piece(r.word.encode()), r.word
