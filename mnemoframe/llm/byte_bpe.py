@@ -21,15 +21,20 @@ import base64
 import json
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, text_of, written
+from .common import forget, text_of, unused, written
 
 SHORT = 40
 LONG = 64
-KEPT = 1 << 17
+KEPT = 1 << 19
+HOT = 1 << 14
+PROBES = 3
+PROBE_BITS = 21
 NONE = 1 << 40
 # Letters and numbers that Unicode 14 to 16 added, for JVMs with an older table.
 NEW_LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3
@@ -183,8 +188,49 @@ def rank_map(path: str) -> LiteralMap:
     return LiteralMap({piece: rank << 1 | (piece in lower) for piece, rank in ranks.items()}, "int", "binary")
 
 
-def frequent(words: DataFrame, ranks: LiteralMap, kept: int) -> dict[str, list[int]]:
-    """Ids of the words of a column `word` that occur most often, at most `kept` of them."""
+class KnownWords:
+    """Ids of frequent words in one row of flat arrays, which a scalar subquery hands to the tasks as bytes. The hash of a word names
+    its possible places; more frequent words, which come first, have the earlier ones, and one that finds all taken is left out. The HOT
+    first words are asked for in a small table before the large one, as it stays in the processor's cache."""
+
+    def __init__(self, spark: SparkSession, rows: pa.Table):
+        hashes, order = rows["hash"].to_numpy(), np.argsort(-rows["n"].to_numpy(), kind="stable").astype(np.int32)
+        columns, self.parts = {}, []  # (number, places, probes) of each table
+        for i, (own, probes) in enumerate(((order[:HOT], 1), (order, PROBES))):
+            at = self._placed(hashes[own], probes)
+            numbers = pa.array(own[at], mask=at < 0)
+            for name in ("word", "ids"):
+                columns[f"{name}{i}"] = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.concat_arrays(rows[name].take(numbers).chunks))
+            self.parts.append((i, len(at), probes))
+        row = spark.createDataFrame(pa.table(columns), "word0 array<string>, ids0 array<array<int>>, word1 array<string>, ids1 array<array<int>>")
+        self.table = written(row.select(F.struct(*row.columns).alias("table")), "known").scalar()  # a plan that held the row would hold copies of it
+        del columns, row
+        pa.default_memory_pool().release_unused()
+
+    @staticmethod
+    def _placed(hashes: np.ndarray, probes: int) -> np.ndarray:
+        """The number of the word at each place, -1 where there is none."""
+        left, at = np.arange(len(hashes)), np.full(1 << max(1, 2 * len(hashes) - 1).bit_length(), -1, np.int32)
+        for k in range(probes):
+            spot, first = np.unique(hashes[left] >> k * PROBE_BITS & len(at) - 1, return_index=True)
+            free = at[spot] < 0
+            at[spot[free]] = left[first[free]]
+            left = np.delete(left, first[free])
+        return at
+
+    def joined(self, df: DataFrame, name: str, body: Callable[[Callable[[Column], Column]], Column]) -> DataFrame:
+        """df with a column body(look); look gives the ids of a word, a lambda's variable, or null. The subquery stands in a column
+        of its own, as it may not be written inside a higher-order function; used once, it is moved there by the optimizer."""
+        def probe(table: Column, word: Column, h: Column, part: int, places: int, k: int) -> Column:
+            at = (F.shiftright(h, k * PROBE_BITS) if k else h).bitwiseAND(F.lit(places - 1)).cast("int")
+            return F.when(F.get(table[f"word{part}"], at) == word, F.get(table[f"ids{part}"], at))
+        look = lambda table, word: let(F.xxhash64(word), lambda h: F.coalesce(*[probe(table, word, h, part, places, k) for part, places, probes in self.parts for k in range(probes)]))
+        held = unused(df, "held")
+        return df.withColumn(held, self.table).withColumn(name, let(F.col(held), lambda table: body(lambda word: look(table, word)))).drop(held)
+
+
+def frequent(words: DataFrame, ranks: LiteralMap, kept: int) -> KnownWords | None:
+    """Ids of the words of a column `word` that occur most often, at most `kept` of them; None if there are none."""
     counts = written(words.where(F.octet_length("word") <= LONG).groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "words")
     level = F.floor(F.log2("n") * 16).cast("int")
     least, total = None, 0
@@ -194,9 +240,9 @@ def frequent(words: DataFrame, ranks: LiteralMap, kept: int) -> dict[str, list[i
             break
         least = r.level
     ids = ranks.bound(lambda find: folded(find, F.encode("word", "UTF-8"))).alias("ids")
-    rows = None if least is None else counts.where(level >= least).select("word", ids).toArrow()
+    rows = None if least is None else counts.where(level >= least).select("word", ids, F.xxhash64("word").alias("hash"), "n").toArrow()
     forget(counts)
-    return dict(zip(rows["word"].to_pylist(), rows["ids"].to_pylist())) if rows else {}
+    return KnownWords(words.sparkSession, rows) if rows else None
 
 
 def words_of(text: str, pattern: str) -> Column:
@@ -206,12 +252,14 @@ def words_of(text: str, pattern: str) -> Column:
 def encoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "text", kept: int = KEPT) -> DataFrame:
     """docs with a column of token ids."""
     ranks = rank_map(path)
-    known = LiteralMap(frequent(docs.select(F.explode(words_of(text, pattern)).alias("word")), ranks, kept), "array<int>", "string")
+    known = frequent(docs.select(F.explode(words_of(text, pattern)).alias("word")), ranks, kept)
 
-    def each(find: Find, look: Find) -> Column:
-        return F.transform(words_of(text, pattern), lambda w: F.coalesce(look(w), let(F.encode(w, "UTF-8"), lambda data: folded(find, data))))
+    def each(find: Find, look: Find | None) -> Column:
+        fold = lambda w: let(F.encode(w, "UTF-8"), lambda data: folded(find, data))
+        return F.transform(words_of(text, pattern), lambda w: F.coalesce(look(w), fold(w)) if look else fold(w))
 
-    return docs.withColumn(ids, F.flatten(ranks.bound(lambda find: known.bound(lambda look: each(find, look)))))
+    whole = lambda look: F.flatten(ranks.bound(lambda find: each(find, look)))
+    return known.joined(docs, ids, whole) if known else docs.withColumn(ids, whole(None))
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:

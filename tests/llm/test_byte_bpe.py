@@ -4,7 +4,9 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from mnemoframe.llm import byte_bpe, queries
@@ -68,3 +70,24 @@ def test_short_words_equal_the_library(spark):
     some = words.where(~F.col("word").isin([w for w in short if w.encode() in rank_of]))
     for r in some.select("word", ranks.bound(lambda find: byte_bpe.short_folded(find, F.encode("word", "UTF-8"))).alias("ids")).collect():
         assert [i >> 1 for i in r.ids] == LIBRARY._encode_single_piece(r.word.encode()), r.word
+
+
+def test_frequent_words_reach_the_tasks_by_a_subquery(spark):
+    """No word is a literal of the plan; a word gets its own ids or none, and few get none."""
+    rows = pa.table({"word": [f"w{i}é" for i in range(20000)], "ids": pa.array([[i, i + 1][:1 + i % 2] for i in range(20000)], pa.list_(pa.int32())), "n": range(20000, 0, -1),
+                     "hash": pa.array([xxhash.xxh64_intdigest(f"w{i}é", seed=42) for i in range(20000)], pa.uint64()).view(pa.int64())})
+    words = spark.range(30000).select("id", F.array(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("é")), F.lit("?")).alias("own"))
+    found = byte_bpe.KnownWords(spark, rows).joined(words, "found", lambda look: F.transform("own", look))
+    assert "w19999" not in found._jdf.queryExecution().toString()
+    got = {r.id: r.found for r in found.collect()}
+    assert all(v[1] is None and v[0] in ([i, i + 1][:1 + i % 2], None)[i >= 20000:] for i, v in got.items())
+    assert sum(got[i][0] is not None for i in range(10000)) > 9900 and sum(v[0] is not None for v in got.values()) > 18000
+
+
+def test_words_left_out_of_the_table_are_folded(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "HOT", 4)
+    monkeypatch.setattr(byte_bpe, "PROBES", 1)
+    own = [" ".join(f"zq{i}xk theoninghees{i % 7}" for i in range(k, k + 60)) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").withColumn("held", F.lit("kept"))
+    for r in byte_bpe.encoded(docs, PATH, P.PATTERN).collect():
+        assert r.ids == LIBRARY.encode_ordinary(own[r.doc_id]) and r.held == "kept"
