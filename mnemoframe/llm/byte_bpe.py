@@ -31,7 +31,7 @@ from .common import forget, text_of, unused, written
 
 SHORT = 40
 LONG = 64
-KEPT = 1 << 19
+KEPT = 1 << 18
 HOT = 1 << 14
 PROBES = 3
 PROBE_BITS = 21
