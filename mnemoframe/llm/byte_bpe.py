@@ -6,7 +6,7 @@ bytes; a step of a fold over that list takes away the cut of the lowest pair. Ra
 key by its hash, so that a lookup compares one key.
 
 Distinct words are counted over all texts; the most frequent ones, at most `kept` of up to LONG bytes each, are encoded once and
-become a second literal map. Every other word is folded where it stands, so the bound of the map decides the work only.
+become a table of flat arrays. Every other word is folded where it stands, so the bound of the table decides the work only.
 
 In a list of over SHORT cuts all places of the lowest pair are joined in one step. That equals one place after the other
 unless the joined token is part of one with a lower rank; such tokens are marked in the map and joined place by place.
