@@ -1,8 +1,9 @@
 """Array-column helpers and the blocked pair kernel.
 
 Mean correlations over sets of pairs need no pairs: with centred unit vectors u, the sum of r over A x B is
-(sum of u over A) . (sum of u over B), component by component. Only statistics that are not sums (a nearest neighbour, pairwise
-complete voxels) go through blocks of bounded size, which send rows, never pairs, through the shuffle.
+(sum of u over A) . (sum of u over B), component by component. With missing components the same holds for the rows of two patterns
+of missing ones, over what both have; few patterns are therefore summed too. Only statistics that are not sums (a nearest neighbour)
+and tables with about as many patterns as rows go through blocks of bounded size, which send rows, never pairs, through the shuffle.
 """
 
 from __future__ import annotations
@@ -151,8 +152,75 @@ def cell_sums(df: DataFrame, key: str, vec: str, cell: str, n_blocks: int) -> Da
         ha, hb = np.eye(len(la))[ia], np.eye(len(lb))[ib]
         cnt, sr, sn = (ha.T @ np.where(ok, m, 0.0) @ hb for m in (np.ones_like(r), r, n))
         i, j = np.nonzero(cnt)
-        return pd.DataFrame({"cell_a": np.minimum(la[i], lb[j]), "cell_b": np.maximum(la[i], lb[j]), "n_pairs": cnt[i, j].astype("int64"),
-                             "sum_r": sr[i, j], "sum_n": sn[i, j]})
+        return pd.DataFrame({"cell_a": la[i], "cell_b": lb[j], "n_pairs": cnt[i, j].astype("int64"), "sum_r": sr[i, j], "sum_n": sn[i, j]})
 
-    return block_pairs(df, key, n_blocks, reduce, schema, vec, cell).groupBy("cell_a", "cell_b").agg(
+    pairs = block_pairs(df.where(F.col(vec).isNotNull()), key, n_blocks, reduce, schema, vec, cell)
+    return pairs.groupBy(F.least("cell_a", "cell_b").alias("cell_a"), F.greatest("cell_a", "cell_b").alias("cell_b")).agg(
         F.sum("n_pairs").alias("n_pairs"), (F.sum("sum_r") / F.sum("n_pairs")).alias("mean_r"), (F.sum("sum_n") / F.sum("n_pairs")).alias("mean_n"))
+
+
+# Patterns of missing components that may reach the driver; rows per sum from which on sums are less work than pairs.
+PATTERNS = 1024
+ROWS_PER_SUM = 8
+
+
+def pattern(vec: str) -> Column:
+    """The components that a vector has, as a text of 1 and 0."""
+    finite = lambda x: F.abs(x.cast("double")) < F.lit(float("inf"))
+    return F.array_join(F.transform(vec, lambda x: F.when(finite(x), "1").otherwise("0")), "")
+
+
+def few_patterns(df: DataFrame, vec: str, cell: str) -> list[str] | None:
+    """The patterns of a table; None if they and their cells are too many to be worth a sum each."""
+    groups = df.where(F.col(vec).isNotNull()).groupBy(pattern(vec).alias("pattern"), cell).agg(F.count("*").alias("n"))
+    found = groups.groupBy("pattern").agg(F.count("*").alias("cells"), F.sum("n").alias("n")).limit(PATTERNS + 1).collect()
+    sums = len(found) * sum(r.cells for r in found)
+    return [r.pattern for r in found] if len(found) <= PATTERNS and sums * ROWS_PER_SUM <= sum(r.n for r in found) else None
+
+
+def pattern_cell_sums(df: DataFrame, vec: str, cell: str, patterns: list[str]) -> DataFrame:
+    """`cell_sums` without pairs. The rows of a pattern p become unit vectors over the components that a
+    pattern q has too, for each q; their sum in a cell, times the sum of the rows of q over those of p in another, adds up the r of
+    all pairs of the two. Work grows with the rows times the patterns."""
+    number = {p: i for i, p in enumerate(patterns)}
+    dim = max(map(len, patterns), default=0)
+    has = [np.array(list(p.ljust(dim, "0"))) == "1" for p in patterns]
+
+    def unit(x):
+        """Rows centred and of length 1; zeros for a constant row."""
+        varies = x.max(axis=1) > x.min(axis=1)
+        x = x - x.mean(axis=1, keepdims=True)
+        x /= np.where(varies, np.abs(x).max(axis=1), 1.0)[:, None]
+        return np.where(varies[:, None], x / np.where(varies, np.linalg.norm(x, axis=1), 1.0)[:, None], 0.0), varies
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for own, rows in pdf.groupby("_pattern"):
+                p, rows = number[own], rows.sort_values(cell)
+                x = np.vstack(rows[vec].to_numpy()).astype("float64")
+                cells, first = np.unique(rows[cell].to_numpy(), return_index=True)
+                found = []
+                for q, other in enumerate(has):
+                    both = np.flatnonzero(has[p] & other)
+                    if len(both) >= 3:
+                        u, varies = unit(x[:, both])
+                        total = np.zeros((len(cells), 1 + dim))  # number of rows, sum of their vectors
+                        total[:, 0] = np.add.reduceat(varies.astype("float64"), first)
+                        total[:, 1 + both] = np.add.reduceat(u, first)
+                        found.append(pd.DataFrame({"p": p, "q": q, "joint": len(both), "cell": cells, "total": list(total)}))
+                if found:
+                    yield pd.concat(found)
+
+    x = df.where(F.col(vec).isNotNull()).select(F.col(cell).cast("long").alias(cell), vec, pattern(vec).alias("_pattern"))
+    x = x.mapInPandas(sums, "p int, q int, joint int, cell long, total array<double>")
+    x = x.select("p", "q", "joint", "cell", F.posexplode("total").alias("pos", "v")).groupBy("p", "q", "joint", "cell", "pos").agg(F.sum("v").alias("v"))
+    left = x.select("p", "q", "pos", "joint", F.col("cell").alias("_a"), F.col("v").alias("_va"))
+    right = x.select(F.col("q").alias("p"), F.col("p").alias("q"), "pos", F.col("cell").alias("_b"), F.col("v").alias("_vb"))
+    # Each pair of rows is met from both sides, and each row meets itself, with r = 1.
+    itself = F.when((F.col("p") == F.col("q")) & F.col("_a").eqNullSafe(F.col("_b")), F.col("_va")).otherwise(0.0)
+    product, counts = F.col("_va") * F.col("_vb"), F.col("pos") == 0
+    n = F.when(counts, product - itself).otherwise(0.0)
+    g = left.join(right, ["p", "q", "pos"]).groupBy(F.least("_a", "_b").alias("cell_a"), F.greatest("_a", "_b").alias("cell_b")).agg(
+        F.sum(n).alias("_n"), F.sum(F.when(counts, -itself).otherwise(product)).alias("_r"), F.sum(n * F.col("joint")).alias("_joint"))
+    return g.where("_n > 0").select("cell_a", "cell_b", (F.col("_n") / 2).cast("long").alias("n_pairs"), (F.col("_r") / F.col("_n")).alias("mean_r"),
+                                    (F.col("_joint") / F.col("_n")).alias("mean_n"))

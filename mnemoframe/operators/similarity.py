@@ -14,7 +14,7 @@ from ..functions.core import div, draw, r_agg, two_sided_p_sql, with_group_stats
 from ..functions.gram import pair_correlations
 from ..functions.quantiles import exact_quantiles
 from ..functions.scan import id_block, ordered_neighbours, row_index, running_total
-from ..functions.vectors import block_count, cell_sums, complete_vectors, explode_unit, pearson_complete, rows_and_dim, with_scale
+from ..functions.vectors import block_count, cell_sums, complete_vectors, explode_unit, few_patterns, pattern_cell_sums, pearson_complete, rows_and_dim, with_scale
 from ..functions.statistics import signed_rank_table
 from .series import mid_ranks
 
@@ -30,8 +30,12 @@ def matched_r(a: DataFrame, b: DataFrame, key: str, vec: str = "vec") -> DataFra
 
 
 def pairwise_cells(df: DataFrame, key: str, vec: str, cell: str, n_blocks: int | None = None) -> DataFrame:
-    """Mean r over all pairs of rows by pair of cells, pairwise complete. Work is quadratic by nature; it runs as
-    block products, and only cell sums leave a block. Use the sums in `item_cells` where nothing is missing."""
+    """Mean r over all pairs of rows by pair of cells, pairwise complete. Rows that miss the same components are summed, so work is linear
+    in the rows. Where about as many patterns are missing as there are rows, or n_blocks is given, the pairs run as block products,
+    and only cell sums leave a block. Use the sums in `item_cells` where nothing is missing."""
+    patterns = None if n_blocks else few_patterns(df, vec, cell)
+    if patterns is not None:
+        return pattern_cell_sums(df, vec, cell, patterns)
     return cell_sums(df, key, vec, cell, n_blocks or block_count(*rows_and_dim(df, vec)))
 
 

@@ -206,6 +206,43 @@ def test_cell_sums_over_tiles(spark):
     assert len(got) == 6
 
 
+def test_rows_that_miss_the_same_components_are_summed(spark, monkeypatch):
+    """Every r of two rows is in the mean of its cells, and no pair of rows is formed where few patterns are missing."""
+    from mnemoframe.operators.similarity import pairwise_cells
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(700, 9)) + rng.integers(0, 2, size=(700, 1)) * 1e6
+    m[:200] = np.round(m[:200])
+    m[40:60, 2:] = 0.1  # constant where the first two are missing
+    for i in range(700):
+        m[i, [[], [0, 1], [3], [2, 3, 4, 5, 6, 7]][i % 4]] = np.nan
+    m[5:9] = np.nan
+    cell = [None if i % 50 == 0 else i % 3 for i in range(700)]
+    rows = [(i, [None if np.isnan(v) and i % 3 else float(v) for v in r], c) for i, (r, c) in enumerate(zip(m, cell))] + [(700, None, 1)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, cell long").repartition(5)
+    want = {}
+    for i in range(700):
+        for j in range(i + 1, 700):
+            ok = np.isfinite(m[i]) & np.isfinite(m[j])
+            if ok.sum() >= 3 and np.ptp(m[i][ok]) and np.ptp(m[j][ok]):
+                a, b = m[i][ok] - m[i][ok].mean(), m[j][ok] - m[j][ok].mean()
+                own = [c for c in (cell[i], cell[j]) if c is not None] or [None]
+                want.setdefault((min(own), max(own)) if own[0] is not None else (None, None), []).append((a @ b / np.sqrt(a @ a * (b @ b)), ok.sum()))
+    blocks = {(r.cell_a, r.cell_b): r for r in pairwise_cells(df, "id", "vec", "cell", n_blocks=2).collect()}
+    monkeypatch.setattr(vectors, "block_pairs", None)
+    got = {(r.cell_a, r.cell_b): r for r in pairwise_cells(df, "id", "vec", "cell").collect()}
+    for found in (blocks, got):
+        assert {k: r.n_pairs for k, r in found.items()} == {k: len(v) for k, v in want.items()}
+        assert all(np.allclose([r.mean_r, r.mean_n], np.mean(want[k], axis=0), atol=1e-9) for k, r in found.items())
+
+
+def test_as_many_patterns_as_rows_go_through_blocks(spark):
+    m = np.random.default_rng(9).normal(size=(64, 40))
+    rows = [(i, [None if i >> k & 1 else float(v) for k, v in enumerate(r)], 0) for i, r in enumerate(m)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, cell long")
+    assert vectors.few_patterns(df, "vec", "cell") is None
+    assert vectors.few_patterns(df.select("cell", F.slice("vec", 7, 34).alias("vec")), "vec", "cell") == ["1" * 34]
+
+
 def test_rows_are_not_dealt_out_by_a_declared_list(spark):
     """Three metrics must not make three tasks that read all rows: only the join of the two summaries is by metric."""
     from mnemoframe.operators import qc
