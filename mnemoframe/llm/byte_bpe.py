@@ -2,11 +2,11 @@
 
 A rank file gives a rank to byte strings; within each match of a pattern the neighbours whose joined bytes have the lowest
 rank are joined, the leftmost first, until no joined pair has a rank. Here a word is the list of its cuts, positions in its
-bytes; a step of a fold over that list takes away the cut of the lowest pair. Ranks stand in a literal map with a place for each
-key by its hash, so that a lookup compares one key.
+bytes; a step of a fold over that list takes away the cut of the lowest pair. Ranks stand in a literal array of small maps, of which
+the hash of a key names one.
 
 Distinct words are counted over all texts; the most frequent ones, at most `kept` of up to LONG bytes each, are encoded once and
-become a table of flat arrays. Every other word is folded where it stands, so the bound of the table decides the work only.
+become a row of such maps. Every other word is folded where it stands, so the bound of the table decides the work only.
 
 In a list of over SHORT cuts all places of the lowest pair are joined in one step. That equals one place after the other
 unless the joined token is part of one with a lower rank; such tokens are marked in the map and joined place by place.
@@ -21,7 +21,6 @@ import base64
 import json
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +33,6 @@ LONG = 64
 KEPT = 1 << 18
 HOT = 1 << 14
 PROBES = 3
-PROBE_BITS = 21
 NONE = 1 << 40
 # Letters and numbers that Unicode 14 to 16 added, for JVMs with an older table.
 NEW_LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3
@@ -67,49 +65,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 class LiteralMap:
-    """A literal map from byte strings without collisions: the hash of a key names a group, the group's shift and the hash name the
-    one place the key can stand at. Flat arrays, as a literal travels with every task."""
+    """A literal map from byte strings: an array of small maps, as Spark looks through all keys of one. The hash of a key names its map;
+    bytes stand as hexadecimal digits, as from_json has text keys only."""
 
     def __init__(self, entries: dict[str, object] | dict[bytes, object], kind: str, key: str):
-        keys, text = list(entries), key == "string"
-        hashes = [xxhash.xxh64_intdigest(k, seed=42) for k in keys]
-        self.groups, self.places = 1 << (len(keys) // 3).bit_length(), 1 << max(1, len(keys) + len(keys) // 4).bit_length()
-        for self.skip in range(20, 46):
-            shift, place = self._placed([h & self.groups - 1 for h in hashes], [h >> self.skip & self.places - 1 for h in hashes])
-            if len(place) == len(keys):
-                break
-        else:
-            raise ValueError("keys that no part of the hash tells apart")
-        held: list[str] = [""] * self.places
-        values: list[object] = [None] * self.places
-        for k, at in ((k, place[i]) for i, k in enumerate(keys)):
-            held[at], values[at] = k if text else base64.b64encode(k).decode(), entries[k]
-        table = json.dumps({"shift": shift, "keys": held, "values": values})
-        self.table = F.from_json(F.lit(table), f"struct<shift:array<bigint>,keys:array<{key}>,values:array<{kind}>>")
-
-    def _placed(self, group: list[int], spot: list[int]) -> tuple[list[int], dict[int, int]]:
-        """The shift of each group and the place of each key, or of fewer keys where two of one group have one spot."""
-        groups: dict[int, list[int]] = {}
-        for i, g in enumerate(group):
-            groups.setdefault(g, []).append(i)
-        shift, place, taken = [0] * self.groups, {}, bytearray(self.places)
-        for g, own in sorted(groups.items(), key=lambda x: -len(x[1])):
-            if len({spot[i] for i in own}) < len(own):
-                break
-            shift[g] = next(s for s in range(self.places) if not any(taken[spot[i] ^ s] for i in own))
-            for i in own:
-                place[i] = spot[i] ^ shift[g]
-                taken[place[i]] = 1
-        return shift, place
+        self.text, self.places = key == "string", 1 << max(1, len(entries) // 2).bit_length()
+        maps: list[dict[str, object]] = [{} for _ in range(self.places)]
+        for k, value in entries.items():
+            name = k if self.text else k.hex().upper()
+            maps[xxhash.xxh64_intdigest(name, seed=42) & self.places - 1][name] = value
+        self.table = F.from_json(F.lit(json.dumps(maps)), f"array<map<string,{kind}>>")
 
     def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
         """body(find) with the table standing once in the expression; find gives the value of a key, null if there is none."""
-        def find(table: Column, key: Column) -> Column:
-            def place(h: Column) -> Column:
-                shift = F.get(table["shift"], h.bitwiseAND(F.lit(self.groups - 1)).cast("int"))
-                return F.shiftright(h, self.skip).bitwiseXOR(shift).bitwiseAND(F.lit(self.places - 1)).cast("int")
-            return let(let(F.xxhash64(key), place), lambda at: F.when(F.get(table["keys"], at) == key, F.get(table["values"], at)))
-        return let(self.table, lambda table: body(lambda key: let(key, lambda k: find(table, k))))
+        at = lambda table, k: F.get(table, F.xxhash64(k).bitwiseAND(F.lit(self.places - 1)).cast("int"))[k]
+        return let(self.table, lambda table: body(lambda key: let(key if self.text else F.hex(key), lambda k: at(table, k))))
 
 
 Find = Callable[[Column], Column]
@@ -142,31 +112,29 @@ def all_joined(find: Find, s: Column, data: Column) -> Column:
     return let(cuts, lambda c: state(c, F.transform(c, lambda x, i: pair(find, c, data, i))))
 
 
-def entry(find: Find, data: Column, left: Column, inner: Column, right: Column) -> Column:
-    """A pair as one long: its rank, NONE where it has none, and its three cuts, counted from 0."""
-    rank = F.coalesce(find(F.substring(data, (left + 1).cast("int"), (right - left).cast("int"))).cast("long"), F.lit(NONE))
-    return F.shiftleft(rank, 18) + F.shiftleft(left.cast("long"), 12) + F.shiftleft(inner.cast("long"), 6) + right
-
-
-def cut(e: Column, place: int) -> Column:
-    return F.shiftright(e, place).bitwiseAND(F.lit(63).cast("long"))
+def entry(find: Find, data: Column, place: Column) -> Column:
+    """A pair as one long: its rank, NONE where it has none, and its three cuts, counted from 0, which are `place`."""
+    left, right = F.shiftright(place, 12).cast("int"), place.bitwiseAND(F.lit(63)).cast("int")
+    return F.coalesce(F.shiftleft(find(F.substring(data, left + 1, right - left)).cast("long"), 18), F.lit(NONE << 18)).bitwiseOR(place)
 
 
 def short_folded(find: Find, data: Column) -> Column:
-    """Twice the ids of a word of 2 to SHORT bytes. The least entry is the first lowest pair; its neighbours are told by their inner
-    cuts, so a step looks for no place and cuts no list apart."""
+    """Twice the ids of a word of 2 to SHORT bytes. The least entry is the first lowest pair; the pair before it ends where it ends from
+    then on, the pair after it starts where it starts. So a step looks for no place and cuts no list apart."""
     n = F.octet_length(data)
-    start = F.transform(F.sequence(F.lit(0), n - 2), lambda i: entry(find, data, i, i + 1, i + 2))
-
-    def joined(pairs: Column, low: Column, left: Column, right: Column) -> Column:
-        new = lambda e, inner: F.when(inner == left, entry(find, data, cut(e, 12), left, right)).when(inner == right, entry(find, data, left, right, cut(e, 0))).otherwise(e)
-        return F.transform(F.array_remove(pairs, low), lambda e: let(cut(e, 6), lambda inner: new(e, inner)))
-
-    def step(pairs: Column) -> Column:
-        return let(F.array_min(pairs), lambda low: F.when(low < F.lit(NONE << 18), let(cut(low, 12), lambda left: let(cut(low, 0), lambda right: joined(pairs, low, left, right)))).otherwise(pairs))
-
-    token = lambda left, right: find(F.substring(data, (left + 1).cast("int"), (right - left).cast("int")))
-    tokens = lambda pairs: F.concat(F.array(token(cut(F.get(pairs, F.lit(0)), 12), cut(F.get(pairs, F.lit(0)), 6))), F.transform(pairs, lambda e: token(cut(e, 6), cut(e, 0))))
+    start = F.transform(F.sequence(F.lit(0), n - 2), lambda i: let((i * 4161 + 66).cast("long"), lambda place: entry(find, data, place)))
+    bits = lambda e, mask: e.bitwiseAND(F.lit(mask).cast("long"))
+    LEFT, INNER, RIGHT = 63 << 12, 63 << 6, 63
+
+    def joined(low: Column, e: Column) -> Column:
+        before, after = bits(F.shiftright(low, 6), INNER) == bits(e, INNER), bits(F.shiftleft(low, 6), INNER) == bits(e, INNER)
+        new = lambda place: let(place, lambda p: entry(find, data, p))
+        return F.when(before, new(bits(e, LEFT | INNER).bitwiseOR(bits(low, RIGHT)))).when(after, new(bits(low, LEFT).bitwiseOR(bits(e, INNER | RIGHT)))).otherwise(e)
+
+    step = lambda pairs: let(F.array_min(pairs), lambda low: F.when(low < F.lit(NONE << 18), F.transform(F.array_remove(pairs, low), lambda e: joined(low, e))).otherwise(pairs))
+    cut = lambda e, place: bits(F.shiftright(e, place), 63).cast("int")
+    token = lambda left, right: find(F.substring(data, left + 1, right - left))
+    tokens = lambda pairs: F.flatten(F.array(F.array(token(cut(F.get(pairs, F.lit(0)), 12), cut(F.get(pairs, F.lit(0)), 6))), F.transform(pairs, lambda e: token(cut(e, 6), cut(e, 0)))))
     return F.aggregate(F.sequence(F.lit(2), n), start, lambda pairs, _: step(pairs), tokens)
 
 
@@ -189,42 +157,30 @@ def rank_map(path: str) -> LiteralMap:
 
 
 class KnownWords:
-    """Ids of frequent words in one row of flat arrays, which a scalar subquery hands to the tasks as bytes. The hash of a word names
-    its possible places; more frequent words, which come first, have the earlier ones, and one that finds all taken is left out. The HOT
-    first words are asked for in a small table before the large one, as it stays in the processor's cache."""
-
-    def __init__(self, spark: SparkSession, rows: pa.Table):
-        hashes, order = rows["hash"].to_numpy(), np.argsort(-rows["n"].to_numpy(), kind="stable").astype(np.int32)
-        columns, self.parts = {}, []  # (number, places, probes) of each table
-        for i, (own, probes) in enumerate(((order[:HOT], 1), (order, PROBES))):
-            at = self._placed(hashes[own], probes)
-            numbers = pa.array(own[at], mask=at < 0)
-            for name in ("word", "ids"):
-                columns[f"{name}{i}"] = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.concat_arrays(rows[name].take(numbers).chunks))
-            self.parts.append((i, len(at), probes))
-        row = spark.createDataFrame(pa.table(columns), "word0 array<string>, ids0 array<array<int>>, word1 array<string>, ids1 array<array<int>>")
-        self.table = written(row.select(F.struct(*row.columns).alias("table")), "known").scalar()  # a plan that held the row would hold copies of it
-        del columns, row
-        pa.default_memory_pool().release_unused()
+    """Ids of frequent words in one row, which a scalar subquery hands to the tasks: an array of small maps, as in LiteralMap. The hash of a
+    word names its map, which holds the PROBES most frequent of its words; the others are left out. The HOT first words are asked for in
+    a small array before the large one, as it stays in the processor's cache."""
+
+    def __init__(self, spark: SparkSession, rows: DataFrame | pa.Table):
+        rows = spark.createDataFrame(rows) if isinstance(rows, pa.Table) else rows
+        words = rows.count()
+        self.parts = [(f"maps{i}", 1 << max(1, 2 * n - 1).bit_length()) for i, n in enumerate((min(HOT, words), words))]
+        hot, whole = (self._placed(own, name, places) for own, (name, places) in zip((rows.orderBy(F.desc("n"), "word").limit(HOT), rows), self.parts))
+        self.table = written(hot.crossJoin(whole).select(F.struct(*[name for name, _ in self.parts]).alias("table")), "known").scalar()
 
     @staticmethod
-    def _placed(hashes: np.ndarray, probes: int) -> np.ndarray:
-        """The number of the word at each place, -1 where there is none."""
-        left, at = np.arange(len(hashes)), np.full(1 << max(1, 2 * len(hashes) - 1).bit_length(), -1, np.int32)
-        for k in range(probes):
-            spot, first = np.unique(hashes[left] >> k * PROBE_BITS & len(at) - 1, return_index=True)
-            free = at[spot] < 0
-            at[spot[free]] = left[first[free]]
-            left = np.delete(left, first[free])
-        return at
+    def _placed(rows: DataFrame, name: str, places: int) -> DataFrame:
+        """One row: the maps in the order of their places, null where there is no word."""
+        place = F.xxhash64("word").bitwiseAND(F.lit(places - 1)).alias("place")
+        first = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word", "ids"))), 1, PROBES)
+        maps = rows.groupBy(place).agg(F.map_from_entries(F.transform(first, lambda w: F.struct(w.word, w.ids))).alias("map"))
+        placed = rows.sparkSession.range(places).join(maps, F.col("id") == F.col("place"), "left").select("id", F.struct("map").alias("held"))
+        return placed.repartition(1).sortWithinPartitions("id").agg(F.collect_list("held").alias("held")).select(F.col("held.map").alias(name))
 
     def joined(self, df: DataFrame, name: str, body: Callable[[Callable[[Column], Column]], Column]) -> DataFrame:
         """df with a column body(look); look gives the ids of a word, a lambda's variable, or null. The subquery stands in a column
         of its own, as it may not be written inside a higher-order function; used once, it is moved there by the optimizer."""
-        def probe(table: Column, word: Column, h: Column, part: int, places: int, k: int) -> Column:
-            at = (F.shiftright(h, k * PROBE_BITS) if k else h).bitwiseAND(F.lit(places - 1)).cast("int")
-            return F.when(F.get(table[f"word{part}"], at) == word, F.get(table[f"ids{part}"], at))
-        look = lambda table, word: let(F.xxhash64(word), lambda h: F.coalesce(*[probe(table, word, h, part, places, k) for part, places, probes in self.parts for k in range(probes)]))
+        look = lambda table, word: F.coalesce(*[F.get(table[name], F.xxhash64(word).bitwiseAND(F.lit(places - 1)).cast("int"))[word] for name, places in self.parts])
         held = unused(df, "held")
         return df.withColumn(held, self.table).withColumn(name, let(F.col(held), lambda table: body(lambda word: look(table, word)))).drop(held)
 
@@ -239,10 +195,10 @@ def frequent(words: DataFrame, ranks: LiteralMap, kept: int) -> KnownWords | Non
         if total > kept:
             break
         least = r.level
-    ids = ranks.bound(lambda find: folded(find, F.encode("word", "UTF-8"))).alias("ids")
-    rows = None if least is None else counts.where(level >= least).select("word", ids, F.xxhash64("word").alias("hash"), "n").toArrow()
+    ids = ranks.bound(lambda find: let(F.col("word").cast("binary"), lambda data: folded(find, data))).alias("ids")
+    known = None if least is None else KnownWords(words.sparkSession, written(counts.where(level >= least).select("word", ids, "n"), "ids"))
     forget(counts)
-    return KnownWords(words.sparkSession, rows) if rows else None
+    return known
 
 
 def words_of(text: str, pattern: str) -> Column:
@@ -255,7 +211,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: st
     known = frequent(docs.select(F.explode(words_of(text, pattern)).alias("word")), ranks, kept)
 
     def each(find: Find, look: Find | None) -> Column:
-        fold = lambda w: let(F.encode(w, "UTF-8"), lambda data: folded(find, data))
+        fold = lambda w: let(w.cast("binary"), lambda data: folded(find, data))
         return F.transform(words_of(text, pattern), lambda w: F.coalesce(look(w), fold(w)) if look else fold(w))
 
     whole = lambda look: F.flatten(ranks.bound(lambda find: each(find, look)))

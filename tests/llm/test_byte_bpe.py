@@ -91,3 +91,20 @@ def test_words_left_out_of_the_table_are_folded(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").withColumn("held", F.lit("kept"))
     for r in byte_bpe.encoded(docs, PATH, P.PATTERN).collect():
         assert r.ids == LIBRARY.encode_ordinary(own[r.doc_id]) and r.held == "kept"
+
+
+def test_the_table_of_frequent_words_is_built_by_spark(spark, monkeypatch):
+    """Words and ids do not pass the driver's Python; a place holds its most frequent words, at most PROBES of them."""
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", None)
+    monkeypatch.setattr(byte_bpe, "HOT", 2)
+    monkeypatch.setattr(byte_bpe, "PROBES", 1)
+    own = [w for i in range(64) for w in [f"zq{i}theon"] * (i + 2)]
+    words = spark.createDataFrame([(w,) for w in own], "word string").repartition(4)
+    known = byte_bpe.frequent(words, byte_bpe.rank_map(PATH), 1000)
+    got = {r.word: r.ids[0] for r in known.joined(words.distinct().withColumn("list", F.array("word")), "ids", lambda look: F.transform("list", look)).collect()}
+    assert all(v in (None, LIBRARY._encode_single_piece(w.encode())) for w, v in got.items())
+    places: dict[int, list[int]] = {}
+    for i in range(64):
+        places.setdefault(xxhash.xxh64_intdigest(f"zq{i}theon", seed=42) & 127, []).append(i)
+    held = {max(own) for own in places.values()} | {62, 63}
+    assert {i for i in range(64) if got[f"zq{i}theon"] is not None} == held and len(held) < 64
